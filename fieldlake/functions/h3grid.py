@@ -82,19 +82,19 @@ def cell_res(c) -> Column:
 
 
 def is_cell(c) -> Column:
-    """Is the text a valid cell index? Null for null."""
+    """Is the text a valid cell index? Null for null.
+
+    The last 45 bits are fifteen octal digits: ``res`` of them from 0 to 6, then only sevens.
+    """
     text = F.lower(F.trim(col(c)))
     bits = cell_bits(c)
     res = F.shiftright(bits, 52).bitwiseAND(F.lit(15))
     base = F.shiftright(bits, 45).bitwiseAND(F.lit(127))
-    digits = [F.shiftright(bits, 3 * (15 - r)).bitwiseAND(F.lit(7)) for r in range(1, 16)]
-    ok = base < 122
-    for r, digit in enumerate(digits, start=1):
-        ok = ok & F.when(res >= r, digit < 7).otherwise(digit == 7)
+    path = F.rtrim(F.substring(F.conv(text, 16, 8), -15, 15), F.lit("7"))
     # pentagons have no children along the k axis
     pentagons = [i for i, b in enumerate(BASE_CELLS) if b.endswith("200")]
-    lead = F.coalesce(*[F.when((res >= r) & (d != 0), d) for r, d in enumerate(digits, start=1)])
-    ok = ok & ~(base.isin(*pentagons) & F.coalesce(lead == 1, F.lit(False)))
+    missing = base.isin(*pentagons) & F.ltrim(path, F.lit("0")).startswith("1")
+    ok = (base < 122) & (F.length(path) == res) & ~path.contains("7") & ~missing
     return F.when(text.isNull(), None).when(text.rlike("^8[0-9a-f]{14}$"), ok).otherwise(F.lit(False))
 
 
