@@ -56,9 +56,9 @@ def _(spark, sf):
 
 @query("gps_summary", f"""
 select count(*) as gps_fixes, count(distinct animal_id) as active_animals, round(avg(speed_kmh), 4) as average_speed_kmh
-from v_telemetry where recorded_epoch_ms >= {START} and recorded_epoch_ms < {END} and species_id = 2""")
+from v_telemetry where recorded_epoch_ms >= {START} and recorded_epoch_ms < {END}""")
 def _(spark, sf):
-    return rounded(agg.gps_summary(view(spark, sf, "v_telemetry"), START, END, species=2), "average_speed_kmh")
+    return rounded(agg.gps_summary(view(spark, sf, "v_telemetry"), START, END), "average_speed_kmh")
 
 
 ENVIRONMENT = f"""
@@ -124,21 +124,19 @@ def _(spark, sf):
 def _historical_sql(method):
     linear = ("coalesce(l + (r - l) * (i - li) / (ri - li), l)" if method == "linear" else "l")
     return f"""
-with axis as (select {START} + {6 * HOUR_MS} * 0 + range * {DAY_MS} as bucket_epoch_ms from range(40)),
-stats as (select (recorded_epoch_ms // {DAY_MS}) * {DAY_MS} as bucket_epoch_ms, count(*) as reading_count,
-    avg(ambient_temperature_c) as t from v_sensor_readings
-  where recorded_epoch_ms >= {START} and recorded_epoch_ms < {START + 40 * DAY_MS} and quality_flag <> 'INVALID'
-    and device_id = 'dev-3' and h3_cell = 'cell-7' group by 1),
+with axis as (select {START} + range * {HOUR_MS} as bucket_epoch_ms from range(960)),
+stats as (select (recorded_epoch_ms // {HOUR_MS}) * {HOUR_MS} as bucket_epoch_ms, count(*) as reading_count,
+    avg(case when ambient_temperature_c > 120 then ambient_temperature_c end) as t from v_sensor_readings
+  where recorded_epoch_ms >= {START} and recorded_epoch_ms < {START + 40 * DAY_MS} and quality_flag <> 'INVALID' group by 1),
 dense as (select axis.bucket_epoch_ms, coalesce(reading_count, 0) as sample_count, t,
-    row_number() over (order by axis.bucket_epoch_ms) as i, max(case when t is not null then 1 end) over () as any_known
-  from axis left join stats using (bucket_epoch_ms)),
+    row_number() over (order by axis.bucket_epoch_ms) as i from axis left join stats using (bucket_epoch_ms)),
 filled as (select *, last_value(t ignore nulls) over b as l, last_value(case when t is not null then i end ignore nulls) over b as li,
     first_value(t ignore nulls) over a as r, first_value(case when t is not null then i end ignore nulls) over a as ri
   from dense window b as (order by i rows between unbounded preceding and current row),
     a as (order by i rows between current row and unbounded following))
 select bucket_epoch_ms, sample_count, 'ambient_temperature_c' as metric, 'avg' as aggregate,
-  round(case when t is not null then t when li is not null and coalesce(ri, 41) - li - 1 <= 3 then {linear} end, 4) as data,
-  t is null and li is not null and coalesce(ri, 41) - li - 1 <= 3 as imputed from filled
+  round(case when t is not null then t when li is not null and coalesce(ri, 961) - li - 1 <= 3 then {linear} end, 4) as data,
+  t is null and li is not null and coalesce(ri, 961) - li - 1 <= 3 as imputed from filled
 union all
 select bucket_epoch_ms, sample_count, 'reading_count', 'count', sample_count, false from dense"""
 
@@ -146,8 +144,11 @@ select bucket_epoch_ms, sample_count, 'reading_count', 'count', sample_count, fa
 for _method in ("forward_fill", "linear"):
     @query(f"historical_environment_{_method}", _historical_sql(_method))
     def _(spark, sf, method=_method):
-        df = agg.historical(view(spark, sf, "v_sensor_readings"), "environmental", ["ambient_temperature_c", "reading_count"],
-                            "day", START, START + 40 * DAY_MS, method, max_gap=3, device="dev-3", cell="cell-7")
+        """A sensor that reports heat only, so that hours are missing."""
+        heat = F.when(F.col("ambient_temperature_c") > 120, F.col("ambient_temperature_c"))
+        readings = view(spark, sf, "v_sensor_readings").withColumn("ambient_temperature_c", heat)
+        df = agg.historical(readings, "environmental", ["ambient_temperature_c", "reading_count"], "hour", START, START + 40 * DAY_MS,
+                            method, max_gap=3)
         return rounded(df, "data")
 
 
