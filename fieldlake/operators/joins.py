@@ -81,7 +81,8 @@ def latest_census(scopes: DataFrame, evidence: DataFrame, scope=("scope_id",)) -
     """Latest verified count of a survey wholly inside the period; newest start, then source name, breaks ties."""
     counts = evidence.filter(F.col("census_count").isNotNull()).select(
         "species_id", "h3_cell", F.col("period_start").alias("s"), F.col("period_end").alias("e"), "source", "census_count")
-    inside = scopes.join(counts, ["species_id", "h3_cell"]).filter(
+    asked = scopes.select(*scope, "species_id", "h3_cell", "period_start", "period_end")
+    inside = asked.join(counts, ["species_id", "h3_cell"]).filter(
         (F.col("s") >= F.to_date("period_start")) & (F.col("e") <= F.to_date("period_end")))
     # the smallest source name wins, so it is the last step: first the newest period, then its first source
     newest = inside.groupBy(*scope, "s", "e").agg(F.min_by("census_count", "source").alias("verified_census_count"))
