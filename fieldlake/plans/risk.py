@@ -383,7 +383,7 @@ def contributions(wide: DataFrame, cfg: RiskConfig = RISK) -> DataFrame:
     total = reduce(lambda a, b: a + b, points.values())
     rows = wide.withColumns({f"{d}_contribution": c for d, c in points.items()}).withColumn("__total", total)
     shares = [x for d in DOMAINS for x in (F.lit(d), F.coalesce(F.round(100.0 * ratio(F.col(f"{d}_contribution"), F.when(F.col("__total") > 0, F.col("__total"))), cfg.contribution_decimals), F.lit(0.0)))]
-    best = F.array_max(F.array(*[F.struct(F.col(f"{d}_contribution").alias("p"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DOMAINS)]))
+    best = F.array_max(F.array(*[F.struct(F.round(f"{d}_contribution", 9).alias("p"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DOMAINS)]))
     return rows.withColumn("percentages", F.create_map(*shares)).withColumn("dominant_domain", best["d"]).drop("__total")
 
 
