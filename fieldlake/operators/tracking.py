@@ -16,7 +16,7 @@ from fieldlake.operators.validate import TOO_FAST, VALID_FIX
 
 def with_ecef(df: DataFrame) -> DataFrame:
     x, y, z = geo._ecef("latitude", "longitude", F.coalesce("altitude", F.lit(0.0)))
-    return df.withColumn("__x", x).withColumn("__y", y).withColumn("__z", z)
+    return df.withColumn("ecef_x", x).withColumn("ecef_y", y).withColumn("ecef_z", z)
 
 
 def judge(t, x, y, z, limit, usable, state):
@@ -45,11 +45,11 @@ def speed_verdicts(df: DataFrame, key: str = "animal_id", order=("recorded_epoch
     is arrival order when that differs from time. Fixes rejected for other reasons are skipped.
     """
     rows = with_ecef(df)
-    rows = rows.withColumn("__limit", F.coalesce("max_speed", F.lit(cfg.default_max_speed)).cast("double")
+    rows = rows.withColumn("speed_limit", F.coalesce("max_speed", F.lit(cfg.default_max_speed)).cast("double")
                            if "max_speed" in df.columns else F.lit(cfg.default_max_speed))
     if "validation_status" not in df.columns:
         rows = rows.withColumn("validation_status", F.lit(VALID_FIX))
-    helpers = ["__x", "__y", "__z", "__limit"]
+    helpers = ["ecef_x", "ecef_y", "ecef_z", "speed_limit"]
     schema = T.StructType([f for f in rows.schema.fields if f.name not in helpers])
 
     def step(pdf: pd.DataFrame, state):
