@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlake.registry.views import duck
-from fieldlake.session import SETTINGS
+from fieldlake.session import SETTINGS, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf: str) -> DataFrame:
             for key, value in SETTINGS.items():
                 spark.conf.set(key, value)
+            ship(spark)
             return f(spark, sf.rstrip("/"))
 
         run.__name__, run.__doc__ = name, f.__doc__

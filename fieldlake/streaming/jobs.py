@@ -50,14 +50,16 @@ def ingest_batch(lines: DataFrame, tables: dict[str, sinks.ParquetTable], now_ms
     counters = {}
     for kind, rows in parts.items():
         name = TABLE_OF[kind]
+        # judged once, then counted, split and stored
+        rows = rows.persist()
         good, bad = validate.split_valid(rows)
-        keys = KEYS[name]
         failed = bad.count()
         if good.isEmpty():
-            counters[kind] = {"received": failed, "stored": 0, "duplicate": 0, "failed": failed}
-            continue
-        done = sinks.append_new(good, tables[kind], keys, nullable=NULLABLE_KEYS.get(name, ()))
-        counters[kind] = {"received": done["received"] + failed, "stored": done["stored"], "duplicate": done["duplicate"], "failed": failed}
+            done = {"received": 0, "stored": 0, "duplicate": 0}
+        else:
+            done = sinks.append_new(good, tables[kind], KEYS[name], nullable=NULLABLE_KEYS.get(name, ()))
+        counters[kind] = {**done, "received": done["received"] + failed, "failed": failed}
+        rows.unpersist()
     return counters
 
 
