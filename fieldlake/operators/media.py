@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,23 +79,44 @@ def _suppress(boxes: np.ndarray, scores: np.ndarray, limit: float) -> np.ndarray
     return np.array(kept, int)
 
 
-def nms(df: DataFrame, iou: float = VISION.iou, keys=("frame", "class_id"), tie: str = "box_id", **kw) -> DataFrame:
+def nms(df: DataFrame, iou: float = VISION.iou, keys=("frame", "class_id"), tie: str = "box_id", small: int = 32,
+        **kw) -> DataFrame:
     """Class-wise non-maximum suppression.
 
     Boxes of a class only meet when they overlap, so each (frame, class) first falls apart into
-    runs of boxes that overlap along x; a run, not a frame, is what one task holds.
+    runs of boxes that overlap along x; a run, not a frame, is what one task holds. Short runs
+    are folded in the JVM, long ones go to numpy.
     """
     rows = df.withColumn("__x", F.col("box_left"))
     reach = scale.running(rows, keys, ["__x", tie], {"__reach": ("max", F.col("box_right"))}, include_current=False, **kw)
     opened = reach.withColumn("__open", F.when(F.col("__reach").isNull() | (F.col("__x") >= F.col("__reach")), F.col("__x")))
     runs = scale.running(opened, keys, ["__x", tie], {"__run": ("max", F.col("__open"))}, **kw).drop("__reach", "__open", "__x")
-    schema = T.StructType([f for f in df.schema.fields])
+    group, columns = [*keys, "__run"], list(df.columns)
+    runs = runs.join(runs.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group)
+    few = runs.filter(F.col("__n") <= small).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(
+        (-F.col("confidence")).alias("order"), F.col(tie).alias("tie"), F.struct(*columns).alias("box")))).alias("__boxes"))
+    none = F.slice("__boxes", 1, 0)
+    folded = F.aggregate("__boxes", none, lambda kept, b: F.when(
+        F.exists(kept, lambda k: overlap(k["box"], b["box"]) > iou), kept).otherwise(F.array_append(kept, b)))
+    first = few.select(F.explode(folded).alias("k")).select("k.box.*")
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(tie, kind="mergesort")
         kept = _suppress(pdf[["box_left", "box_top", "box_right", "box_bottom"]].to_numpy("float64"), pdf["confidence"].to_numpy("float64"), iou)
-        return pdf.iloc[kept][schema.fieldNames()]
-    return runs.groupBy(*keys, "__run").applyInPandas(keep, schema)
+        return pdf.iloc[kept][columns]
+    many = runs.filter(F.col("__n") > small).groupBy(*group).applyInPandas(keep, df.schema)
+    return first.unionByName(many)
+
+
+def overlap(a, b) -> Column:
+    """Intersection over union of two box structs."""
+    def side(low, high):
+        return F.greatest(F.lit(0.0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]))
+    inner = side("box_left", "box_right") * side("box_top", "box_bottom")
+
+    def area(x):
+        return F.greatest(F.lit(0.0), x["box_right"] - x["box_left"]) * F.greatest(F.lit(0.0), x["box_bottom"] - x["box_top"])
+    return F.coalesce(inner / F.nullif(area(a) + area(b) - inner, F.lit(0.0)), F.lit(0.0))
 
 
 def frame_summary(df: DataFrame, keys=("frame",), cfg: VisionConfig = VISION) -> DataFrame:

@@ -51,6 +51,7 @@ def test_suppression_against_definition(spark):
                 want.add(top[2])
                 left = [r for r in left if iou(top, r) <= 0.5]
     assert {r["box_id"] for r in media.nms(df).collect()} == want
+    assert {r["box_id"] for r in media.nms(df, small=5).collect()} == want
     assert {r["box_id"] for r in media.nms(df, split=True, min_rows=20, chunks=4).collect()} == want
 
 
