@@ -14,33 +14,34 @@ from fieldlake.functions.h3grid import cell_bounds
 from fieldlake.functions.mathx import clamp
 from fieldlake.functions.text import split_alleles
 from fieldlake.functions.timex import time_bin
+from fieldlake.session import cut_lineage
 
 POPULATION = ("project_id", "target_species", "h3_cell")
 
 
-def _calls(df: DataFrame, keep) -> DataFrame:
-    sequence = "sequence" if "sequence" in df.columns else None
-    rows = df.withColumn("__a", split_alleles("allele_state", sequence)).filter(F.size("__a") > 0)
-    copies = F.coalesce(F.col("allele_count").cast("double"), F.size("__a").cast("double"))
-    return rows.select(*keep, "locus_name", "sample_id", "__a", copies.alias("__c"))
-
-
 def allele_frequencies(df: DataFrame, keys=(*POPULATION, "time_bin")) -> DataFrame:
     """Frequency of each allele per (group, locus); a multi-allele call splits its copies evenly.
 
     ``sample_count`` counts samples with any call, even one whose copy count adds nothing.
+
+    One pass: every call also emits a marker row without an allele. After one row is left per
+    sample and allele, counting rows per allele gives the samples that carry it and counting
+    markers gives all samples, so no distinct count and no join is needed.
     """
-    calls = _calls(df, keys)
+    sequence = "sequence" if "sequence" in df.columns else None
     group = [*keys, "locus_name"]
-    samples = calls.groupBy(*group).agg(F.countDistinct("sample_id").alias("sample_count"))
-    usable = calls.filter((F.col("__c") > 0) & (F.col("__c") < float("inf")))
-    each = usable.select(*group, "sample_id", F.explode("__a").alias("allele"), (F.col("__c") / F.size("__a")).alias("__w"))
-    # one row per sample and allele first: the distinct count is then a plain count
-    per_sample = each.groupBy(*group, "allele", "sample_id").agg(F.sum("__w").alias("__w"))
-    alleles = per_sample.groupBy(*group, "allele").agg(F.sum("__w").alias("copies"), F.count(F.lit(1)).alias("allele_samples"))
-    totals = alleles.groupBy(*group).agg(F.sum("copies").alias("gene_copies"), F.count(F.lit(1)).alias("allele_types"))
-    return (alleles.join(totals.join(samples, group), group)
-            .withColumn("p", F.col("copies") / F.nullif("gene_copies", F.lit(0.0))))
+    rows = df.select(*group, "sample_id", "allele_count", split_alleles("allele_state", sequence).alias("__a")).filter(F.size("__a") > 0)
+    copies = F.coalesce(F.col("allele_count").cast("double"), F.size("__a").cast("double"))
+    usable = (copies > 0) & (copies < float("inf"))
+    marked = F.when(usable, F.array_append("__a", F.lit(None).cast("string"))).otherwise(F.array(F.lit(None).cast("string")))
+    each = rows.select(*group, "sample_id", (copies / F.size("__a")).alias("__w"), F.explode(marked).alias("allele"))
+    per_sample = each.groupBy(*group, "sample_id", "allele").agg(F.sum("__w").alias("__w"))
+    counts = per_sample.groupBy(*group, "allele").agg(F.sum("__w").alias("copies"), F.count(F.lit(1)).alias("allele_samples"))
+    locus = Window.partitionBy(*group)  # the alleles of one locus
+    real = F.col("allele").isNotNull()
+    out = counts.select("*", F.max(F.when(~real, F.col("allele_samples"))).over(locus).alias("sample_count"),
+                        F.sum(F.when(real, F.col("copies"))).over(locus).alias("gene_copies"), F.count("allele").over(locus).alias("allele_types"))
+    return out.filter(real).withColumn("p", F.col("copies") / F.nullif("gene_copies", F.lit(0.0)))
 
 
 def expected_heterozygosity(freqs: DataFrame, keys=(*POPULATION, "time_bin", "locus_name"), monomorphic: bool = False) -> DataFrame:
@@ -89,7 +90,8 @@ def _generation(species: str, cfg: GeneticConfig, default: float | None) -> Colu
 def temporal_ne(df: DataFrame, generation_years: float | None = None, keys=POPULATION, cfg: GeneticConfig = GENETICS) -> DataFrame:
     """Effective size from allele-frequency drift between calendar years: the median over year pairs and loci."""
     yearly = df.withColumn("year", F.year("collection_date"))
-    freqs = allele_frequencies(yearly, [*keys, "year"])
+    # one row per population, locus, allele and year: small beside the calls, and read three times
+    freqs = cut_lineage(allele_frequencies(yearly, [*keys, "year"]))
     group = [*keys, "locus_name"]
     loci = freqs.groupBy(*group, "year").agg(F.max("sample_count").alias("sample_count"))
     pairs = shared_loci(loci, keys)
@@ -114,7 +116,7 @@ def population_metrics(df: DataFrame, cfg: GeneticConfig = GENETICS, generation_
     """Diversity, effective size and risk status per project, species, cell and period."""
     binned = df.withColumn("time_bin", time_bin("collection_date", cfg.time_bin, season_mode))
     keys = [*POPULATION, "time_bin"]
-    freqs = allele_frequencies(binned, keys)
+    freqs = cut_lineage(allele_frequencies(binned, keys))
     rich = rarefied_richness(freqs, keys)
     he = expected_heterozygosity(freqs)
     loci = he.join(rich, [*keys, "locus_name"]).filter(F.col("sample_count") >= cfg.minimum_samples)
