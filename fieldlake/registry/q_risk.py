@@ -194,3 +194,18 @@ def _(spark, sf):
     df = risk.assess(base, tables)
     return df.select("scope_id", "species_id", "h3_cell", F.round("conservation_risk_index", 4).alias("conservation_risk_index"), "escalation_level", "dominant_domain",
                      F.array_join("missing_domains", ",").alias("missing_domains"), F.array_join("actions", ",").alias("actions"), "narrative_report")
+
+
+@query("resolve_scopes", """
+select n_nationkey as scope_id, case when n_nationkey % 3 = 0 then 37.78 when n_nationkey % 3 = 1 then 1.5 else 2.5 end as lat,
+  concat_ws(',', case when n_nationkey % 5 = 0 then 'window_order' end, case when n_nationkey % 5 = 1 then 'window_length' end) as reject_reasons,
+  case when n_nationkey % 3 = 0 then '872830828ffffff' else '' end as cell from nation""")
+def _(spark, sf):
+    df = table(spark, sf, "nation").selectExpr(
+        "n_nationkey as scope_id", "case when n_nationkey % 3 = 0 then ' 872830828FFFFFF' end as h3_cell", "case when n_nationkey % 3 = 1 then 1.5D end as latitude",
+        "case when n_nationkey % 3 = 1 then 30.0D end as longitude", "case when n_nationkey % 3 = 2 then 2.0D end as min_lat", "case when n_nationkey % 3 = 2 then 3.0D end as max_lat",
+        "case when n_nationkey % 3 = 2 then 10.0D end as min_lon", "case when n_nationkey % 3 = 2 then 11.0D end as max_lon", "timestamp'2024-06-01' as end_time",
+        "case n_nationkey % 5 when 0 then timestamp'2024-07-01' when 1 then timestamp'2022-01-01' end as start_time", "cast(null as double) as lookback_days")
+    out = risk.resolve_scopes(df)
+    asked = F.when(F.col("scope_id") % 3 == 0, F.col("h3_cell")).otherwise("")
+    return out.select("scope_id", F.round("latitude", 2).alias("lat"), F.array_join("reject_reasons", ",").alias("reject_reasons"), asked.alias("cell"))
