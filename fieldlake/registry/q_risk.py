@@ -197,7 +197,7 @@ def _(spark, sf):
 
 
 @query("resolve_scopes", """
-select n_nationkey as scope_id, case when n_nationkey % 3 = 0 then 37.78 when n_nationkey % 3 = 1 then 1.5 else 2.5 end as lat,
+select n_nationkey as scope_id, case when n_nationkey % 3 = 0 then 37.77 when n_nationkey % 3 = 1 then 1.5 else 2.5 end::double as lat,
   concat_ws(',', case when n_nationkey % 5 = 0 then 'window_order' end, case when n_nationkey % 5 = 1 then 'window_length' end) as reject_reasons,
   case when n_nationkey % 3 = 0 then '872830828ffffff' else '' end as cell from nation""")
 def _(spark, sf):

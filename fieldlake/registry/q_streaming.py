@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,11 +12,11 @@ from fieldlake.registry.views import table
 from fieldlake.streaming import jobs
 
 
-def _drain(stream, name, sf):
+def _drain(stream, name):
     """Run a stream to its end into Parquet under the session's checkpoint folder and read it back."""
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = f"{base}/fieldlake-{name}-{abs(hash((sf, spark.sparkContext.applicationId, tempfile.mktemp())))}"
+    folder = f"{base}/fieldlake-{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -23,14 +24,12 @@ def _drain(stream, name, sf):
 
 @query("live_buckets", """
 select (detected_epoch_ms // 3600000) * 3600000 as bucket_epoch_ms, count(*) as sample_count, count(*) filter (category = 'immediate_threat') as threat_count, round(avg(confidence), 4) as confidence_avg
-from v_detections group by 1 having (detected_epoch_ms // 3600000) * 3600000 + 3600000 <= (select max(epoch_us(ts) // 1000) from events) - 7200000""".replace(
-    "group by 1 having (detected_epoch_ms // 3600000) * 3600000 + 3600000 <= (select max(epoch_us(ts) // 1000) from events) - 7200000",
-    "where (detected_epoch_ms // 3600000) * 3600000 + 3600000 <= (select max(epoch_us(ts) // 1000) from events) - 7200000 group by 1"))
+from v_detections where (detected_epoch_ms // 3600000) * 3600000 + 3600000 <= (select max(epoch_us(ts) // 1000) from events) - 7200000 group by 1""")
 def _(spark, sf):
     """Hours the watermark has closed; the last two hours of the data stay open."""
     schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     stream = events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") - F.floor("value")).alias("confidence"),
                            F.when(F.col("event_type").isin("error", "purchase"), "immediate_threat").otherwise("other").alias("category"))
-    out = _drain(jobs.live_buckets(stream), "buckets", sf)
+    out = _drain(jobs.live_buckets(stream), "buckets")
     return rounded(out.drop("confidence_max"), "confidence_avg")
