@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,70 +217,92 @@ def _merge(a, b):
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
          step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, tuple | None]],
-         schema: T.StructType, state: str, split: bool | None = None, rounds: int = 64, **chunking) -> DataFrame:
+         schema: T.StructType, state: str, split: bool | None = None, **chunking) -> DataFrame:
     """A recurrence per key: ``step(rows, state) -> (rows out, state)`` in row order.
 
-    ``state`` is the DDL of the state tuple; ``None`` starts a key. Hot keys are solved by
-    fixed-point iteration: all chunks run in parallel from the state their predecessor
-    last ended in, until no chunk's entry state changes. Each round makes at least one
-    more chunk final, and recurrences that forget their past settle in two or three, so
-    the result is the sequential one. Each round re-reads the hot keys only.
+    ``state`` is the DDL of the state tuple; ``None`` starts a key. Rows stream through Python in
+    sorted Arrow batches and the state is carried from slice to slice, so memory does not grow
+    with a key. Hot keys are solved by fixed-point iteration: all chunks run in parallel from the
+    state their predecessor last ended in, until no chunk's entry state changes. Each round makes
+    at least one more chunk final, and recurrences that forget their past settle in two or three,
+    so the result is the sequential one. Each round re-reads the hot keys only.
     """
     data, was_split = with_chunk(df, keys, order[0], split, **chunking)
-    keys, order = list(keys), list(order)
-    state_names = [f.name for f in _ddl(df, state).fields]
+    keys, order, names = list(keys), list(order), list(df.columns)
+    fields = T.StructType.fromDDL(state).fields
+    slots = [f"__s_{f.name}" for f in fields]
+    group = "__group"
+
+    def sorted_rows(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn(group, F.xxhash64(*keys, CHUNK)).repartition(*keys, CHUNK)
+                .sortWithinPartitions(group, *keys, CHUNK, *order))
+
+    def slices(batches):
+        """(group, rows, is it a new group) over consecutive batches."""
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            marks = pdf[group].to_numpy()
+            edges = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])).tolist() + [len(pdf)]
+            for start, end in zip(edges, edges[1:]):
+                yield marks[start], pdf.iloc[start:end], marks[start] != last
+                last = marks[start]
+
+    def entry_of(part: pd.DataFrame):
+        if "__known" not in part or part["__known"].iloc[0] is not True and part["__known"].iloc[0] != 1:
+            return None
+        return tuple(part[c].iloc[0] for c in slots)
 
-    def run(pdf: pd.DataFrame, entry):
-        return step(pdf.sort_values(order, kind="mergesort"), entry)
+    def output(batches):
+        current = None
+        for _, part, fresh in slices(batches):
+            current = entry_of(part) if fresh else current
+            out, current = step(part[names], current)
+            yield out[schema.fieldNames()]
 
     if not was_split:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return run(pdf.drop(columns=[CHUNK]), None)[0]
-        return data.groupBy(*keys).applyInPandas(whole, schema)
-
-    key_fields = [df.schema[k] for k in keys]
-    exit_schema = T.StructType([*key_fields, T.StructField(CHUNK, T.IntegerType()), *_ddl(df, state).fields])
-    hot_now = hot_keys(df, keys, chunking.get("min_rows", 1_000_000)).select(*keys)
-    hot_rows = data.alias("d").join(F.broadcast(hot_now).alias("h"), _match("d", "h", keys), "left_semi")
-
-    def entry_of(pdf: pd.DataFrame):
-        if len(pdf) == 0 or not bool(pdf["__known"].iloc[0]):
-            return None
-        return tuple(pdf[n].iloc[0] for n in state_names)
-
-    def exits(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0:
-            return pd.DataFrame(columns=exit_schema.fieldNames())
-        _, after = run(left.drop(columns=[CHUNK]), entry_of(right))
-        values = dict(zip(state_names, after)) if after is not None else dict.fromkeys(state_names)
-        head = {k: [left[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, CHUNK: [left[CHUNK].iloc[0]], **{n: [v] for n, v in values.items()}})
-
-    chunks = hot_rows.select(*keys, CHUNK).distinct()
-    entries = cut_lineage(chunks.select("*", *[F.lit(None).cast(f.dataType).alias(f.name)
-                                               for f in _ddl(df, state).fields], F.lit(False).alias("__known")))
+        return sorted_rows(data).mapInPandas(output, schema)
+
+    exit_schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(CHUNK, T.IntegerType()),
+                                *[T.StructField(c, f.dataType) for c, f in zip(slots, fields)], T.StructField("__known", T.BooleanType())])
+
+    def exits(batches):
+        head, current = None, None
+
+        def row():
+            values = current if current is not None else [None] * len(slots)
+            return pd.DataFrame([[*head, *values, current is not None]], columns=exit_schema.fieldNames())
+        for _, part, fresh in slices(batches):
+            if fresh:
+                if head is not None:
+                    yield row()
+                head, current = [part[k].iloc[0] for k in keys] + [int(part[CHUNK].iloc[0])], entry_of(part)
+            _, current = step(part[names], current)
+        if head is not None:
+            yield row()
+
+    def with_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        # chunks of hot keys only: at most MAX_HOT x MAX_CHUNKS rows
+        return (rows.alias("d").join(F.broadcast(entries).alias("e"), _match("d", "e", [*keys, CHUNK]), "left")
+                .select("d.*", *[F.col(f"e.{c}") for c in [*slots, "__known"]]))
+
+    hot = hot_keys(df, keys, chunking.get("min_rows", 1_000_000)).select(*keys)
+    hot_rows = data.alias("d").join(F.broadcast(hot).alias("h"), _match("d", "h", keys), "left_semi")
+    blank = [F.lit(None).cast(f.dataType).alias(c) for c, f in zip(slots, fields)]
+    entries = cut_lineage(hot_rows.select(*keys, CHUNK).distinct().select("*", *blank, F.lit(False).alias("__known")))
     after = Window.partitionBy(*keys).orderBy(CHUNK)
-    for _ in range(rounds + MAX_CHUNKS):
-        ended = (hot_rows.groupBy(*keys, CHUNK).cogroup(entries.groupBy(*keys, CHUNK))
-                 .applyInPandas(exits, exit_schema))
-        moved = ended.select(*keys, CHUNK, *[F.lag(n).over(after).alias(n) for n in state_names],
-                             reduce(lambda a, b: a | b,
-                                    [F.lag(n).over(after).isNotNull() for n in state_names]).alias("__known"))
-        moved = cut_lineage(moved)
-        same = reduce(lambda a, b: a & b, [_close(f"a.{f.name}", f"b.{f.name}", f.dataType)
-                                           for f in _ddl(df, state).fields],
+    for _ in range(MAX_CHUNKS + 1):
+        ended = sorted_rows(with_entries(hot_rows, entries)).mapInPandas(exits, exit_schema)
+        moved = cut_lineage(ended.select(*keys, CHUNK, *[F.lag(c).over(after).alias(c) for c in slots],
+                                         F.coalesce(F.lag("__known").over(after), F.lit(False)).alias("__known")))
+        same = reduce(lambda x, y: x & y, [_close(f"a.{c}", f"b.{c}", f.dataType) for c, f in zip(slots, fields)],
                       F.col("a.__known") == F.col("b.__known"))
         changed = moved.alias("a").join(entries.alias("b"), _match("a", "b", [*keys, CHUNK])).filter(~same)
         entries = moved
         if changed.isEmpty():
             break
-
-    def final(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0:
-            return pd.DataFrame(columns=schema.fieldNames())
-        return run(left.drop(columns=[CHUNK]), entry_of(right))[0]
-
-    return (data.groupBy(*keys, CHUNK).cogroup(entries.groupBy(*keys, CHUNK)).applyInPandas(final, schema))
+    return sorted_rows(with_entries(data, entries)).mapInPandas(output, schema)
 
 
 def _close(a: str, b: str, kind: T.DataType) -> Column:
@@ -290,10 +313,6 @@ def _close(a: str, b: str, kind: T.DataType) -> Column:
     return same
 
 
-def _ddl(df: DataFrame, ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 def latest_per(df: DataFrame, keys: Sequence[str], *order, newest: bool = True) -> DataFrame:
     """First or last row per key by ``order``: an aggregate, so map tasks keep one row per key."""
     rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
