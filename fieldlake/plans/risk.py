@@ -279,8 +279,11 @@ def behavior_subscore(scopes: DataFrame, fixes: DataFrame, found: DataFrame, zon
         F.avg(F.when(no_elder, F.when(no_adult, 1.0).otherwise(0.5)).otherwise(0.0)).alias("elder_absence"),
         F.countDistinct(F.when(orphan, day_index("detected_epoch_ms"))).alias("orphan_days"))
     # the species has corridors or the component is missing altogether
-    corridors = zones.filter(F.col("active") & (F.col("zone_type") == "CORRIDOR")).select(F.col("species_id").alias("zs")).distinct()
-    has = scopes.select(ID, "species_id").join(corridors, (F.col("zs") == F.col("species_id")) | F.col("zs").isNull(), "left_semi").select(ID, F.lit(True).alias("has_corridor"))
+    corridors = zones.filter(F.col("active") & (F.col("zone_type") == "CORRIDOR"))
+    of_species = corridors.filter("species_id is not null").select("species_id").distinct().withColumn("own_corridor", F.lit(True))
+    of_all = corridors.filter("species_id is null").agg(F.count(F.lit(1)) > 0).scalar()
+    has = scopes.select(ID, "species_id").join(of_species, "species_id", "left").select(
+        ID, (F.coalesce("own_corridor", F.lit(False)) | of_all).alias("has_corridor"))
     keyed = fixes.withColumn("fix", F.xxhash64(ID, "id"))
     kept = spatial.corridor_retention(keyed, zones, [ID], "fix", cfg=cfg).select(ID, "retention")
     body = aggregates.telemetry_summary(fixes, [ID])
