@@ -63,9 +63,8 @@ def _absent(n: Column, k: Column, g: Column) -> Column:
 def rarefied_richness(freqs: DataFrame, keys=(*POPULATION, "time_bin"), compare=("project_id", "target_species", "time_bin")) -> DataFrame:
     """Alleles expected at the smallest sample size among the cells compared."""
     group = [*keys, "locus_name"]
-    sizes = freqs.groupBy(*group).agg(F.max("sample_count").alias("n"))
-    smallest = sizes.groupBy(*compare, "locus_name").agg(F.min("n").alias("rarefaction_size"))
-    rows = freqs.join(smallest, [*compare, "locus_name"])
+    # the table of frequencies is small by now: one window over the compared cells' alleles of a locus
+    rows = freqs.withColumn("rarefaction_size", F.min("sample_count").over(Window.partitionBy(*compare, "locus_name")))
     seen = F.lit(1.0) - _absent(F.col("sample_count"), F.col("allele_samples"), F.col("rarefaction_size"))
     return rows.groupBy(*group).agg(F.sum(seen).alias("allelic_richness"), F.max("rarefaction_size").alias("rarefaction_size"),
                                     F.max("sample_count").alias("sample_count"))

@@ -198,15 +198,12 @@ def threat_subscore(scopes: DataFrame, threats: DataFrame, zones: DataFrame, cfg
     """Decayed, weighted and located pressure on a saturating curve. No events is a genuine zero."""
     home = F.sqrt(F.col("reference_range_km2") / 3.141592653589793) * 1000.0 if "reference_range_km2" in scopes.columns else F.lit(None).cast("double")
     around = scopes.select(ID, "species_id", "end_ms", F.col("latitude").alias("home_lat"), F.col("longitude").alias("home_lon"), home.alias("home_radius_m"))
-    rows = scale.salted_join(threats, around, [ID]).withColumn("age_s", (F.col("end_ms") - F.col("detected_epoch_ms")) / 1000.0)
+    rows = threats.join(around, ID).withColumn("age_s", (F.col("end_ms") - F.col("detected_epoch_ms")) / 1000.0)
     rows = rows.filter(F.col("age_s").between(0.0, cfg.threat_window_days * 86400.0))
-    rows = rows.withColumn("event", F.xxhash64(ID, "detected_epoch_ms", "class_name", "source_type", "confidence", "latitude", "longitude", "record_id"))
-    # identical events weigh the same: place each kind once and count it
-    kinds = rows.groupBy("event", ID, "species_id", "class_name", "confidence", "latitude", "longitude", "age_s", "home_lat", "home_lon", "home_radius_m").agg(F.count(F.lit(1)).alias("n"))
-    placed = spatial.zone_multiplier(kinds, zones, "event", cfg=cfg)
-    power = text.threat_weight("class_name", cfg) * F.col("confidence") * decay("age_s", cfg.threat_half_life_h * 3600.0) * F.col("proximity") * F.col("n")
-    sums = placed.groupBy(ID).agg(F.sum(power).alias("pressure"), F.sum("n").alias("event_count"),
-                                  F.sum(F.when(F.col("proximity") > 1, F.col("n")).otherwise(0)).alias("core_zone_events"))
+    placed = spatial.zone_multiplier(rows, zones, cfg=cfg)
+    power = text.threat_weight("class_name", cfg) * F.col("confidence") * decay("age_s", cfg.threat_half_life_h * 3600.0) * F.col("proximity")
+    sums = placed.groupBy(ID).agg(F.sum(power).alias("pressure"), F.count(F.lit(1)).alias("event_count"),
+                                  F.count(F.when(F.col("proximity") > 1, 1)).alias("core_zone_events"))
     wide = joins.assemble(scopes, sums)
     pressure = F.coalesce("pressure", F.lit(0.0))
     if "acoustic_threat_event_count" in scopes.columns:
