@@ -125,6 +125,8 @@ def _sorted_shards(width: int):
     Rows come sorted by (anchor, part); whole shards are gathered until SHARD_BYTES and sorted in one suffix array. That
     strings of several shards meet in it only finds repeats that are true.
     """
+    names = ["kind", "id", "mark", "low", "high", "w1", "w2", "shard", "sure"]
+
     def solve(table: pa.Table):
         bodies = table.column("body").to_pylist()
         part, place, number = repeated_starts(bodies, width)
@@ -136,14 +138,22 @@ def _sorted_shards(width: int):
         first = np.ones(len(number), bool)
         first[1:] = number[1:] != number[:-1]
         group = np.cumsum(first) - 1
-        repeated = np.bincount(group) > 1
+        # contexts of one document overlap, so equal strings count by their places; a witness stands for several places
+        code = table.column("id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[part]
+        mark, at = table.column("mark").to_numpy()[part], low[part] + place
+        order = np.lexsort((at, mark, code, group))
+        other = np.ones(len(order), bool)
+        other[1:] = False
+        for column in (group, code, mark, at):
+            other[1:] |= column[order][1:] != column[order][:-1]
+        repeated = (np.bincount(group[order][other]) > 1) | (np.bincount(group, known[part]) > 0)
         found = repeated[group] & ~known[part]
         rows, a, b = _runs(part[found], place[found], width)
         take = pa.array(rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(len(rows), np.int8)), table.column("id").combine_chunks().take(take), table.column("mark").combine_chunks().take(take),
-             pa.array(low[rows] + a), pa.array(low[rows] + b), pa.array(np.zeros(len(rows), np.int64)), pa.array(np.zeros(len(rows), np.int64)),
-             pa.array(np.zeros(len(rows), np.int64))], ["kind", "id", "mark", "low", "high", "w1", "w2", "shard"])
+             pa.array(low[rows] + a), pa.array(low[rows] + b), *[pa.array(np.zeros(len(rows), np.int64))] * 3,
+             pa.array(np.ones(len(rows), bool))], names)
         # one of each different string of a spread anchor, for the merge across its shards
         one = np.flatnonzero(spread[part])
         if len(one):
@@ -156,10 +166,10 @@ def _sorted_shards(width: int):
             w2 = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
             take = pa.array(part[one])
             at = low[part[one]] + place[one]
+            sure = pa.array(repeated[group[one]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(one), np.int8)), table.column("id").combine_chunks().take(take), table.column("mark").combine_chunks().take(take),
-                 pa.array(at), pa.array(at + width), pa.array(w1), pa.array(w2), pa.array(shard[part[one]])],
-                ["kind", "id", "mark", "low", "high", "w1", "w2", "shard"])
+                 pa.array(at), pa.array(at + width), pa.array(w1), pa.array(w2), pa.array(shard[part[one]]), sure], names)
 
     def run(batches):
         waiting, size = [], 0
@@ -186,12 +196,16 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
 
 
 def _merged(batches):
-    """Strings that several shards hold, by binary search of each shard's sorted strings in those merged before."""
+    """Strings that several shards hold, by binary search of each shard's sorted strings in those merged before.
+
+    The same place may come from two shards; it is a repeat only if a shard has seen the string at another place.
+    """
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     table = pa.Table.from_batches(batches).combine_chunks()
-    w1, w2, shard = (table.column(n).to_numpy() for n in ("w1", "w2", "shard"))
+    w1, w2, shard, mark, low, sure = (table.column(n).to_numpy() for n in ("w1", "w2", "shard", "mark", "low", "sure"))
+    code = table.column("id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
     key = mixed(w1.view(np.uint64) ^ (w2.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     hit = np.zeros(len(key), bool)
     order = np.lexsort((key, shard))
@@ -203,8 +217,10 @@ def _merged(batches):
         met = at < len(seen)
         met[met] = seen[at[met]] == key[mine[met]]
         met[met] = (w1[mine[met]] == w1[owner[at[met]]]) & (w2[mine[met]] == w2[owner[at[met]]])
-        hit[mine[met]] = True
-        hit[owner[at[met]]] = True
+        here, there = mine[met], owner[at[met]]
+        true = (mark[here] != mark[there]) | (low[here] != low[there]) | (code[here] != code[there]) | sure[here] | sure[there]
+        hit[here[true]] = True
+        hit[there[true]] = True
         fresh = mine[~met]
         into = np.searchsorted(seen, key[fresh])
         seen, owner = np.insert(seen, into, key[fresh]), np.insert(owner, into, fresh)
@@ -237,8 +253,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
     bodies = (source.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__mark") == F.col("mark"))).select("__id", "__mark", "__text", "__wanted")
               .mapInArrow(_cut_out, f"id {kind}, mark long, low long, anchor long, part long, parts long, known boolean, body binary"))
     sharded = bodies.repartition(F.col("anchor"), F.col("part")).sortWithinPartitions("anchor", "part")
-    solved = stage(sharded.mapInArrow(_sorted_shards(width), f"kind byte, id {kind}, mark long, low long, high long, w1 long, w2 long, shard long"), "spans")
-    merged = (solved.filter("kind = 1").select("id", "mark", "low", "high", "w1", "w2", "shard").repartition("w1", "w2")
+    solved = stage(sharded.mapInArrow(_sorted_shards(width), f"kind byte, id {kind}, mark long, low long, high long, w1 long, w2 long, shard long, sure boolean"), "spans")
+    merged = (solved.filter("kind = 1").select("id", "mark", "low", "high", "w1", "w2", "shard", "sure").repartition("w1", "w2")
               .mapInArrow(_merged, f"id {kind}, mark long, low long, high long"))
     return whole.unionByName(solved.filter("kind = 0").select("id", "mark", "low", "high")).unionByName(merged)
 

@@ -21,23 +21,22 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def chunked(docs: DataFrame, id: str, text: str, average: int = AVERAGE) -> DataFrame:
-    """``__id``, ``__mark``, ``__lines`` and ``__chunks`` (array of k, first line, number of lines) of every row.
+def chunked(df: DataFrame, text: str, average: int = AVERAGE) -> DataFrame:
+    """``df`` with ``__lines`` and ``__chunks`` (array of k, first line, number of lines) of every row.
 
     A null text has one empty line, as an empty one has; a text of any length is cut in one pass over its lines.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = _held(docs.select(F.col(id).alias("__id"), F.xxhash64(body).alias("__mark"), F.split(body, "\n", -1).alias("__lines")),
-                  __hashes=F.transform("__lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")))
+    lines = _held(df, __lines=F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    hashed = _held(lines, __hashes=F.transform("__lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")))
     previous = F.concat(F.array(F.lit(0).cast("long")), F.slice("__hashes", F.lit(1), F.size("__hashes") - 1))
     rolled = F.transform(F.arrays_zip(F.col("__hashes").alias("now"), previous.alias("before")),
                          lambda x, i: F.when((x["now"] + 31 * x["before"]) % average == 0, i + 1)
                          .when(i + 1 == F.size("__lines"), i + 1))
-    ends = _held(lines, __ends=F.filter(rolled, lambda e: e.isNotNull()))
+    ends = _held(hashed, __ends=F.filter(rolled, lambda e: e.isNotNull()))
     starts = F.concat(F.array(F.lit(0)), F.slice("__ends", F.lit(1), F.size("__ends") - 1))
     spans = F.transform(F.arrays_zip(F.col("__ends").alias("stop"), starts.alias("first")),
                         lambda x, k: F.struct(k.alias("k"), x["first"].alias("first"), (x["stop"] - x["first"]).alias("n")))
-    return _held(ends, __chunks=spans).select("__id", "__mark", "__lines", "__chunks")
+    return _held(ends, __chunks=spans).drop("__hashes", "__ends")
 
 
 def _joined(x: Column) -> Column:
@@ -52,7 +51,9 @@ def repeated_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", ave
     text itself), so chunks that share a hash alone stay.
     """
     long = F.filter("__chunks", lambda x: x["n"] >= min_lines)
-    rows = (chunked(docs, id, text, average)
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(id).alias("__id"), F.xxhash64(body).alias("__mark"), body.alias("__text"))
+    rows = (chunked(own, "__text", average)
             .select("__id", "__mark", F.explode(F.transform(long, lambda x: F.struct(x["k"].alias("__k"), _joined(x).alias("__body")))))
             .select("__id", "__mark", "col.*").withColumn("__hash", F.xxhash64("__body")))
     common = rows.groupBy("__hash").agg(F.count("*").alias("__n")).filter("__n > 1")
@@ -67,23 +68,21 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", average
     """``docs`` with the text that is left, plus ``n_lines`` and ``n_lines_removed``; no row is lost.
 
     Rows that repeat both id and text count as one document. A text from which nothing is removed comes back
-    unchanged, a null one stays null. Ids may be null; they sort first.
+    unchanged, a null one stays null. Ids may be null; they sort first. Columns that have the names of the two counts are
+    replaced.
     """
+    docs = docs.drop("n_lines", "n_lines_removed")
     gone = (repeated_chunks(docs, id, text, average, min_lines).groupBy("__id", "__mark").agg(F.collect_set("__k").alias("__gone"))
             .select(F.col("__id").alias("__gid"), F.col("__mark").alias("__gmark"), "__gone"))
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     both = docs.join(gone, docs[id].eqNullSafe(F.col("__gid")) & (mark == F.col("__gmark")), "left").drop("__gid", "__gmark")
     # only rows that lose something are cut again
-    cut = F.when(F.col("__gone").isNotNull(), F.col(text))
-    parts = chunked(both.withColumn("__row", F.struct(*docs.columns, "__gone")).withColumn("__cut", cut), "__row", "__cut", average)
-    left = F.filter("__chunks", lambda x: ~F.array_contains(F.coalesce(F.col("__id")["__gone"], F.array().cast("array<int>")), x["k"]))
+    parts = chunked(both.withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.col(text))), "__cut", average)
+    whole, changed = F.coalesce(F.col(text), F.lit("")), F.col("__gone").isNotNull()
+    left = F.filter("__chunks", lambda x: ~F.array_contains("__gone", x["k"]))
     kept = F.array_join(F.flatten(F.transform(left, lambda x: F.slice("__lines", x["first"] + 1, x["n"]))), "\n")
-    removed = F.aggregate(F.filter("__chunks", lambda x: F.array_contains(F.col("__id")["__gone"], x["k"])),
-                          F.lit(0), lambda n, x: n + x["n"])
-    whole = F.col("__id")[text]
-    changed = F.col("__id")["__gone"].isNotNull()
+    removed = F.aggregate(F.filter("__chunks", lambda x: F.array_contains("__gone", x["k"])), F.lit(0), lambda n, x: n + x["n"])
     return parts.select(
-        *[F.when(changed, kept).otherwise(whole).alias(c) if c == text else F.col("__id")[c].alias(c) for c in docs.columns],
-        (F.length(F.coalesce(whole, F.lit(""))) - F.length(F.replace(F.coalesce(whole, F.lit("")), F.lit("\n"), F.lit(""))) + 1)
-        .alias("n_lines"),
+        *[F.when(changed, kept).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns],
+        (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
         F.when(changed, removed).otherwise(0).alias("n_lines_removed"))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from fieldlake.llm.common import stage
 
-PIVOTS = 256  # the usable vectors with the smallest hash of their id: a bounded sample
-KEPT = 32
+PIVOTS = 128  # the usable vectors with the smallest hash of their id: a bounded sample
+KEPT = 64
 BLOCK = 8192  # vectors of a block, on average
 QUERY_BLOCK = 2048  # queries compared with a block at a time, on average
 RERANK = 0.1
@@ -70,7 +70,7 @@ def _cell(k: int, n_pivots: int, share: float):
             by = np.argsort(perms.ravel(), kind="stable")
             edges = np.searchsorted(perms.ravel()[by], np.arange(n_pivots + 1))
             member, place = by // kept, by % kept
-            depth = max(4 * k, int(np.ceil(share * len(ids))))
+            depth = max(20 * k, int(np.ceil(share * len(ids))))
             qid, qv, qp = queries.column("vec_id").to_numpy(), _matrix(queries.column("v")), _matrix(queries.column("pivots"))
             for row in range(len(qid)):
                 files = [slice(edges[p], edges[p + 1]) for p in qp[row]]
@@ -107,8 +107,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
     points = np.array([r["v"] for r in sample], np.float64)
     kind = "vec_id long, v array<double>, pivots array<short>"
     index = stage(good.mapInArrow(_orders(points, min(kept, len(points))), kind), "index")
-    asked = (index.join(queries.select(F.col(id).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
-             .groupBy("vec_id").agg(F.min(F.struct("v", "pivots")).alias("x")).select("vec_id", "x.v", "x.pivots"))
+    asked = stage(index.join(queries.select(F.col(id).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
+             .groupBy("vec_id").agg(F.min(F.struct("v", "pivots")).alias("x")).select("vec_id", "x.v", "x.pivots"), "queries")
     n, n_asked = index.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     left = (index.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))

@@ -96,9 +96,9 @@ def _op5(table):
 SHINGLES_SQL = r"""
 with t as (select 'd' kind, doc_id id, text from documents union all select 'b', item_id, text from benchmark),
 w as (select kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-  '[\x20\x09-\x0D]+'), x -> x <> '') w from t),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') w from t),
 s as (select distinct kind, id, unnest(case when len(w) < 6 then [array_to_string(w, ' ')]
-  else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) end) s from w where len(w) > 0),
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) s from w where len(w) > 0),
 q as (select id, count(*) n from s where kind = 'b' group by id)
 select d.id doc_id, b.id item_id, count(*) n_shared, any_value(q.n) n_item, round(count(*) / any_value(q.n), 6) containment
 from s d join s b using (s) join q on q.id = b.id where d.kind = 'd' and b.kind = 'b'

@@ -24,8 +24,8 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, edges
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by at least their first ``depth`` symbols, and their ranks.
+def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and their ranks. A separator makes every suffix differ from all others.
 
     Sort by the first seven symbols, then double: groups of suffixes that agree so far are sorted by the rank of the
     suffix that many places on. Suffixes that stand alone are never looked at again, so the work shrinks to the
@@ -36,7 +36,8 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     padded = np.concatenate([symbols.astype(np.uint64), np.full(FIRST, 256, np.uint64)])
     ends = np.zeros(n, bool)
     for k in range(FIRST):
-        key = (key << np.uint64(9)) | padded[k:k + n]
+        # what follows a separator does not count: separators are in order of their places
+        key = (key << np.uint64(9)) | np.where(ends, np.uint64(0), padded[k:k + n])
         ends |= padded[k:k + n] == 256
     order = np.argsort(key, kind="stable")
     held = key[order]
@@ -49,7 +50,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     alone = new & np.append(new[1:], True)
     open_places = np.flatnonzero(~alone)  # places in the order that are not settled
     reach = FIRST
-    while len(open_places) and reach < depth:
+    while len(open_places):
         members = order[open_places]
         ahead = members + reach
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
@@ -97,7 +98,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int) -> np.nd
 def repeated_starts(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all ``width``-byte strings within ``parts``: the part, the place in it, and a number that equal strings share."""
     symbols, edges = joined(parts)
-    order, _ = suffix_array(symbols, width)
+    order, _ = suffix_array(symbols)
     shared = common_prefixes(symbols, order, width)
     part = np.repeat(np.arange(len(parts)), np.diff(edges))
     room = edges[part + 1] - 1 - np.arange(len(symbols))  # bytes from here to the end of the part

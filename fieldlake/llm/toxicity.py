@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlake.llm.common import LOWER, prefix_hash, raw, slices, span_hash, stage, words
+from fieldlake.llm.common import LOWER, filtered, prefix_hash, raw, slices, span_hash, stage, words
 
 FIT_ROWS = 4000  # labelled rows of each class that the fit uses at most, those with the smallest hash of their id
 GRADES = 3  # grades above zero
-Z_SCORE = 5.0  # a word is a feature if its rates in the two classes differ by this many standard errors
+Z_SCORE = 4.0  # a word is a feature if its rates in the two classes differ by this many standard errors
 REJECT = 0.5  # expected severity from which a document is toxic
 
 #: Bytes between words: all of ASCII but letters and digits.
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     pooled = (F.col("t") + F.col("o")) / (a + b)
     z = (rate - other) / F.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b))
     chosen = (held.select(F.explode("words").alias("word"), (F.col("toxic") != 0).cast("int").alias("t")).groupBy("word")
-              .agg(F.sum("t").alias("t"), F.sum(1 - F.col("t")).alias("o")).filter("t + o >= 5").withColumn("z", z)
+              .agg(F.sum("t").alias("t"), F.sum(1 - F.col("t")).alias("o")).filter("t + o >= 4").withColumn("z", z)
               .filter(F.abs("z") >= Z_SCORE))
     features = sorted((r["word"], r["z"]) for r in chosen.select("word", "z").collect())
     if not features:
