@@ -28,7 +28,7 @@ from fieldlake.llm.suffix_array import repeated_starts
 WIDTH = 200
 GRAM = 40
 SHARD_CONTEXTS = 4096
-SHARD_BYTES = 2 << 20  # contexts sorted at once: as many whole shards as fit
+SHARD_BYTES = 1 << 19  # contexts sorted at once, which fit in a processor cache: as many whole shards as fit
 _LOW = np.uint64((1 << 20) - 1)
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 
-FIRST = 7  # symbols in the first sort key, nine bits each
 STRIDE = 16  # Kasai's pass advances this many text places apart at once
 
 
@@ -24,85 +23,101 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, edges
 
 
-def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and their ranks. A separator makes every suffix differ from all others.
+def first_keys(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The first symbols of every suffix in one integer, whether a separator is among them, bits and symbols of a key.
 
-    Sort by the first seven symbols, then double: groups of suffixes that agree so far are sorted by the rank of the
-    suffix that many places on. Suffixes that stand alone are never looked at again, so the work shrinks to the
-    repeats.
+    Bytes are renumbered without gaps, which gives a key as many symbols as 63 bits hold. What follows a separator
+    does not count: separators are in order of their places.
     """
+    used = np.unique(symbols[symbols < 256])
+    bits = max(1, int(len(used)).bit_length())
+    reach = 63 // bits
+    number = np.zeros(257, np.uint64)
+    number[used] = np.arange(1, len(used) + 1)  # a separator is zero
     n = len(symbols)
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate([symbols.astype(np.uint64), np.full(FIRST, 256, np.uint64)])
-    ends = np.zeros(n, bool)
-    for k in range(FIRST):
-        # what follows a separator does not count: separators are in order of their places
-        key = (key << np.uint64(9)) | np.where(ends, np.uint64(0), padded[k:k + n])
-        ends |= padded[k:k + n] == 256
-    order = np.argsort(key, kind="stable")
+    padded = np.concatenate([number[symbols], np.zeros(reach, np.uint64)])
+    key, ends = np.zeros(n, np.uint64), np.zeros(n, bool)
+    for k in range(reach):
+        ends |= padded[k:k + n] == 0
+        key <<= np.uint64(bits)
+        key |= np.where(ends, np.uint64(0), padded[k:k + n])
+    return key, ends, bits, reach
+
+
+def suffix_array(key: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
+    """Suffixes in order, from the keys of their first ``reach`` symbols. A separator makes every suffix differ.
+
+    Sort by the keys, then double: groups of suffixes that agree so far are sorted by the rank of the suffix that many
+    places on. Suffixes that stand alone are never looked at again, so the work shrinks to the repeats.
+    """
+    n = len(key)
+    order = np.argsort(key)
+    at = np.flatnonzero(ends[order])  # equal keys with a separator: in order of their places
+    tied = order[at]
+    order[at] = tied[np.lexsort((tied, key[tied]))]
     held = key[order]
     new = np.ones(n, bool)
-    new[1:] = (held[1:] != held[:-1]) | ends[order[1:]]  # a separator inside the key makes a suffix unlike all others
+    new[1:] = (held[1:] != held[:-1]) | ends[order[1:]]
     heads = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
-    group = np.repeat(heads, np.diff(np.append(heads, n)))
-    rank[order] = group
-    alone = new & np.append(new[1:], True)
-    open_places = np.flatnonzero(~alone)  # places in the order that are not settled
-    reach = FIRST
+    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    open_places = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in the order that are not settled
     while len(open_places):
         members = order[open_places]
-        ahead = members + reach
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        first = rank[members]
-        by = np.lexsort((second, first))
-        members, first, second = members[by], first[by], second[by]
+        both = rank[members] << 32 | rank[members + reach]  # a repeat ends before the last separator, so this is inside
+        by = np.argsort(both)
+        members, both = members[by], both[by]
         order[open_places] = members  # open places lie in order of their groups
         new = np.ones(len(members), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        new[1:] = both[1:] != both[:-1]
         heads = np.flatnonzero(new)
         rank[members] = np.repeat(open_places[heads], np.diff(np.append(heads, len(members))))
-        alone = new & np.append(new[1:], True)
-        open_places = open_places[~alone]
+        open_places = open_places[~(new & np.append(new[1:], True))]
         reach *= 2
-    return order, rank
+    return order
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+def common_prefixes(key: np.ndarray, room: np.ndarray, order: np.ndarray, bits: int, reach: int, limit: int) -> np.ndarray:
     """Symbols, up to ``limit``, that the suffix at each place of the order has in common with the one before it.
 
     Kasai's bound lets the suffix one place on in the text start from one symbol less. The text is walked from
-    ``STRIDE`` residues at once: all places that are equal modulo ``STRIDE`` advance together.
+    ``STRIDE`` residues at once: all places that are equal modulo ``STRIDE`` advance together, a whole key at a time.
+    ``room`` is the number of symbols before the next separator.
     """
-    n = len(symbols)
+    n = len(key)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
     for residue in range(STRIDE):
         at = np.arange(residue, n, STRIDE)
         at = at[before[at] >= 0]
-        length = np.maximum(shared[at - 1] - 1, 0) if residue else np.zeros(len(at), np.int64)
-        live = np.arange(len(at))
+        other = before[at]
+        most = np.minimum(np.minimum(room[at], room[other]), limit)
+        length = np.minimum(np.maximum(shared[at - 1] - 1, 0), most) if residue else np.zeros(len(at), np.int64)
+        live = np.flatnonzero(length < most)
         while len(live):
-            a, b = at[live] + length[live], before[at[live]] + length[live]
-            inside = (a < n) & (b < n) & (length[live] < limit)
-            same = np.zeros(len(live), bool)
-            x = symbols[a[inside]]
-            same[inside] = (x == symbols[b[inside]]) & (x != 256)
-            length[live[same]] += 1
-            live = live[same]
-        shared[at] = length
+            a, b = at[live] + length[live], other[live] + length[live]
+            differ = key[a] ^ key[b]
+            whole = differ == 0
+            length[live[whole]] += reach
+            rest = np.flatnonzero(~whole)
+            if len(rest):  # equal symbols at the front of the keys
+                left = differ[rest]
+                length[live[rest]] += sum((left >> np.uint64(bits * k) == 0).astype(np.int64) for k in range(1, reach))
+            live = live[whole]
+            live = live[length[live] < most[live]]
+        shared[at] = np.minimum(length, most)
     return shared[order]
 
 
 def repeated_starts(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all ``width``-byte strings within ``parts``: the part, the place in it, and a number that equal strings share."""
     symbols, edges = joined(parts)
-    order, _ = suffix_array(symbols)
-    shared = common_prefixes(symbols, order, width)
+    key, ends, bits, reach = first_keys(symbols)
+    order = suffix_array(key, ends, reach)
     part = np.repeat(np.arange(len(parts)), np.diff(edges))
-    room = edges[part + 1] - 1 - np.arange(len(symbols))  # bytes from here to the end of the part
-    number = np.cumsum(shared < width)  # of the run of suffixes with the same first ``width`` symbols
+    room = edges[part + 1] - 1 - np.arange(len(symbols))
+    number = np.cumsum(common_prefixes(key, room, order, bits, reach, width) < width)  # of the run of suffixes that begin alike
     kept = room[order] >= width
     places = order[kept]
     return part[places], places - edges[part[places]], number[kept]

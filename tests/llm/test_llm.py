@@ -56,16 +56,17 @@ def test_suffix_array_and_common_prefixes():
     r = random.Random(1)
     parts = [bytes(r.choice(b"ab" if k % 2 else b"a") for _ in range(r.randint(0, 60))) for k in range(30)]
     symbols, edges = suffix_array.joined(parts)
-    order, _ = suffix_array.suffix_array(symbols)
+    key, sep, bits, reach = suffix_array.first_keys(symbols)
+    order = suffix_array.suffix_array(key, sep, reach)
     ends = np.repeat(edges[1:], np.diff(edges))
-    suffixes = [tuple(symbols[p:ends[p]].tolist()) for p in order]
+    suffixes = [tuple(-1 if s == 256 else int(s) for s in symbols[p:ends[p]]) for p in order]
     assert sorted(order.tolist()) == list(range(len(symbols)))
     assert [s[:50] for s in suffixes] == sorted(s[:50] for s in suffixes)
-    shared = suffix_array.common_prefixes(symbols, order, 50)
+    shared = suffix_array.common_prefixes(key, ends - 1 - np.arange(len(symbols)), order, bits, reach, 50)
     for k in range(1, len(order)):
         a, b = suffixes[k - 1], suffixes[k]
         n = 0
-        while n < min(len(a), len(b), 50) and a[n] == b[n] != 256:
+        while n < min(len(a), len(b), 50) and a[n] == b[n] != -1:
             n += 1
         assert shared[k] == n
 
