@@ -9,6 +9,7 @@ import json
 import os
 import pathlib
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
@@ -28,7 +29,8 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false"})
+    spark = build("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+                                                    "spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="fieldlake-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.load().QUERIES
     queries["table_profile"](spark, folder).collect()  # start the JVM's caches

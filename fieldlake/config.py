@@ -164,7 +164,6 @@ class RiskConfig:
     analysis_radius_m: float = 50000.0
     genetics_lookback_days: float = 365.0
     density_grid: int = 5
-    max_fixes: int = 20000
     max_trace_ids: int = 5000
     mortality_keywords: tuple = ("carcass", "mortality", "dead")
     # synthesis
@@ -283,8 +282,6 @@ class AnalyticsConfig:
         "wildlife_sightings": 0.25, "animal_presence": 0.15, "temperature_variability": -0.15,
         "acoustic_threats": -0.30, "conservation_risk": -0.15,
     })
-    max_clusters: int = 50
-    kmeans_iterations: int = 25
     max_divisions: int = 256
 
 

@@ -56,7 +56,7 @@ def fan_out(alerts: DataFrame, subscriptions: DataFrame, cfg: AlertConfig = ALER
     keys = F.when(F.col("zone").isNull(), F.array(F.lit(EVERYONE))).otherwise(
         F.array_append(cell_ancestors("zone"), F.lit(EVERY_ZONE)))
     rows = alerts.withColumn("__rank", rank("priority", cfg)).withColumn("key", F.explode(F.array_distinct(keys)))
-    pairs = scale.salted_join(rows, subscription_keys(subscriptions, cfg), ["key"])
+    pairs = scale.spread_join(rows, subscription_keys(subscriptions, cfg), ["key"])
     return pairs.filter(F.col("__rank") >= F.col("floor")).select(*alerts.columns, "client_id").distinct()
 
 

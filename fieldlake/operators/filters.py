@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldlake.config import ESCALATION_TIERS, MEASUREMENTS, RISK, RiskConfig
 from fieldlake.functions import geo, jsonx, text
 from fieldlake.functions.timex import col
+from fieldlake.operators import scale
 
 
 @dataclass(frozen=True)
@@ -229,6 +230,6 @@ def report_view(df: DataFrame, narrative_chars: int | None = None) -> DataFrame:
 def with_count(df: DataFrame, keys) -> DataFrame:
     """Partition size beside every row: an aggregate joined back, so no key is buffered in one task."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
-    return df.join(counts, list(keys), "left")
+    return scale.same_key_join(df, counts, list(keys))
 
 

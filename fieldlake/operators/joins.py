@@ -21,13 +21,13 @@ VALID, NO_LOCATION = "VALID", "MISSING_DEVICE_LOCATION"
 def attach_location(windows: DataFrame, devices: DataFrame) -> DataFrame:
     """Audio windows with their device's place; a device without one is flagged, not dropped."""
     place = devices.select("device_id", "location_id", "latitude", "longitude", "altitude")
-    out = scale.salted_join(windows, place, ["device_id"], "left")
+    out = scale.spread_join(windows, place, ["device_id"], "left")
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     return out.withColumn("validation_status", F.when(located, VALID).otherwise(NO_LOCATION))
 
 
 def with_species(df: DataFrame, species: DataFrame, how: str = "left", columns=("scientific_name",)) -> DataFrame:
-    return scale.salted_join(df, species.select(F.col("id").alias("species_id"), *columns), ["species_id"], how)
+    return scale.spread_join(df, species.select(F.col("id").alias("species_id"), *columns), ["species_id"], how)
 
 
 def semi_species(df: DataFrame, species: DataFrame, name: str) -> DataFrame:

@@ -3,16 +3,16 @@
 A window partition is one task, so a key that holds a third of the rows would be one
 task too. Every helper here therefore splits such *hot* keys into time chunks first:
 
-* a key is hot when it holds more than 1/MAX_HOT of the rows, so there are never more
-  than MAX_HOT of them and the table of their cut points is small enough to broadcast;
+* a key is hot when it holds more than ROWS_PER_TASK rows, counted, whatever its share, and it is
+  cut into as many chunks as its rows need. There are at most as many hot keys as the input has
+  multiples of ROWS_PER_TASK; their tables carry no broadcast hint;
 * cut points are approximate quantiles of the order column (a mergeable sketch), so
   chunks are balanced whatever the distribution; they only decide where work is split,
   never what the answer is;
 * what a chunk needs from its predecessors (a halo of rows, a prefix total, a state) is
-  computed from per-chunk summaries, MAX_CHUNKS rows per hot key at most.
+  computed from per-chunk summaries, one row per chunk.
 
-Inputs whose estimated size is below SPLIT_BYTES skip all of this: no key can then be
-larger than one task may hold, and a plain window is the better plan.
+Keys are counted on every input, by a partial aggregate; no size estimate decides.
 """
 
 from __future__ import annotations
@@ -28,55 +28,41 @@ from pyspark.sql import types as T
 
 from fieldlake.session import cut_lineage
 
-MAX_HOT = 1024
-MAX_CHUNKS = 512
-SPLIT_BYTES = 512 * 1024 * 1024
+ROWS_PER_TASK = 1_000_000
 CHUNK = "__chunk"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan (an upper bound for scans and filters)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except ValueError:  # joins multiply estimates until the number has thousands of digits
-        return 1 << 62
-
-
-def needs_split(df: DataFrame, split: bool | None = None) -> bool:
-    return estimated_bytes(df) >= SPLIT_BYTES if split is None else split
-
-
 def _match(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys],
                   F.lit(True))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 1_000_000) -> DataFrame:
-    """Keys with more than 1/MAX_HOT of the rows; at most MAX_HOT of them by construction."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    return counts.filter(F.col("__n") > max(min_rows, total / MAX_HOT))
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more than ``min_rows`` rows, and their number of rows ``__n``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > min_rows)
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], order: str, split: bool | None = None,
-               min_rows: int = 1_000_000, chunks: int = MAX_CHUNKS) -> tuple[DataFrame, bool]:
+               min_rows: int = ROWS_PER_TASK, chunks: int | None = None) -> tuple[DataFrame, bool]:
     """Adds ``__chunk`` (0 for ordinary keys) and says whether any key was split.
 
     ``order`` must be numeric; rows with equal order stay in one chunk, so tie breakers
-    keep their meaning inside it.
+    keep their meaning inside it. The number of chunks follows the largest key. Only a caller
+    that knows its keys to be small passes ``split=False``.
     """
-    if not needs_split(df, split):
+    if split is False:
         return df.withColumn(CHUNK, F.lit(0)), False
     hot = hot_keys(df, keys, min_rows)
-    if hot.isEmpty():
+    largest = hot.agg(F.max("__n")).first()[0]
+    if largest is None:
         return df.withColumn(CHUNK, F.lit(0)), False
+    chunks = chunks or -(-largest // min_rows)
     probabilities = [(i + 1) / chunks for i in range(chunks - 1)]
     rows = df.select(*keys, order).alias("d").join(
-        F.broadcast(hot.select(*keys)).alias("h"), _match("d", "h", keys), "left_semi")
+        hot.select(*keys).alias("h"), _match("d", "h", keys), "left_semi")
     cuts = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(order, probabilities, 10_000))).alias("__cuts"))
-    # at most MAX_HOT x MAX_CHUNKS numbers
-    joined = df.alias("d").join(F.broadcast(cuts).alias("c"), _match("d", "c", keys), "left")
+        F.percentile_approx(order, probabilities, max(10_000, 20 * chunks)))).alias("__cuts"))
+    joined = df.alias("d").join(cuts.alias("c"), _match("d", "c", keys), "left")
     steps = F.array(*[F.lit(1 << p) for p in reversed(range(max(1, (chunks - 1).bit_length())))])
     value, edges = F.col(f"d.{order}"), F.col("c.__cuts")
     position = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(
@@ -90,15 +76,15 @@ def _window(keys, order):
 
 
 def _prefix(summary: DataFrame, keys) -> Window:
-    """Chunks before this one; a hot key has at most MAX_CHUNKS of them."""
+    """Chunks before this one; a hot key has one per ROWS_PER_TASK of its rows."""
     return Window.partitionBy(*keys).orderBy(CHUNK)
 
 
 def _attach(df: DataFrame, carry: DataFrame, keys) -> DataFrame:
-    """Join the per-chunk carry (bounded by MAX_HOT x MAX_CHUNKS rows plus one row per ordinary key)."""
+    """Join the per-chunk carry: one row per chunk of a hot key."""
     right = carry.filter(F.col(CHUNK) > 0)
     names = [c for c in carry.columns if c not in (*keys, CHUNK)]
-    return (df.alias("d").join(F.broadcast(right).alias("k"),
+    return (df.alias("d").join(right.alias("k"),
                                _match("d", "k", [*keys, CHUNK]), "left")
             .select("d.*", *[F.col(f"k.{n}") for n in names]))
 
@@ -283,20 +269,19 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             yield row()
 
     def with_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
-        # chunks of hot keys only: at most MAX_HOT x MAX_CHUNKS rows
-        return (rows.alias("d").join(F.broadcast(entries).alias("e"), _match("d", "e", [*keys, CHUNK]), "left")
+        return (rows.alias("d").join(entries.alias("e"), _match("d", "e", [*keys, CHUNK]), "left")
                 .select("d.*", *[F.col(f"e.{c}") for c in [*slots, "__known"]]))
 
-    hot = hot_keys(df, keys, chunking.get("min_rows", 1_000_000)).select(*keys)
-    hot_rows = data.alias("d").join(F.broadcast(hot).alias("h"), _match("d", "h", keys), "left_semi")
+    hot = hot_keys(df, keys, chunking.get("min_rows", ROWS_PER_TASK)).select(*keys)
+    hot_rows = data.alias("d").join(hot.alias("h"), _match("d", "h", keys), "left_semi")
     blank = [F.lit(None).cast(f.dataType).alias(c) for c, f in zip(slots, fields)]
     entries = cut_lineage(hot_rows.select(*keys, CHUNK).distinct().select("*", *blank, F.lit(False).alias("__known")))
     after = Window.partitionBy(*keys).orderBy(CHUNK)
-    for _ in range(MAX_CHUNKS + 1):
+    while True:  # every round settles at least one more chunk of every key
         ended = sorted_rows(with_entries(hot_rows, entries)).mapInPandas(exits, exit_schema)
         moved = cut_lineage(ended.select(*keys, CHUNK, *[F.lag(c).over(after).alias(c) for c in slots],
                                          F.coalesce(F.lag("__known").over(after), F.lit(False)).alias("__known")))
-        same = reduce(lambda x, y: x & y, [_close(f"a.{c}", f"b.{c}", f.dataType) for c, f in zip(slots, fields)],
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in slots],
                       F.col("a.__known") == F.col("b.__known"))
         changed = moved.alias("a").join(entries.alias("b"), _match("a", "b", [*keys, CHUNK])).filter(~same)
         entries = moved
@@ -305,12 +290,11 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return sorted_rows(with_entries(data, entries)).mapInPandas(output, schema)
 
 
-def _close(a: str, b: str, kind: T.DataType) -> Column:
-    x, y = F.col(a), F.col(b)
-    same = x.eqNullSafe(y)
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        same = same | F.coalesce(F.abs(x - y) <= 1e-12 * F.greatest(F.abs(x), F.abs(y)), F.lit(False))
-    return same
+def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys of which a null equals a null; the keys come from the left side."""
+    added = [c for c in right.columns if c not in keys]
+    return (left.alias("l").join(right.alias("r"), _match("l", "r", keys), how)
+            .select("l.*", *[F.col(f"r.{c}") for c in added]))
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], *order, newest: bool = True) -> DataFrame:
@@ -320,28 +304,15 @@ def latest_per(df: DataFrame, keys: Sequence[str], *order, newest: bool = True)
     return df.groupBy(*keys).agg(pick(F.struct(*df.columns), rank).alias("__row")).select("__row.*")
 
 
-def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 64,
-          split: bool | None = None) -> DataFrame:
-    """First ``n`` rows per key. A large input is cut to n per (key, salt) before the key meets in one task."""
-    if needs_split(df, split) and keys:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        local = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        df = (salted.withColumn("__r", F.row_number().over(local)).filter(F.col("__r") <= n).drop("__r", "__salt"))
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """First ``n`` rows per key. Every map task keeps n rows of a key before the shuffle (a window group limit)."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= n)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 32,
-                split: bool | None = None) -> DataFrame:
-    """Equi join whose hot left keys are spread over ``salts`` tasks, the right side copied only for those keys."""
-    if not needs_split(left, split):
-        return left.join(right, list(on), how)
-    hot = F.broadcast(hot_keys(left, on).select(*on, F.lit(True).alias("__hot")))
-    spread = (left.join(hot, list(on), "left")
-              .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)))
-              .drop("__hot"))
-    copies = (right.join(hot, list(on), "left")
-              .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                              .otherwise(F.array(F.lit(0))))).drop("__hot")
-              .withColumn("__salt", F.col("__salt").cast("bigint")))
-    return spread.withColumn("__salt", F.col("__salt").cast("bigint")).join(copies, [*on, "__salt"], how).drop("__salt")
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join of a left side with hot keys: adaptive execution splits their partitions by measured size.
+
+    ``forceOptimizeSkewedJoin`` (see ``session.SETTINGS``) lets it do so below an aggregate on the same keys too.
+    """
+    return left.join(right, list(on), how)

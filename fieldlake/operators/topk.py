@@ -44,11 +44,6 @@ def rank_by_risk(df: DataFrame, column: str = "conservation_risk_index") -> Data
     return df.orderBy(F.desc(column))
 
 
-def cap_rows(df: DataFrame, keys, order, n: int = RISK.max_fixes) -> DataFrame:
-    """First ``n`` rows per key in time order; a parity option, assessments do not need it."""
-    return scale.top_n(df, list(keys), [F.asc(o) for o in order], n).drop("rn")
-
-
 def _located(events: DataFrame, cfg: RiskConfig) -> DataFrame:
     return (events.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
             .withColumn("lat4", F.round("latitude", 4)).withColumn("lon4", F.round("longitude", 4))

@@ -13,6 +13,7 @@ from fieldlake.functions import jsonx, text
 from fieldlake.functions.h3grid import is_cell
 from fieldlake.functions.mathx import UNIT_SLACK, clamp_unit, escalation_level
 from fieldlake.functions.timex import col
+from fieldlake.operators import scale
 
 VALID_FIX = "VALID_FIX"
 FUTURE = "FUTURE_TIMESTAMP_ERROR"
@@ -241,17 +242,18 @@ def validate_edna_batch(df: DataFrame, order: str = "source_row", file_keys=("so
 
     A sample's first row fixes its profile; later rows must agree, and of the agreeing rows
     the first per locus is kept. Both "firsts" are aggregates, so a sample or file that
-    holds most of the rows is combined map-side.
+    holds most of the rows is combined map-side. A missing project, sample or locus is a value
+    like any other, so no row is lost.
     """
     rows = df.withColumn("__p", F.lower("project_id")).withColumn("__s", F.lower("sample_id")).withColumn("__l", F.lower("locus_name"))
     lead = [F.lower(profile[0]) if df.schema[profile[0]].dataType.simpleString() == "string" else F.col(profile[0])]
     rows = rows.withColumn("__profile", F.struct(*lead, *[F.col(c) for c in profile[1:]]))
     sample = [*file_keys, "__p", "__s"]
     first = rows.groupBy(*sample).agg(F.min_by("__profile", order).alias("__first"))
-    rows = rows.join(first, sample).withColumn("__agrees", F.col("__profile").eqNullSafe(F.col("__first")))
+    rows = scale.same_key_join(rows, first, sample).withColumn("__agrees", F.col("__profile").eqNullSafe(F.col("__first")))
     locus = [*sample, "__l"]
     kept = rows.filter("__agrees").groupBy(*locus).agg(F.min(order).alias("__kept"))
-    rows = rows.join(kept, locus, "left")
+    rows = scale.same_key_join(rows, kept, locus)
     verdict = (F.when(F.col(order) == F.col("__kept"), None)
                .when(F.col("__agrees") | (F.col("__kept") < F.col(order)), "duplicate_locus")
                .otherwise("conflicting_profile"))

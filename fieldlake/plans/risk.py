@@ -73,7 +73,7 @@ def scoped_detections(scopes: DataFrame, detections: DataFrame, cfg: RiskConfig
     near = spatial.radius_join(detections, centres, cfg.analysis_radius_m, time="detected_epoch_ms").drop("distance_m")
     near = near.filter((F.col("species_id") == F.col("scope_species")) | (F.col("category") == "immediate_threat"))
     nowhere = detections.filter(F.col("latitude").isNull() | F.col("longitude").isNull())
-    tagged = scale.salted_join(nowhere, centres.withColumn("species_id", F.col("scope_species")), ["species_id"]).filter(
+    tagged = scale.spread_join(nowhere, centres.withColumn("species_id", F.col("scope_species")), ["species_id"]).filter(
         F.col("detected_epoch_ms").between(F.col("start_ms"), F.col("end_ms")))
     names = [*detections.columns, ID, "scope_species"]
     return near.select(*names).unionByName(tagged.select(*names))
@@ -102,7 +102,7 @@ def threat_events(found: DataFrame, heard: DataFrame | None) -> DataFrame:
 
 def scoped_readings(scopes: DataFrame, readings: DataFrame) -> DataFrame:
     keyed = scopes.select(ID, "h3_cell", "start_ms", "end_ms")
-    return scale.salted_join(readings.filter(F.col("quality_flag") != "INVALID"), keyed, ["h3_cell"]).filter(
+    return scale.spread_join(readings.filter(F.col("quality_flag") != "INVALID"), keyed, ["h3_cell"]).filter(
         F.col("recorded_epoch_ms").between(F.col("start_ms"), F.col("end_ms")))
 
 
@@ -161,7 +161,7 @@ def fragmentation(scopes: DataFrame, telemetry: DataFrame, features: DataFrame)
     """Track segments of the species in the window and how many cross infrastructure that stood at its end."""
     keys = ["species_id", "start_ms", "end_ms"]
     windows = scopes.select(*keys).distinct()
-    rows = scale.salted_join(telemetry.select("id", "species_id", "animal_id", "recorded_epoch_ms", "latitude", "longitude"), windows, ["species_id"]).filter(
+    rows = scale.spread_join(telemetry.select("id", "species_id", "animal_id", "recorded_epoch_ms", "latitude", "longitude"), windows, ["species_id"]).filter(
         F.col("recorded_epoch_ms").between(F.col("start_ms"), F.col("end_ms")))
     tracks = series.track_segments(rows, [*keys, "animal_id"]).withColumn("segment", F.xxhash64(*keys, "id"))
     met = spatial.crossings(tracks, features, keys, "segment", at="end_ms")
@@ -355,7 +355,7 @@ def with_previous(wide: DataFrame, history: DataFrame, cfg: RiskConfig = RISK) -
     slope = F.col("risk_momentum_per_day") if "risk_momentum_per_day" in history.columns else F.lit(None).cast("double")
     past = history.select("species_id", "h3_cell", F.col("period_end_epoch_ms").alias("__ms"), F.col("conservation_risk_index").alias("__cri"), slope.alias("__slope"))
     asked = wide.select(ID, "species_id", "h3_cell", "end_ms")
-    pairs = scale.salted_join(past, asked, ["species_id", "h3_cell"]).filter(
+    pairs = scale.spread_join(past, asked, ["species_id", "h3_cell"]).filter(
         (F.col("__ms") < F.col("end_ms")) & (F.col("__ms") >= F.col("end_ms") - int(cfg.momentum_lookback_days * DAY_MS)))
     best = pairs.groupBy(ID).agg(F.max_by(F.struct("__ms", "__cri", "__slope"), "__ms").alias("p")).select(
         ID, F.col("p.__ms").alias("previous_end_ms"), clamp("p.__cri").alias("previous_conservation_risk_index"), F.col("p.__slope").alias("previous_slope"))

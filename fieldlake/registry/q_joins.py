@@ -172,11 +172,6 @@ def _(spark, sf):
     return df.select("id", F.round("conservation_risk_index", 6).alias("cri"))
 
 
-@query("cap_rows", "select id, species_id from (select *, row_number() over (partition by species_id order by recorded_epoch_ms, id) as rn from v_telemetry) where rn <= 500")
-def _(spark, sf):
-    return topk.cap_rows(view(spark, sf, "v_telemetry").select("id", "species_id", "recorded_epoch_ms"), ["species_id"], ["recorded_epoch_ms", "id"], 500).select("id", "species_id")
-
-
 @query("dispatch_targets", """
 with e as (select species_id, class_name, case class_name when 'gunshot' then 1.0 else 0.7 end as w, detected_epoch_ms as t, round(latitude, 4) as la, round(longitude, 4) as lo
     from v_detections where category = 'immediate_threat' and latitude is not null and species_id is not null),

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from fieldlake.registry.core import query, rounded
 from fieldlake.registry.views import table
+from fieldlake.session import shared_folder
 from fieldlake.streaming import jobs
 
 
 def _drain(stream, name):
     """Run a stream to its end into Parquet under the session's checkpoint folder and read it back."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = f"{base}/fieldlake-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/fieldlake-{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

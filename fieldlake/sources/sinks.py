@@ -16,22 +16,34 @@ from fieldlake.operators import scale
 
 
 class ParquetTable:
-    """Versioned Parquet folder: ``<path>/v=<n>/`` and the current version in ``<path>/CURRENT``."""
+    """Versioned Parquet folder: ``<path>/v=<n>/`` and the current version in ``<path>/CURRENT``.
+
+    The pointer is replaced by one overwriting rename, so it exists at every moment. If it is lost all the same, the
+    highest version that was written to its end counts. A new version never takes a number that has a folder.
+    """
 
     def __init__(self, spark: SparkSession, path: str, partition: Sequence[str] = ()):
         self.spark, self.path, self.partition = spark, path.rstrip("/"), list(partition)
 
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
     def _fs(self):
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        fs = self._fs()
+        if not fs.exists(self._path()):
+            return []
+        names = [entry.getPath().getName() for entry in fs.listStatus(self._path())]
+        return sorted(int(name[2:]) for name in names if name.startswith("v=") and name[2:].isdigit())
 
     def version(self) -> int | None:
-        jvm, fs = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        fs = self._fs()
+        if fs.exists(self._path("CURRENT")):
+            return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        whole = [n for n in self._versions() if fs.exists(self._path(f"v={n}/_SUCCESS"))]
+        return max(whole, default=None)
 
     def read(self) -> DataFrame | None:
         version = self.version()
@@ -45,17 +57,20 @@ class ParquetTable:
 
     def replace(self, df: DataFrame) -> None:
         """Write the next version, then point at it."""
-        version = (self.version() or 0) + 1
-        self._save(df, version, "overwrite")
-        jvm, fs = self._fs()
-        staged, pointer = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in (f"NEXT{version}", "CURRENT"))
-        out = fs.create(staged, True)
+        version = max([0, *self._versions()]) + 1
+        self._save(df, version, "errorifexists")
+        self.publish(version)
+
+    def publish(self, version: int) -> None:
+        jvm, staged = self.spark._jvm, self._path(f"NEXT{version}")
+        out = self._fs().create(staged, True)
         out.write(bytearray(str(version), "utf-8"))
         out.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        if not fs.rename(staged, pointer):
-            raise RuntimeError(f"could not publish version {version} of {self.path}")
+        options = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark._sc._gateway.new_array(options, 1)
+        how[0] = options.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(staged), context.makeQualified(self._path("CURRENT")), how)
 
     def append(self, df: DataFrame) -> None:
         version = self.version()

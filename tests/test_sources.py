@@ -122,3 +122,24 @@ def test_outbox_and_quarantine(spark, tmp_path):
     assert row["reason"] == "latitude" and row["source_data"]["sample_id"] == "S1" and row["source_hash"] == "h1"
     ledger = spark.createDataFrame([("h1",)], "source_hash string")
     assert sinks.skip_processed(rejected, ledger).count() == 0 and sinks.skip_processed(rejected, None).count() == 1
+
+
+def test_lost_pointer_loses_no_version(spark, tmp_path):
+    table = sinks.ParquetTable(spark, str(tmp_path / "t"))
+    table.replace(spark.range(5))
+    table.replace(spark.range(20))
+    assert table.version() == 2
+    (tmp_path / "t" / "CURRENT").unlink()  # as after a crash between two steps of a writer
+    assert table.version() == 2 and table.read().count() == 20
+    table.append(spark.range(3))
+    assert table.read().count() == 23
+    (tmp_path / "t" / "v=7").mkdir()  # a version that was never finished
+    table.replace(spark.range(1))
+    assert table.version() == 8 and table.read().count() == 1 and (tmp_path / "t" / "v=2").exists()
+
+
+def test_same_key_join_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, x int")
+    from fieldlake.operators import filters
+    got = {r["x"]: r["key_rows"] for r in filters.with_count(rows, ["k"]).collect()}
+    assert got == {1: 2, 2: 2, 3: 1}
