@@ -8,6 +8,7 @@ chain's budget before its whole Hamming distance is taken.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlake.llm.common import LOWER, raw, slices, stage, words
+from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, shingles, slices, span_hash, stage, words
 from fieldlake.llm.graph import components
 
 BITS = 64
@@ -141,12 +142,77 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component; all columns stay.
+WORDS = 24  # 64-bit words of a long fingerprint
+CHAIN = 24  # bits of its segments: a posting key is a segment without differences
+SAMPLE = 128  # shingles of a row that a long fingerprint is made of: those with the smallest hashes
+SLACK = 1.1  # the bits that may differ, over those expected at the wanted similarity
+
+
+def _long_prints(n: int):
+    seeds = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
+    parts = WORDS * 64 // CHAIN
+
+    def run(batches):
+        for batch in slices(batches, "__text"):
+            data, offsets = raw(batch.column("__text"))
+            data, rows = LOWER[data], batch.num_rows
+            starts, ends, owner = words(data, offsets)
+            h, row = shingles(span_hash(prefix_hash(data), starts, ends), owner, rows, n)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            h, row = h[new], row[new]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < SAMPLE
+            h, row = h[near], row[near]
+            prints = np.zeros((rows, WORDS), np.uint64)
+            filled, edge, total = np.unique(row, return_index=True, return_counts=True)
+            for w in range(WORDS if len(filled) else 0):
+                g = mixed(h ^ seeds[w])
+                for bit in range(64):
+                    ones = np.add.reduceat(((g >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), edge)
+                    prints[filled, w] |= (2 * ones > total).astype(np.uint64) << np.uint64(bit)
+            bits = np.unpackbits(prints.view(np.uint8), axis=1).reshape(rows, parts, CHAIN)
+            keys = bits @ (1 << np.arange(CHAIN, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << CHAIN)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                                         for x in (prints.view(np.int64), keys.astype(np.int64)))], ["id", "fp", "keys"])
+    return run
+
+
+def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id`` and ``component`` (smallest id reachable) of every row, for copies that a distance of a few bits cannot find.
+
+    Sets of shingles of a Jaccard similarity s differ in arccos(2s / (1 + s)) / pi of their SimHash bits: 15 % at 0.8. The
+    fingerprint has ``WORDS * 64`` bits, cut into segments of ``CHAIN`` bits. Candidates agree in a whole segment; each
+    fingerprint is compared with the smallest id of every segment it shares, so a group of any size costs one comparison
+    per member and segment. The whole Hamming distance decides. This is a search by chance: of pairs above the threshold
+    most meet in one of the segments (the README has figures). Rows with equal fingerprints are one. Rows without an id
+    keep a null component, no rows give no rows.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+    prints = stage(docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
+                   .mapInArrow(_long_prints(shingle), f"id {kind}, fp array<long>, keys array<long>").filter("id is not null"), "prints")
+    groups = stage(prints.groupBy("fp").agg(F.min("id").alias("low"), F.first("keys").alias("keys")), "groups")
+    posted = groups.select("low", F.explode("keys").alias("key"))
+    lowest = posted.groupBy("key").agg(F.min("low").alias("b"), F.max("low").alias("top")).filter("b < top")
+    pairs = stage(posted.join(lowest, "key").filter("low <> b").select(F.col("low").alias("a"), "b").distinct(), "pairs")
+    held = groups.select("low", "fp")
+    both = (pairs.join(held.select(F.col("low").alias("a"), F.col("fp").alias("fa")), "a")
+            .join(held.select(F.col("low").alias("b"), F.col("fp").alias("fb")), "b"))
+    limit = SLACK * math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * 64
+    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    roots = components(both.filter(distance <= limit).select("a", "b"))
+    rooted = groups.join(roots.select(F.col("node").alias("low"), "root"), "low", "left").select("fp", F.coalesce("root", "low").alias("component"))
+    return prints.join(rooted, "fp").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their component of similar documents; all columns stay.
 
     Rows without an id are kept. Of rows that share the smallest id, one stays, whichever its other columns are.
     """
-    found = near_duplicates(docs, id, text, **options)
+    found = similar_documents(docs, id, text, shingle, similarity)
     dropped = found.filter(F.col("id") > F.col("component")).select(F.col("id").alias("__dropped")).distinct()
     kept = docs.join(dropped, docs[id] == F.col("__dropped"), "left_anti")
     return kept.filter(F.col(id).isNotNull()).dropDuplicates([id]).unionByName(kept.filter(F.col(id).isNull()))

@@ -439,10 +439,30 @@ def test_fingerprints_and_components(spark):
         root = roots[x["fp"] & (1 << 64) - 1]
         low[root] = min((v for v in (low.get(root), x["id"]) if v is not None), default=None)
     assert all(x["component"] == low[roots[x["fp"] & (1 << 64) - 1]] for x in got)
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_one_of_each_group_of_similar_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for x in docs.collect():
+        w = x["text"].encode().lower().split()
+        sets[x["doc_id"]] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    by = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    meet = Counter((a, b) for ids in by.values() for a in ids for b in ids if a < b)
+    like = {p: n / len(sets[p[0]] | sets[p[1]]) for p, n in meet.items()}
+    got = {x["id"]: x["component"] for x in simhash.similar_documents(docs).collect()}
+    clear = [p for p, j in like.items() if j >= 0.85]
+    assert sum(got[a] == got[b] for a, b in clear) >= 0.97 * len(clear)
+    for i, c in got.items():  # nothing is dropped without a document like it
+        assert c == i or max(j for p, j in like.items() if i in p) >= 0.7
+    rows = EDGE + [(4, "one"), (20, "one"), (21, "")]
     kept = simhash.keep_one(frame(spark, rows))
-    ids = Counter(x["doc_id"] for x in kept.collect())
-    assert set(ids) == {x["component"] for x in got} | {None} and max(ids.values()) == 1 and "bucket" in kept.columns
-    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
+    assert "bucket" in kept.columns and sorted(x["doc_id"] or 0 for x in kept.collect()) == [0, 1, 4, 5, 6, 7]
+    assert simhash.keep_one(empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize("distance, segments, bucket", [(2, 5, 64), (2, 5, 2), (2, 5, 1), (2, 7, 3), (4, 9, 64), (4, 9, 2), (0, 3, 4)])
@@ -591,8 +611,7 @@ def test_pipeline(spark, sf):
     assert sum(i not in left for i, t in labels.items() if t) >= 0.6 * sum(labels.values())
     assert kept["line_dedup"].count() == kept["toxicity"].count()
     assert decontaminate.contaminated(kept["decontamination"], bench).count() == 0
-    again = simhash.near_duplicates(kept["near_duplicates"], shingle=5)
-    assert again.filter("id <> component").count() == 0
+    assert simhash.similar_documents(kept["near_duplicates"]).filter("id <> component").count() <= 2
     packed = p.STAGES[-1][1](spark, current, sf)
     assert packed.filter("piece = 0").count() == current.count()
     assert p.run(spark, sf).count() == packed.count()
