@@ -1,8 +1,11 @@
 """Removal of repeated multi-line chunks, in DataFrame expressions only.
 
-Lines are hashed, a rolling hash over ``WINDOW`` = 2 line hashes chooses chunk ends, so an inserted or deleted line moves
-only the chunks around it. A chunk of at least ``MIN_LINES`` lines whose bytes occur more than once in all documents
-is kept at its first place, by (id, mark of the text, position), and removed everywhere else.
+Lines are hashed and a rolling hash over two line hashes chooses chunk ends, so an inserted or deleted line moves
+only the chunks around it. Every text is cut once for each of ``FACTORS``: a passage that one cut does not follow is
+likely to be a whole chunk of another. A line of ``LONG_LINE`` words or more is a chunk of its own in every cut. Chunks of
+at least ``MIN_LINES`` lines, and long lines, whose bytes occur more than once in all documents are kept at their first
+place, by (id, mark of the text, first line), and their lines removed everywhere else. All places are judged on the
+input, and a line goes only where an earlier place holds the same line, so one copy of each line is left.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from fieldlake.llm.common import stage
 
 AVERAGE = 3  # one line in this many ends a chunk
 MIN_LINES = 2
+LONG_LINE = 50  # words, counted as spaces and one
+FACTORS = (31, 101, 1009)  # weight of the line before in the rolling hash of each cut
+SHIFT = 8  # low bits of the rolling hash that do not choose
 
 
 def _held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -21,22 +27,42 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def chunked(df: DataFrame, text: str, average: int = AVERAGE) -> DataFrame:
-    """``df`` with ``__lines`` and ``__chunks`` (array of k, first line, number of lines) of every row.
+def _lines(text: Column) -> Column:
+    """The lines of a text; a null one has one empty line, as an empty one has."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    A null text has one empty line, as an empty one has; a text of any length is cut in one pass over its lines.
+
+def chunked(df: DataFrame, text: str, average: int = AVERAGE, min_lines: int = MIN_LINES) -> DataFrame:
+    """``df`` with ``__lines`` and ``__chunks`` (array of first line, number of lines) of every row, those of all cuts in
+    one array, without the chunks that are too short to be judged.
+
+    A text of any length is cut in one pass over its lines for each cut.
     """
-    lines = _held(df, __lines=F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    hashed = _held(lines, __hashes=F.transform("__lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")))
-    previous = F.concat(F.array(F.lit(0).cast("long")), F.slice("__hashes", F.lit(1), F.size("__hashes") - 1))
-    rolled = F.transform(F.arrays_zip(F.col("__hashes").alias("now"), previous.alias("before")),
-                         lambda x, i: F.when((x["now"] + 31 * x["before"]) % average == 0, i + 1)
-                         .when(i + 1 == F.size("__lines"), i + 1))
-    ends = _held(hashed, __ends=F.filter(rolled, lambda e: e.isNotNull()))
-    starts = F.concat(F.array(F.lit(0)), F.slice("__ends", F.lit(1), F.size("__ends") - 1))
-    spans = F.transform(F.arrays_zip(F.col("__ends").alias("stop"), starts.alias("first")),
-                        lambda x, k: F.struct(k.alias("k"), x["first"].alias("first"), (x["stop"] - x["first"]).alias("n")))
-    return _held(ends, __chunks=spans).drop("__hashes", "__ends")
+    lines = _held(df, __lines=_lines(F.col(text)))
+    spaces = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    hashed = _held(lines, __hashes=F.transform("__lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")),
+                   __long=F.transform("__lines", lambda line: spaces(line) + 1 >= LONG_LINE))
+    none = F.lit(0).cast("long")
+    before = F.concat(F.array(none), F.slice("__hashes", F.lit(1), F.size("__hashes") - 1))
+    after = F.concat(F.slice("__long", F.lit(2), F.size("__long")), F.array(F.lit(True)))  # the last line ends a chunk
+    zipped = _held(hashed, __zip=F.arrays_zip(F.col("__hashes").alias("now"), before.alias("before"),
+                                              F.col("__long").alias("long"), after.alias("next")))
+
+    def ends(factor: int) -> Column:
+        rolled = lambda x: F.shiftright(x["now"] + factor * x["before"], SHIFT) % average == 0
+        marked = F.transform("__zip", lambda x, i: F.when(x["long"] | x["next"] | rolled(x), i + 1))
+        return F.filter(marked, lambda e: e.isNotNull())
+
+    cut = _held(zipped, **{f"__ends{k}": ends(factor) for k, factor in enumerate(FACTORS)})
+
+    def chunks(name: str) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.slice(name, F.lit(1), F.size(name) - 1))
+        return F.transform(F.arrays_zip(F.col(name).alias("stop"), starts.alias("first")),
+                           lambda x: F.struct(x["first"].alias("first"), (x["stop"] - x["first"]).alias("n")))
+
+    every = F.array_distinct(F.concat(*[chunks(f"__ends{k}") for k in range(len(FACTORS))]))
+    judged = F.filter(every, lambda x: (x["n"] >= min_lines) | F.get("__long", x["first"]))
+    return _held(cut, __chunks=judged).drop("__hashes", "__long", "__zip", *[f"__ends{k}" for k in range(len(FACTORS))])
 
 
 def _joined(x: Column) -> Column:
@@ -45,22 +71,30 @@ def _joined(x: Column) -> Column:
 
 def repeated_chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", average: int = AVERAGE,
                     min_lines: int = MIN_LINES) -> DataFrame:
-    """``__id``, ``__mark``, ``__k`` of every chunk occurrence to remove.
+    """``__id``, ``__mark``, ``__first``, ``__n`` (lines) of every chunk occurrence to remove.
 
-    Hashes only narrow down which chunks are compared; the comparison is by their bytes (grouping and joining on the
-    text itself), so chunks that share a hash alone stay.
+    Hashes only narrow down which chunks are compared, and only those chunks' bytes are written; the comparison is
+    by their bytes (grouping and joining on the text itself), so chunks that share a hash alone stay.
     """
-    long = F.filter("__chunks", lambda x: x["n"] >= min_lines)
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(id).alias("__id"), F.xxhash64(body).alias("__mark"), body.alias("__text"))
-    rows = (chunked(own, "__text", average)
-            .select("__id", "__mark", F.explode(F.transform(long, lambda x: F.struct(x["k"].alias("__k"), _joined(x).alias("__body")))))
-            .select("__id", "__mark", "col.*").withColumn("__hash", F.xxhash64("__body")))
-    common = rows.groupBy("__hash").agg(F.count("*").alias("__n")).filter("__n > 1")
-    held = stage(rows.join(common, "__hash", "left_semi"), "chunks")
-    place = F.struct("__id", "__mark", "__k")
-    first = (held.groupBy("__hash", "__body").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).filter("__n > 1"))
-    return held.join(first, ["__hash", "__body"]).filter(~place.eqNullSafe(F.col("__first"))).select("__id", "__mark", "__k")
+    posted = stage(chunked(own, "__text", average, min_lines)
+                   .select("__id", "__mark", F.explode(F.transform("__chunks", lambda x: F.struct(
+                       x["first"].alias("__first"), x["n"].alias("__n"), F.xxhash64(_joined(x)).alias("__hash")))))
+                   .select("__id", "__mark", "col.*").distinct(), "posted")
+    common = posted.groupBy("__hash").agg(F.count("*").alias("__c")).filter("__c > 1")
+    wanted = (posted.join(common, "__hash", "left_semi").groupBy("__id", "__mark")
+              .agg(F.collect_list(F.struct(F.col("__first").alias("first"), F.col("__n").alias("n"), F.col("__hash").alias("hash"))).alias("__wanted"))
+              .select(F.col("__id").alias("__wid"), F.col("__mark").alias("__wmark"), "__wanted"))
+    both = own.join(wanted, own["__id"].eqNullSafe(F.col("__wid")) & (F.col("__mark") == F.col("__wmark")))
+    held = stage(_held(both, __lines=_lines(F.col("__text")))
+                 .select("__id", "__mark", F.explode(F.transform("__wanted", lambda x: F.struct(
+                     x["first"].alias("__first"), x["n"].alias("__n"), x["hash"].alias("__hash"), _joined(x).alias("__body")))))
+                 .select("__id", "__mark", "col.*").distinct(), "chunks")
+    place = F.struct("__id", "__mark", "__first")
+    lowest = held.groupBy("__hash", "__body").agg(F.min(place).alias("__lowest"), F.count("*").alias("__c")).filter("__c > 1")
+    return (held.join(lowest, ["__hash", "__body"]).filter(~place.eqNullSafe(F.col("__lowest")))
+            .select("__id", "__mark", "__first", "__n"))
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", average: int = AVERAGE,
@@ -72,17 +106,19 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", average
     replaced.
     """
     docs = docs.drop("n_lines", "n_lines_removed")
-    gone = (repeated_chunks(docs, id, text, average, min_lines).groupBy("__id", "__mark").agg(F.collect_set("__k").alias("__gone"))
+    gone = (repeated_chunks(docs, id, text, average, min_lines).groupBy("__id", "__mark")
+            .agg(F.collect_set(F.struct(F.col("__first").alias("first"), F.col("__n").alias("n"))).alias("__gone"))
             .select(F.col("__id").alias("__gid"), F.col("__mark").alias("__gmark"), "__gone"))
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     both = docs.join(gone, docs[id].eqNullSafe(F.col("__gid")) & (mark == F.col("__gmark")), "left").drop("__gid", "__gmark")
-    # only rows that lose something are cut again
-    parts = chunked(both.withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.col(text))), "__cut", average)
-    whole, changed = F.coalesce(F.col(text), F.lit("")), F.col("__gone").isNotNull()
-    left = F.filter("__chunks", lambda x: ~F.array_contains("__gone", x["k"]))
-    kept = F.array_join(F.flatten(F.transform(left, lambda x: F.slice("__lines", x["first"] + 1, x["n"]))), "\n")
-    removed = F.aggregate(F.filter("__chunks", lambda x: F.array_contains("__gone", x["k"])), F.lit(0), lambda n, x: n + x["n"])
+    # only rows that lose something are cut into lines again
+    changed = F.col("__gone").isNotNull()
+    parts = _held(both, __lines=F.when(changed, _lines(F.col(text))))
+    removed = F.flatten(F.transform("__gone", lambda x: F.sequence(x["first"], x["first"] + x["n"] - 1)))
+    parts = _held(parts, __left=F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), removed))
+    kept = F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")
+    whole = F.coalesce(F.col(text), F.lit(""))
     return parts.select(
         *[F.when(changed, kept).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns],
         (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
-        F.when(changed, removed).otherwise(0).alias("n_lines_removed"))
+        F.when(changed, F.size("__lines") - F.size("__left")).otherwise(0).alias("n_lines_removed"))

@@ -70,14 +70,16 @@ def _op3(table):
 LINES_SQL = r"""
 with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) lines from documents),
 e as (select doc_id, unnest(lines) line, generate_subscripts(lines, 1) i, len(lines) n from l),
-h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) v from e),
-r as (select *, (v + 31 * coalesce(lag(v) over (partition by doc_id order by i), 0)) % 3 = 0 or i = n as stop from h),
-k as (select *, coalesce(sum(stop::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) k from r),
-c as (select doc_id, k, count(*) n, string_agg(line, chr(10) order by i) body from k group by doc_id, k),
-f as (select *, n >= 2 and row_number() over (partition by body order by n < 2, doc_id, k) > 1 as gone from c)
-select doc_id, cast(sum(n) as bigint) n_lines, cast(sum(case when gone then n else 0 end) as bigint) n_lines_removed,
-  md5(coalesce(string_agg(body, chr(10) order by k) filter (not gone), '')) kept_md5
-from f group by doc_id"""
+h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) v, length(line) - length(replace(line, ' ', '')) >= 49 big from e),
+w as (select *, coalesce(lag(v) over (partition by doc_id order by i), 0) u, coalesce(lead(big) over (partition by doc_id order by i), true) next from h),
+r as (select doc_id, line, i, big, f, big or next or ((v + f * u) >> 8) % 3 = 0 stop from w, (values (31), (101), (1009)) x(f)),
+k as (select *, coalesce(sum(stop::int) over (partition by doc_id, f order by i rows between unbounded preceding and 1 preceding), 0) k from r),
+c as (select distinct doc_id, min(i) a, count(*) n, string_agg(line, chr(10) order by i) body from k group by doc_id, f, k having count(*) >= 2 or bool_or(big)),
+g as (select doc_id, a, n, row_number() over (partition by body order by doc_id, a) > 1 gone from c),
+x as (select distinct doc_id, unnest(range(a, a + n)) i from g where gone)
+select e.doc_id, count(*) n_lines, count(x.i) n_lines_removed,
+  md5(coalesce(string_agg(line, chr(10) order by e.i) filter (x.i is null), '')) kept_md5
+from e left join x on x.doc_id = e.doc_id and x.i = e.i group by e.doc_id"""
 
 
 @query("op4_line_dedup", LINES_SQL)

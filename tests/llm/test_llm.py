@@ -273,6 +273,21 @@ def test_line_chunks(spark):
     assert got.filter("doc_id = 200").first()["text"] is None
 
 
+def test_shared_passages_go_and_every_line_stays_once(spark):
+    r = random.Random(31)
+    passages = [[words_of(r, 60)] for _ in range(10)] + [[words_of(r, r.randint(12, 30)) for _ in range(6)] for _ in range(10)]
+    rows = []
+    for k in range(60):
+        own = [words_of(r, r.randint(8, 80)) for _ in range(4)]
+        rows.append((k, "\n".join(own[:2] + (passages[k % 20] if k < 40 else []) + own[2:])))
+    left = {x["doc_id"]: x["text"].split("\n") for x in line_chunks.dedup_lines(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    assert all(left[k] == texts[k].split("\n") for k in range(20)) and all(left[k] == texts[k].split("\n") for k in range(40, 60))
+    assert all(len(left[k]) == 4 for k in range(20, 30))  # a long line is a chunk of its own
+    assert sum(len(left[k]) <= 6 for k in range(30, 40)) >= 8
+    assert {line for t in texts.values() for line in t.split("\n")} == {line for t in left.values() for line in t}
+
+
 def test_line_chunk_edges(spark):
     assert line_chunks.dedup_lines(empty(spark)).count() == 0
     got = line_chunks.dedup_lines(frame(spark, EDGE)).collect()
