@@ -1,7 +1,8 @@
 """Removal of repeated multi-line chunks, in DataFrame expressions only.
 
-Lines are hashed and a rolling hash over two line hashes chooses chunk ends, so an inserted or deleted line moves
-only the chunks around it. Every text is cut once for each of ``FACTORS``: a passage that one cut does not follow is
+Lines are hashed and a rolling hash over two line hashes chooses chunk ends: those of the two lines before a gap, or of the
+two after it, so that a passage can begin and end a chunk by its own lines. An inserted or deleted line moves only the
+chunks around it. Every text is cut once for each of ``FACTORS``: a passage that one cut does not follow is
 likely to be a whole chunk of another. A line of ``LONG_LINE`` words or more is a chunk of its own in every cut. Chunks of
 at least ``MIN_LINES`` lines, and long lines, whose bytes occur more than once in all documents are kept at their first
 place, by (id, mark of the text, first line), and their lines removed everywhere else. All places are judged on the
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.llm.common import stage
 
-AVERAGE = 3  # one line in this many ends a chunk
+AVERAGE = 3  # one pair of lines in this many ends a chunk behind it, and one in this many before it
 MIN_LINES = 2
 LONG_LINE = 50  # words, counted as spaces and one
 FACTORS = (31, 101, 1009)  # weight of the line before in the rolling hash of each cut
@@ -45,12 +46,14 @@ def chunked(df: DataFrame, text: str, average: int = AVERAGE, min_lines: int = M
     none = F.lit(0).cast("long")
     before = F.concat(F.array(none), F.slice("__hashes", F.lit(1), F.size("__hashes") - 1))
     after = F.concat(F.slice("__long", F.lit(2), F.size("__long")), F.array(F.lit(True)))  # the last line ends a chunk
-    zipped = _held(hashed, __zip=F.arrays_zip(F.col("__hashes").alias("now"), before.alias("before"),
-                                              F.col("__long").alias("long"), after.alias("next")))
+    ahead = [F.slice("__hashes", F.lit(k), F.size("__hashes")) for k in (2, 3)]  # null past the last line
+    zipped = _held(hashed, __zip=F.arrays_zip(F.col("__hashes").alias("now"), before.alias("before"), ahead[0].alias("then"),
+                                              ahead[1].alias("last"), F.col("__long").alias("long"), after.alias("next")))
 
     def ends(factor: int) -> Column:
-        rolled = lambda x: F.shiftright(x["now"] + factor * x["before"], SHIFT) % average == 0
-        marked = F.transform("__zip", lambda x, i: F.when(x["long"] | x["next"] | rolled(x), i + 1))
+        rolled = lambda one, two: F.shiftright(two + factor * one, SHIFT) % average
+        chosen = lambda x: (rolled(x["before"], x["now"]) == 0) | (rolled(x["then"], x["last"]) == 1)
+        marked = F.transform("__zip", lambda x, i: F.when(x["long"] | x["next"] | chosen(x), i + 1))
         return F.filter(marked, lambda e: e.isNotNull())
 
     cut = _held(zipped, **{f"__ends{k}": ends(factor) for k, factor in enumerate(FACTORS)})

@@ -71,8 +71,9 @@ LINES_SQL = r"""
 with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) lines from documents),
 e as (select doc_id, unnest(lines) line, generate_subscripts(lines, 1) i, len(lines) n from l),
 h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) v, length(line) - length(replace(line, ' ', '')) >= 49 big from e),
-w as (select *, coalesce(lag(v) over (partition by doc_id order by i), 0) u, coalesce(lead(big) over (partition by doc_id order by i), true) next from h),
-r as (select doc_id, line, i, big, f, big or next or ((v + f * u) >> 8) % 3 = 0 stop from w, (values (31), (101), (1009)) x(f)),
+w as (select *, coalesce(lag(v) over (partition by doc_id order by i), 0) u, coalesce(lead(big) over (partition by doc_id order by i), true) next,
+  lead(v) over (partition by doc_id order by i) a1, lead(v, 2) over (partition by doc_id order by i) a2 from h),
+r as (select doc_id, line, i, big, f, big or next or ((v + f * u) >> 8) % 3 = 0 or coalesce(((a2 + f * a1) >> 8) % 3 = 1, false) stop from w, (values (31), (101), (1009)) x(f)),
 k as (select *, coalesce(sum(stop::int) over (partition by doc_id, f order by i rows between unbounded preceding and 1 preceding), 0) k from r),
 c as (select distinct doc_id, min(i) a, count(*) n, string_agg(line, chr(10) order by i) body from k group by doc_id, f, k having count(*) >= 2 or bool_or(big)),
 g as (select doc_id, a, n, row_number() over (partition by body order by doc_id, a) > 1 gone from c),
