@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 WORDS = 24  # 64-bit words of a long fingerprint
-CHAIN = 24  # bits of its segments: a posting key is a segment without differences
+CHAIN = 16  # bits of its segments: a posting key holds a segment without differences
 SAMPLE = 128  # shingles of a row that a long fingerprint is made of: those with the smallest hashes
 SLACK = 1.1  # the bits that may differ, over those expected at the wanted similarity
 
@@ -151,6 +151,8 @@ SLACK = 1.1  # the bits that may differ, over those expected at the wanted simil
 def _long_prints(n: int):
     seeds = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
     parts = WORDS * 64 // CHAIN
+    one = np.arange(parts) % WORDS  # a pair of words for each segment, all pairs different
+    two = (one + 1 + np.arange(parts) // WORDS) % WORDS
 
     def run(batches):
         for batch in slices(batches, "__text"):
@@ -166,17 +168,20 @@ def _long_prints(n: int):
             near = np.arange(len(row)) - np.searchsorted(row, row) < SAMPLE
             h, row = h[near], row[near]
             prints = np.zeros((rows, WORDS), np.uint64)
+            least = np.zeros((rows, WORDS), np.uint64)
             filled, edge, total = np.unique(row, return_index=True, return_counts=True)
             for w in range(WORDS if len(filled) else 0):
                 g = mixed(h ^ seeds[w])
+                least[filled, w] = np.minimum.reduceat(g, edge)
                 for bit in range(64):
                     ones = np.add.reduceat(((g >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), edge)
                     prints[filled, w] |= (2 * ones > total).astype(np.uint64) << np.uint64(bit)
             bits = np.unpackbits(prints.view(np.uint8), axis=1).reshape(rows, parts, CHAIN)
-            keys = bits @ (1 << np.arange(CHAIN, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << CHAIN)
+            segments = (bits @ (1 << np.arange(CHAIN, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << CHAIN)).astype(np.uint64)
+            keys = mixed(mixed(segments ^ least[:, one]) + least[:, two]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id"), *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                                         for x in (prints.view(np.int64), keys.astype(np.int64)))], ["id", "fp", "keys"])
+                                         for x in (prints.view(np.int64), keys))], ["id", "fp", "keys"])
     return run
 
 
@@ -184,11 +189,12 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", s
     """``id`` and ``component`` (smallest id reachable) of every row, for copies that a distance of a few bits cannot find.
 
     Sets of shingles of a Jaccard similarity s differ in arccos(2s / (1 + s)) / pi of their SimHash bits: 15 % at 0.8. The
-    fingerprint has ``WORDS * 64`` bits, cut into segments of ``CHAIN`` bits. Candidates agree in a whole segment; each
-    fingerprint is compared with the smallest id of every segment it shares, so a group of any size costs one comparison
-    per member and segment. The whole Hamming distance decides. This is a search by chance: of pairs above the threshold
-    most meet in one of the segments (the README has figures). Rows with equal fingerprints are one. Rows without an id
-    keep a null component, no rows give no rows.
+    fingerprint has ``WORDS * 64`` bits, cut into segments of ``CHAIN`` bits. Candidates agree in a whole segment and in the
+    smallest hashes of two of the fingerprint's words, which similar sets share with a chance of s each: 64 bits in all, so that
+    unlike texts do not fill a posting list however many there are. Each fingerprint is compared with the smallest id of
+    every list it is in, so a group of any size costs one comparison per member and list. The whole Hamming distance
+    decides. This is a search by chance: of pairs above the threshold most meet in one of the lists (the README has
+    figures). Rows with equal fingerprints are one. Rows without an id keep a null component, no rows give no rows.
     """
     kind = docs.schema[id].dataType.simpleString()
     prints = stage(docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
