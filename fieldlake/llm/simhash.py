@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 WORDS = 24  # 64-bit words of a long fingerprint
 CHAIN = 16  # bits of its segments: a posting key holds a segment without differences
-SAMPLE = 128  # shingles of a row that a long fingerprint is made of: those with the smallest hashes
+LANES = np.uint64(0x0101010101010101)  # the lowest bit of every byte
 SLACK = 1.1  # the bits that may differ, over those expected at the wanted similarity
 
 
@@ -165,17 +165,21 @@ def _long_prints(n: int):
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             h, row = h[new], row[new]
-            near = np.arange(len(row)) - np.searchsorted(row, row) < SAMPLE
-            h, row = h[near], row[near]
             prints = np.zeros((rows, WORDS), np.uint64)
             least = np.zeros((rows, WORDS), np.uint64)
             filled, edge, total = np.unique(row, return_index=True, return_counts=True)
+            # blocks of at most 255 shingles of a row: eight bits are counted at once, each in a byte of a 64-bit sum
+            blocks = -(-total // 255)
+            first = np.cumsum(blocks) - blocks
+            block = np.repeat(edge, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
             for w in range(WORDS if len(filled) else 0):
                 g = mixed(h ^ seeds[w])
                 least[filled, w] = np.minimum.reduceat(g, edge)
-                for bit in range(64):
-                    ones = np.add.reduceat(((g >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), edge)
-                    prints[filled, w] |= (2 * ones > total).astype(np.uint64) << np.uint64(bit)
+                for bit in range(8):
+                    sums = np.add.reduceat((g >> np.uint64(bit)) & LANES, block).astype("<u8")
+                    ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+                    set_ = (2 * ones > total[:, None]).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(bit))
+                    prints[filled, w] |= np.bitwise_or.reduce(set_, axis=1)
             bits = np.unpackbits(prints.view(np.uint8), axis=1).reshape(rows, parts, CHAIN)
             segments = (bits @ (1 << np.arange(CHAIN, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << CHAIN)).astype(np.uint64)
             keys = mixed(mixed(segments ^ least[:, one]) + least[:, two]).view(np.int64)

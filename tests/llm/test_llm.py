@@ -6,12 +6,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from fieldlake.llm import (
-    bpe, byte_dedup, decontaminate, graph, language_model, line_chunks, neighbours, packing, queries, simhash, suffix_array,
+    bpe, byte_dedup, common, decontaminate, graph, language_model, line_chunks, neighbours, packing, queries, simhash, suffix_array,
     token_counts, toxicity, url_filter)
 
 SYLLABLES = "th an er in re on ou ti es la ße 東 ".split()
@@ -482,6 +483,35 @@ def test_one_of_each_group_of_similar_documents(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_copies_that_gain_or_lose_text(spark):
+    """Sets of shingles of unequal size at a similarity of 0.82 to 0.85: one text is the other with a part appended or cut off."""
+    r = random.Random(8)
+    rows = []
+    for d in range(0, 80, 2):
+        text = [words_of(r, 1) for _ in range(1000)]
+        share = r.uniform(0.15, 0.18)
+        rows += [(d, " ".join(text)), (d + 1, " ".join(text[:int(1000 * (1 - share))] if d % 4 else text + [words_of(r, 1) for _ in range(int(1000 * share / (1 - share)))]))]
+    got = {x["id"]: x["component"] for x in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert all(got[d] == d for d in range(0, 80, 2)), "unlike texts must not meet"
+    assert sum(got[d + 1] == d for d in range(0, 80, 2)) >= 38
+
+
+def test_votes_of_whole_texts():
+    """Bits and smallest hashes of a long fingerprint against a plain count over every distinct shingle."""
+    r = random.Random(9)
+    texts = [words_of(r, n) for n in (0, 3, 5, 250, 700, 2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["__id", "__text"])
+    got = [x for b in simhash._long_prints(5)(iter([batch])) for x in b.column("fp").to_pylist()]
+    for text, prints in zip(texts, got, strict=True):
+        data, offsets = common.raw(pa.array([text]))
+        starts, ends, owner = common.words(common.LOWER[data], offsets)
+        h = np.unique(common.shingles(common.span_hash(common.prefix_hash(common.LOWER[data]), starts, ends), owner, 1, 5)[0])
+        for w, seed in enumerate(common.mixed(np.arange(1, simhash.WORDS + 1, dtype=np.uint64))):
+            g = common.mixed(h ^ seed)
+            want = sum(1 << b for b in range(64) if 2 * int(((g >> np.uint64(b)) & np.uint64(1)).sum()) > len(g))
+            assert prints[w] % (1 << 64) == want
+
+
 @pytest.mark.parametrize("distance, segments, bucket", [(2, 5, 64), (2, 5, 2), (2, 5, 1), (2, 7, 3), (4, 9, 64), (4, 9, 2), (0, 3, 4)])
 def test_links_lose_nothing(spark, distance, segments, bucket):
     r = random.Random(14)
