@@ -145,6 +145,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 WORDS = 24  # 64-bit words of a long fingerprint
 CHAIN = 16  # bits of its segments: a posting key holds a segment without differences
 LANES = np.uint64(0x0101010101010101)  # the lowest bit of every byte
+PAIRS_PER_POSTING = 2  # so few open pairs for each list entry are compared at once
 SLACK = 1.1  # the bits that may differ, over those expected at the wanted similarity
 
 
@@ -189,30 +190,71 @@ def _long_prints(n: int):
     return run
 
 
+def _compared(pairs: DataFrame, prints: DataFrame, limit: float) -> DataFrame:
+    """The distinct rows ``a``, ``b`` of ``pairs`` whose fingerprints differ in at most ``limit`` bits."""
+    both = (pairs.distinct().join(prints.select(F.col("low").alias("a"), F.col("fp").alias("fa")), "a")
+            .join(prints.select(F.col("low").alias("b"), F.col("fp").alias("fb")), "b"))
+    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.filter(distance <= limit).select("a", "b")
+
+
+def _listed_links(groups: DataFrame, limit: float) -> DataFrame:
+    """``node``, ``root`` of the groups (``low``, ``fp``, ``keys``) linked within ``limit`` bits; every pair that shares a key
+    ends up in one component or is compared.
+
+    First each list is compared with its smallest member, then with the smallest of those outside that one's component,
+    and so on while that halves the pairs that are left, if they are many: a large group of copies is joined by one comparison per member
+    and list, whatever leads the list. What is then still in different components is compared pair by pair.
+    """
+    posted = groups.select("low", F.explode("keys").alias("key"))
+    shared = posted.groupBy("key").agg(F.min("low").alias("b"), F.max("low").alias("top")).filter("b < top")
+    posted = stage(posted.join(shared.select("key"), "key"), "postings")
+    rows, left = posted.count(), posted.withColumn("root", F.col("low"))
+    links, before = None, math.inf
+    while True:
+        leader = left.groupBy("key").agg(F.min(F.struct("low", "root")).alias("first")).select("key", F.col("first.low").alias("b"), F.col("first.root").alias("of"))
+        led = left.join(leader, "key").filter("root <> of")
+        new = stage(_compared(led.select(F.col("low").alias("a"), "b"), groups, limit), "links")
+        links = new if links is None else links.unionAll(new)
+        roots = stage(components(links), "roots")
+        named = lambda x: (x.join(roots.withColumnRenamed("root", "new").withColumnRenamed("node", "low"), "low", "left")
+                           .withColumn("root", F.coalesce("new", "low")).drop("new"))
+        every = named(posted)
+        # pairs of a list in different components: all pairs without those of one component
+        sizes = every.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        open_lists = stage(sizes.filter("n * n > same").select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")), "open")
+        pairs = open_lists.agg(F.sum("pairs")).first()[0] or 0
+        if not pairs:
+            return roots
+        if pairs <= PAIRS_PER_POSTING * rows or pairs > before / 2:
+            break
+        before = pairs
+        # the members outside the leader's component
+        rest = named(left.select("key", "low")).join(leader.select("key", F.col("b").alias("low")).transform(named).select("key", F.col("root").alias("of")), "key")
+        left = stage(rest.filter("root <> of").select("key", "low", "root"), "left")
+    wide = stage(every.join(open_lists.select("key"), "key", "left_semi"), "wide")
+    one, two = (wide.select("key", F.col("low").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    rest = one.join(two, "key").filter("a > b and ra <> rb").select("a", "b")
+    return components(links.unionAll(stage(_compared(rest, groups, limit), "links")))
+
+
 def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every row, for copies that a distance of a few bits cannot find.
 
     Sets of shingles of a Jaccard similarity s differ in arccos(2s / (1 + s)) / pi of their SimHash bits: 15 % at 0.8. The
     fingerprint has ``WORDS * 64`` bits, cut into segments of ``CHAIN`` bits. Candidates agree in a whole segment and in the
     smallest hashes of two of the fingerprint's words, which similar sets share with a chance of s each: 64 bits in all, so that
-    unlike texts do not fill a posting list however many there are. Each fingerprint is compared with the smallest id of
-    every list it is in, so a group of any size costs one comparison per member and list. The whole Hamming distance
-    decides. This is a search by chance: of pairs above the threshold most meet in one of the lists (the README has
-    figures). Rows with equal fingerprints are one. Rows without an id keep a null component, no rows give no rows.
+    unlike texts do not fill a posting list however many there are. All pairs that share a list are joined or compared
+    (``_listed_links``); the whole Hamming distance decides. Which lists two texts are in is a matter of chance: of pairs
+    above the threshold most meet in one of them (the README has figures). Rows with equal fingerprints are one. Rows without
+    an id keep a null component, no rows give no rows.
     """
     kind = docs.schema[id].dataType.simpleString()
     prints = stage(docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
                    .mapInArrow(_long_prints(shingle), f"id {kind}, fp array<long>, keys array<long>").filter("id is not null"), "prints")
     groups = stage(prints.groupBy("fp").agg(F.min("id").alias("low"), F.first("keys").alias("keys")), "groups")
-    posted = groups.select("low", F.explode("keys").alias("key"))
-    lowest = posted.groupBy("key").agg(F.min("low").alias("b"), F.max("low").alias("top")).filter("b < top")
-    pairs = stage(posted.join(lowest, "key").filter("low <> b").select(F.col("low").alias("a"), "b").distinct(), "pairs")
-    held = groups.select("low", "fp")
-    both = (pairs.join(held.select(F.col("low").alias("a"), F.col("fp").alias("fa")), "a")
-            .join(held.select(F.col("low").alias("b"), F.col("fp").alias("fb")), "b"))
     limit = SLACK * math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * 64
-    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    roots = components(both.filter(distance <= limit).select("a", "b"))
+    roots = _listed_links(groups, limit)
     rooted = groups.join(roots.select(F.col("node").alias("low"), "root"), "low", "left").select("fp", F.coalesce("root", "low").alias("component"))
     return prints.join(rooted, "fp").select("id", "component")
 

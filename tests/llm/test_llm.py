@@ -512,6 +512,25 @@ def test_votes_of_whole_texts():
             assert prints[w] % (1 << 64) == want
 
 
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_all_pairs_of_a_list_are_linked_or_compared(spark, monkeypatch, bound):
+    """Copies that meet only in lists led by unlike texts, also when one copy is linked to a leader and the other is not."""
+    monkeypatch.setattr(simhash, "PAIRS_PER_POSTING", bound)
+    r = random.Random(17)
+    rows = [(0, [0, 0], [1]), (1, [3, 0], [1]), (2, [-1, 0], [1]), (3, [-1, 3], [1, 2]), (4, [15, 0], [1])]  # 0-1, 2-3, 1-4
+    rows += [(10 + k, [r.getrandbits(32), r.getrandbits(32)], r.sample(range(3, 9), 3)) for k in range(150)]
+    rows += [(200 + k, [rows[5 + k][1][0] ^ 1, rows[5 + k][1][1]], r.sample(range(3, 9), 3)) for k in range(100)]
+    groups = spark.createDataFrame(rows, "low long, fp array<long>, keys array<long>")
+    roots = {x["node"]: x["root"] for x in simhash._listed_links(groups, 2).collect()}
+    print_of, keys = {i: f for i, f, _ in rows}, {i: set(k) for i, _, k in rows}
+
+    def linked(a, b):
+        far = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(print_of[a], print_of[b]))
+        return far <= 2 and bool(keys[a] & keys[b])
+    want = grouped(sorted(print_of), linked)
+    assert len(set(want.values())) < 200 and {n: roots.get(n, n) for n in print_of} == want
+
+
 @pytest.mark.parametrize("distance, segments, bucket", [(2, 5, 64), (2, 5, 2), (2, 5, 1), (2, 7, 3), (4, 9, 64), (4, 9, 2), (0, 3, 4)])
 def test_links_lose_nothing(spark, distance, segments, bucket):
     r = random.Random(14)
