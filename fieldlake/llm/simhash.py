@@ -246,25 +246,43 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", s
     smallest hashes of two of the fingerprint's words, which similar sets share with a chance of s each: 64 bits in all, so that
     unlike texts do not fill a posting list however many there are. All pairs that share a list are joined or compared
     (``_listed_links``); the whole Hamming distance decides. Which lists two texts are in is a matter of chance: of pairs
-    above the threshold most meet in one of them (the README has figures). Rows with equal fingerprints are one. Rows without
-    an id keep a null component, no rows give no rows.
+    above the threshold most meet in one of them (the README has figures). Rows with equal fingerprints are one; rows that
+    share an id are judged by their own texts. Rows without an id are left out, no rows give no rows.
     """
+    return _similar(docs, id, text, shingle, similarity).select("id", F.col("least.id").alias("component"))
+
+
+def _mark(text: str) -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _similar(docs: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """``id``, ``mark`` (of the text) and ``least``, the smallest (id, mark) reachable, of every row with an id."""
     kind = docs.schema[id].dataType.simpleString()
-    prints = stage(docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
-                   .mapInArrow(_long_prints(shingle), f"id {kind}, fp array<long>, keys array<long>").filter("id is not null"), "prints")
-    groups = stage(prints.groupBy("fp").agg(F.min("id").alias("low"), F.first("keys").alias("keys")), "groups")
+    prints = stage(docs.select(F.struct(F.col(id).alias("id"), _mark(text).alias("mark")).alias("__id"), F.col(text).alias("__text"))
+                   .filter("__id.id is not null")
+                   .mapInArrow(_long_prints(shingle), f"id struct<id:{kind},mark:bigint>, fp array<long>, keys array<long>"), "prints")
+    # a group of equal fingerprints is named by their hash: an id can be in several groups
+    groups = stage(prints.groupBy("fp").agg(F.min("id").alias("place"), F.first("keys").alias("keys"))
+                   .withColumn("low", F.xxhash64("fp")), "groups")
     limit = SLACK * math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * 64
     roots = _listed_links(groups, limit)
-    rooted = groups.join(roots.select(F.col("node").alias("low"), "root"), "low", "left").select("fp", F.coalesce("root", "low").alias("component"))
-    return prints.join(rooted, "fp").select("id", "component")
+    rooted = stage(groups.join(roots.select(F.col("node").alias("low"), "root"), "low", "left")
+                   .select("fp", "place", F.coalesce("root", "low").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("place").alias("least"))
+    return prints.join(rooted.join(least, "root").select("fp", "least"), "fp").select("id.id", "id.mark", "least")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component of similar documents; all columns stay.
+    """The rows of ``docs`` that are the smallest (id, mark of the text) of their component of similar documents; all columns stay.
 
-    Rows without an id are kept. Of rows that share the smallest id, one stays, whichever its other columns are.
+    Rows without an id are kept. Rows that share an id leave only if their own text is a copy. Of rows that share both id
+    and text, one stays, whichever its other columns are.
     """
-    found = similar_documents(docs, id, text, shingle, similarity)
-    dropped = found.filter(F.col("id") > F.col("component")).select(F.col("id").alias("__dropped")).distinct()
-    kept = docs.join(dropped, docs[id] == F.col("__dropped"), "left_anti")
-    return kept.filter(F.col(id).isNotNull()).dropDuplicates([id]).unionByName(kept.filter(F.col(id).isNull()))
+    found = _similar(docs, id, text, shingle, similarity)
+    dropped = found.filter(F.struct("id", "mark") != F.col("least")).select(F.col("id").alias("__dropped"), F.col("mark").alias("__dropped_mark")).distinct()
+    marked = docs.withColumn("__mark", _mark(text))
+    kept = marked.join(dropped, (marked[id] == F.col("__dropped")) & (marked["__mark"] == F.col("__dropped_mark")), "left_anti")
+    once = kept.filter(F.col(id).isNotNull()).dropDuplicates([id, "__mark"])
+    return once.unionByName(kept.filter(F.col(id).isNull())).drop("__mark")

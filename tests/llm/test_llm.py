@@ -512,6 +512,16 @@ def test_votes_of_whole_texts():
             assert prints[w] % (1 << 64) == want
 
 
+def test_rows_that_share_an_id_leave_by_their_own_text(spark):
+    r = random.Random(18)
+    a, b, c, d = (words_of(r, 200) for _ in range(4))
+    rows = [(1, a), (1, b), (2, c), (2, a), (2, b + " end"), (3, d), (3, d), (3, d + " end"), (None, a)]
+    kept = simhash.keep_one(frame(spark, rows))
+    left = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    assert Counter(x for x in left if x[0] != 3) == Counter([(1, a), (1, b), (2, c), (None, a)])
+    assert len([x for x in left if x[0] == 3]) == 1 and len(kept.columns) == len(frame(spark, rows).columns)
+
+
 @pytest.mark.parametrize("bound", [0, 1000])
 def test_all_pairs_of_a_list_are_linked_or_compared(spark, monkeypatch, bound):
     """Copies that meet only in lists led by unlike texts, also when one copy is linked to a leader and the other is not."""
