@@ -145,6 +145,14 @@ def trace_summary(df: DataFrame, keys, id_col: str = "id", n: int = RISK.max_tra
             .agg(F.array_sort(F.collect_list(id_col)).alias("record_ids")))
 
 
+def trace_pages(df: DataFrame, keys, id_col: str = "id", page: int = 1000, **kw) -> DataFrame:
+    """All distinct ids per key in ascending arrays of at most ``page`` ids: the whole lineage, however hot a key is."""
+    ids = df.filter(F.col(id_col) != 0).select(*keys, id_col).distinct()
+    ranked = scale.row_numbers(ids, list(keys), [id_col], id_col, **kw)
+    paged = ranked.withColumn("page", F.floor((F.col("rn") - 1) / page).cast("bigint"))
+    return paged.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(id_col)).alias("record_ids"))
+
+
 def merge_lineage(*parts: DataFrame, on=("scope_id",)) -> DataFrame:
     joined = reduce(lambda a, b: a.join(b, list(on), "full_outer"),
                     [p.withColumnRenamed("record_ids", f"__ids{i}") for i, p in enumerate(parts)])

@@ -138,6 +138,14 @@ def _(spark, sf):
     return df.select("species_id", F.array_join("record_ids", ",").alias("ids"))
 
 
+@query("trace_id_pages", """
+select species_id, ((rn - 1) // 100)::bigint as page, string_agg(id::varchar, ',' order by id) as ids
+from (select *, row_number() over (partition by species_id order by id) as rn from (select distinct species_id, id from v_telemetry where id <> 0)) group by 1, 2""")
+def _(spark, sf):
+    df = joins.trace_pages(view(spark, sf, "v_telemetry"), ["species_id"], page=100)
+    return df.select("species_id", "page", F.array_join("record_ids", ",").alias("ids"))
+
+
 @query("keyset_page", "select id, recorded_epoch_ms from v_telemetry where (recorded_epoch_ms, id) < (1705363200000, 5000) order by recorded_epoch_ms desc, id desc limit 201")
 def _(spark, sf):
     return topk.keyset_page(view(spark, sf, "v_telemetry").select("id", "recorded_epoch_ms"), "recorded_epoch_ms", (1705363200000, 5000))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldlake.operators import scale, series
+from fieldlake.operators import joins, scale, series
 
 SPLIT = {"split": True, "min_rows": 200, "chunks": 8}
 
@@ -111,3 +111,12 @@ def test_top_n_and_spread_join(skewed, spark):
     same(scale.top_n(skewed, ["key"], order, 5), skewed.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter("rn <= 5"), "rn")
     right = skewed.select("key").distinct().withColumn("label", F.upper("key"))
     same(scale.spread_join(skewed, right, ["key"]), skewed.join(right, ["key"]), "label")
+
+
+def test_trace_pages_hold_every_id(spark):
+    df = spark.range(1, 12_346).withColumn("k", (F.col("id") % 500 == 0).cast("int"))
+    df = df.unionAll(df).unionAll(df.limit(1).withColumn("id", F.lit(0).cast("long")))
+    pages = joins.trace_pages(df, ["k"], page=1000).orderBy("k", "page").collect()
+    assert [len(p["record_ids"]) for p in pages] == [1000] * 12 + [321, 24]
+    for k in (0, 1):
+        assert [i for p in pages if p["k"] == k for i in p["record_ids"]] == [i for i in range(1, 12_346) if (i % 500 == 0) == k]
