@@ -266,7 +266,7 @@ def test_negative_query(spark, tmp_path):
     inf, nan = float("inf"), float("nan")
     r = random.Random(4)
     rows = [(k, [r.gauss(0, 1) + (k % 3) for _ in range(5)], r.randint(0, 9)) for k in range(400)]
-    rows += [(500, [inf] * 5, 1), (600, [nan] * 5, 1), (700, [1.0, None, 1, 1, 1], 2), (800, None, 1), (900, [1.0] * 5, None)]
+    rows += [(500, [inf] * 5, 1), (600, [nan] * 5, 1), (700, [1.0, None, 1.0, 1.0, 1.0], 2), (800, None, 1), (900, [1.0] * 5, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
     plain = [(i, (lab + 1) % 10 if i % 7 == 0 else lab, [int(np.floor(256 * float(np.float32(x)))) for x in v])
