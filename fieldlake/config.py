@@ -164,7 +164,6 @@ class RiskConfig:
     analysis_radius_m: float = 50000.0
     genetics_lookback_days: float = 365.0
     density_grid: int = 5
-    max_trace_ids: int = 5000
     mortality_keywords: tuple = ("carcass", "mortality", "dead")
     # synthesis
     momentum_window_days: float = 30.0

@@ -318,6 +318,20 @@ def cell_of(lat, lon, res: int) -> Column:
     return encode(col(lat).cast("double"), col(lon).cast("double"))
 
 
+def cell_like(lat, lon, c) -> Column:
+    """Cell of a position at the resolution of the cell ``c``; null where that is no cell."""
+    @F.pandas_udf(T.StringType())
+    def encode(lats: pd.Series, lons: pd.Series, resolutions: pd.Series) -> pd.Series:
+        la, lo, res = (x.to_numpy("float64") for x in (lats, lons, resolutions))
+        ok = np.isfinite(la) & np.isfinite(lo) & (abs(la) <= 90) & np.isfinite(res)
+        out = np.full(len(la), None, object)
+        for r in np.unique(res[ok]):
+            at = ok & (res == r)
+            out[at] = [format(b, "x") for b in point_to_bits(la[at], lo[at], int(r))]
+        return pd.Series(out, index=lats.index)
+    return encode(col(lat).cast("double"), col(lon).cast("double"), cell_res(c))
+
+
 @F.pandas_udf(_doubles("lat", "lon"))
 def _centre(cells: pd.Series) -> pd.DataFrame:
     codes, names = pd.factorize(cells)

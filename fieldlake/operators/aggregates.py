@@ -246,19 +246,20 @@ def acoustic_threats(df: DataFrame, keys=("species_id",)) -> DataFrame:
                  F.max(level).alias("peak_db"), F.avg(level).alias("mean_db")))
 
 
-def threat_context(events: DataFrame, keys, start, end, time="detected_epoch_ms", n: int = RISK.max_threat_classes) -> DataFrame:
-    """Counts per threat class with the half-window trend; the ``n`` most frequent per scope."""
+def threat_context(events: DataFrame, keys, start, end, time="detected_epoch_ms", n: int | None = None) -> DataFrame:
+    """Counts per threat class with the half-window trend; with ``n`` the most frequent classes per scope, ranked."""
     middle = (col(start) + col(end)) / 2.0
     later = F.col(time) >= middle
     classes = events.groupBy(*keys, "class_name").agg(
         F.count(F.lit(1)).alias("events"), (_count_if(later) - _count_if(~later)).alias("trend"),
         F.max("confidence").alias("max_confidence"), F.max(time).alias("latest_ms"))
-    return scale.top_n(classes, list(keys), [F.desc("events"), F.desc("latest_ms"), F.asc("class_name")], n)
+    return classes if n is None else scale.top_n(classes, list(keys), [F.desc("events"), F.desc("latest_ms"), F.asc("class_name")], n)
 
 
-def threat_cells(events: DataFrame, keys, cell="cell", n: int = RISK.max_target_cells) -> DataFrame:
+def threat_cells(events: DataFrame, keys, cell="cell", n: int | None = None) -> DataFrame:
+    """Events per cell; with ``n`` only the cells with the most events of every key, ranked."""
     counts = events.filter(F.col(cell).isNotNull()).groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("events"))
-    return scale.top_n(counts, list(keys), [F.desc("events"), F.asc(cell)], n)
+    return counts if n is None else scale.top_n(counts, list(keys), [F.desc("events"), F.asc(cell)], n)
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:

@@ -60,7 +60,7 @@ def fan_out(alerts: DataFrame, subscriptions: DataFrame, cfg: AlertConfig = ALER
     return pairs.filter(F.col("__rank") >= F.col("floor")).select(*alerts.columns, "client_id").distinct()
 
 
-def replay(alerts: DataFrame, subscriptions: DataFrame, n: int = ALERTS.replay, cfg: AlertConfig = ALERTS) -> DataFrame:
+def replay(alerts: DataFrame, subscriptions: DataFrame, n: int, cfg: AlertConfig = ALERTS) -> DataFrame:
     """The last ``n`` alerts, as each subscriber would have received them. Alerts without a zone only
     reach clients of every zone here."""
     last = alerts.orderBy(F.desc("ts_ms"), F.desc("event_id")).limit(n)

@@ -98,15 +98,15 @@ def has_coverage(scopes: DataFrame, evidence: DataFrame) -> DataFrame:
     return scopes.join(cover, test, "left_semi")
 
 
-def hydrate(reports: DataFrame, tables: dict[str, DataFrame], limit: int = 50) -> dict[str, DataFrame]:
-    """Source rows behind reports: ``record_ids`` is a map table -> ids; at most ``limit`` per table and report.
-
-    The limit is the feature (the report page shows that many); ids of unknown tables are skipped.
+def hydrate(reports: DataFrame, tables: dict[str, DataFrame], limit: int | None = None) -> dict[str, DataFrame]:
+    """Source rows behind reports: ``record_ids`` is a map table -> ids; with ``limit`` the first so many per table and report, as
+    one page of a report shows. Ids of unknown tables are skipped.
     """
     out = {}
     for name, df in tables.items():
         if name in TRACEABLE_TABLES:
-            ids = F.slice(F.try_element_at("record_ids", F.lit(name)), 1, limit)
+            ids = F.try_element_at("record_ids", F.lit(name))
+            ids = ids if limit is None else F.slice(ids, 1, limit)
             asked = reports.select(F.col("id").alias("report_id"), F.explode(ids).alias("id"))
             out[name] = asked.join(df, "id")
     return out
@@ -138,16 +138,19 @@ def species_with_records(species: DataFrame, records: DataFrame, order: str, col
     return species.withColumnRenamed("id", "species_id").join(nested, "species_id", "left")
 
 
-def trace_summary(df: DataFrame, keys, id_col: str = "id", n: int = RISK.max_trace_ids) -> DataFrame:
-    """Smallest ``n`` distinct ids per key as one array (lineage of an assessment)."""
-    ids = df.filter(F.col(id_col) != 0).select(*keys, id_col).distinct()
-    return (scale.top_n(ids, list(keys), [F.asc(id_col)], n).groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(id_col)).alias("record_ids")))
+def trace_ids(df: DataFrame, keys, id_col: str = "id") -> DataFrame:
+    """Every distinct id per key, one row each (lineage of an assessment)."""
+    return df.filter(F.col(id_col) != 0).select(*keys, id_col).distinct()
+
+
+def hydrate_pages(pages: DataFrame, tables: dict[str, DataFrame], keys=("scope_id",), table: str = "table_name") -> dict[str, DataFrame]:
+    """Source rows behind whole lineages in pages (``trace_pages`` by table), per table that is given."""
+    return {name: pages.filter(F.col(table) == name).select(*keys, F.explode("record_ids").alias("id")).join(df, "id") for name, df in tables.items()}
 
 
 def trace_pages(df: DataFrame, keys, id_col: str = "id", page: int = 1000, **kw) -> DataFrame:
     """All distinct ids per key in ascending arrays of at most ``page`` ids: the whole lineage, however hot a key is."""
-    ids = df.filter(F.col(id_col) != 0).select(*keys, id_col).distinct()
+    ids = trace_ids(df, keys, id_col)
     ranked = scale.row_numbers(ids, list(keys), [id_col], id_col, **kw)
     paged = ranked.withColumn("page", F.floor((F.col("rn") - 1) / page).cast("bigint"))
     return paged.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(id_col)).alias("record_ids"))

@@ -290,6 +290,47 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return sorted_rows(with_entries(data, entries)).mapInPandas(output, schema)
 
 
+def decayed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str, split: bool | None = None, **chunking) -> DataFrame:
+    """Adds y with y = alpha x + (1 - alpha) y of the row before, per key in row order, seeded by the first x.
+
+    The step is affine, so a chunk as a whole is too: it leaves (1 - alpha)^n of what enters it plus its own part. Chunks behind the
+    first are smoothed from zero in the same pass, the chunks of a key are composed from one row per chunk, and what enters a chunk is
+    added to its rows with the weight that is left. No rounds: Python reads every row once.
+    """
+    data, was_split = with_chunk(df, keys, order[0], split, **chunking)
+    keys, group = list(keys), "__group"
+    schema = T.StructType([*data.schema.fields, T.StructField(name, T.DoubleType()), T.StructField("__k", T.LongType())])
+    rows = (data.withColumn(group, F.xxhash64(*keys, CHUNK)).repartition(*keys, CHUNK).sortWithinPartitions(group, *keys, CHUNK, *order))
+
+    def smooth(batches):
+        last, y, k = None, None, 0
+        for pdf in batches:
+            marks, out = list(pdf[[*keys, CHUNK]].astype(str).itertuples(index=False, name=None)), []
+            edges = [n for n in range(len(pdf)) if not n or marks[n] != marks[n - 1]] + [len(pdf)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = pdf.iloc[a:b]
+                if marks[a] != last:
+                    last, y, k = marks[a], None if part[CHUNK].iloc[0] == 0 else 0.0, 0
+                x = part[value].to_numpy("float64")
+                z = pd.Series(x if y is None else np.append(y, x)).ewm(alpha=alpha, adjust=False).mean().to_numpy()[-len(x):]
+                out.append(part.assign(**{name: z, "__k": np.arange(k + 1, k + 1 + len(x))}))
+                y, k = float(z[-1]), k + len(x)
+            if out:
+                yield pd.concat(out)[schema.fieldNames()]
+
+    local = rows.mapInPandas(smooth, schema)
+    if not was_split:
+        return local.select(*df.columns, name)
+    left = lambda n: F.pow(F.lit(1.0 - alpha), n)  # noqa: E731  weight of what was there n rows before
+    chunks = local.groupBy(*keys, CHUNK).agg(F.min_by(value, "__k").cast("double").alias("first"), F.max("__k").alias("n"), F.max_by(name, "__k").alias("part"))
+    before = F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), "first", "n", "part")).over(_prefix(chunks, keys).rowsBetween(Window.unboundedPreceding, -1))
+    # what comes first of a key enters with its first value
+    step = lambda y, c: F.when(c["chunk"] == 0, c["part"]).otherwise(left(c["n"]) * F.coalesce(y, c["first"]) + c["part"])
+    carry = chunks.withColumn("__before", before).select(*keys, CHUNK, F.coalesce(F.aggregate("__before", F.lit(None).cast("double"), step), "first").alias("__in"))
+    added = F.when(F.col(CHUNK) > 0, left(F.col("__k")) * F.col("__in")).otherwise(0.0)
+    return _attach(local, carry, keys).withColumn(name, F.col(name) + added).select(*df.columns, name)
+
+
 def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys of which a null equals a null; the keys come from the left side."""
     added = [c for c in right.columns if c not in keys]

@@ -46,19 +46,7 @@ def hampel(df: DataFrame, keys, value: str, order=("recorded_epoch_ms", "id"), w
 def ema(df: DataFrame, keys, value: str, alpha: float, order=("recorded_epoch_ms", "id"), name: str | None = None,
         **kw) -> DataFrame:
     """Exponential smoothing seeded by the first value of each key."""
-    name = name or f"{value}_ema"
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def step(pdf: pd.DataFrame, state):
-        x = pdf[value].astype("float64")
-        if state is None:
-            y = x.ewm(alpha=alpha, adjust=False).mean().to_numpy()
-        else:
-            seeded = pd.Series(np.concatenate([[state[0]], x.to_numpy()]))
-            y = seeded.ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-        return pdf.assign(**{name: y}), (float(y[-1]),)
-
-    return scale.scan(df.filter(F.col(value).isNotNull()), keys, order, step, schema, "smoothed double", **kw)
+    return scale.decayed(df.filter(F.col(value).isNotNull()), keys, order, value, alpha, name or f"{value}_ema", **kw)
 
 
 def stress_scores(df: DataFrame, metrics, location: str = "location_id", time: str = "recorded_at",

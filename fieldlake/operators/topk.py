@@ -50,7 +50,7 @@ def _located(events: DataFrame, cfg: RiskConfig) -> DataFrame:
             .withColumn("weight", text.threat_weight("class_name", cfg)))
 
 
-def dispatch_targets(events: DataFrame, keys=("scope_id",), n: int = RISK.max_targets, time: str = "detected_epoch_ms",
+def dispatch_targets(events: DataFrame, keys, n: int, time: str = "detected_epoch_ms",
                      cfg: RiskConfig = RISK) -> DataFrame:
     """Up to ``n`` places per scope by severity, then recency; every event at a chosen place joins it."""
     rows = _located(events, cfg)
@@ -71,14 +71,14 @@ def dispatch_ids(events: DataFrame, targets: DataFrame, keys=("scope_id",), reco
     return rows.join(targets.select(*keys, "target", "lat4", "lon4"), [*keys, "lat4", "lon4"]).select(*keys, "target", record).distinct()
 
 
-def claimable(df: DataFrame, now_ms: int, lease_sec: int = 600, n: int = 32, order=("window_ms", "id")) -> DataFrame:
+def claimable(df: DataFrame, now_ms: int, n: int, lease_sec: int = 600, order=("window_ms", "id")) -> DataFrame:
     """Oldest queued items, and running ones whose lease ran out."""
     expired = F.col("started_ms").isNull() | (F.col("started_ms") <= now_ms - lease_sec * 1000)
     free = F.col("status").isin("PENDING", "STORED_PENDING") | ((F.col("status") == "RUNNING") & expired)
     return df.filter(free).orderBy(*order).limit(n)
 
 
-def cells_in_bounds(cells: DataFrame, bounds: tuple | None, n: int = 2000, created_ms: int | None = None,
+def cells_in_bounds(cells: DataFrame, bounds: tuple | None, n: int, created_ms: int | None = None,
                     now_ms: int | None = None) -> tuple[DataFrame, dict]:
     """First ``n`` cells of a box by position, with what the map needs to say about them."""
     from fieldlake.operators.habitat import suitability_class

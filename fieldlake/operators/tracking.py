@@ -20,21 +20,33 @@ def with_ecef(df: DataFrame) -> DataFrame:
 
 
 def judge(t, x, y, z, limit, usable, state):
-    """Verdicts in order: too fast against the newest fix accepted so far; no test when time does not advance."""
+    """Verdicts in order: too fast against the newest fix accepted so far; no test when time does not advance.
+
+    As long as every fix is accepted, each one is judged against the one before it, by arrays. From the first that is not (too
+    fast, or earlier than the one before it) single steps find the next fix that is accepted, and arrays go on from there.
+    """
     fast = np.zeros(len(t), bool)
-    for i in range(len(t)):
-        if not usable[i]:
-            continue
+    rows = np.flatnonzero(usable)
+    if not len(rows):
+        return fast, state
+    t, x, y, z, limit = (np.asarray(v)[rows] for v in (t, x, y, z, limit))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seconds = np.diff(t) / 1000.0
+        speed = 3.6 * np.sqrt(np.diff(x) ** 2 + np.diff(y) ** 2 + np.diff(z) ** 2) / seconds
+    plain = np.append(True, (seconds == 0) | ((seconds > 0) & ~(speed > limit[1:])))  # accepted if the one before is
+    stops = np.append(np.flatnonzero(~plain), len(t))
+    at = 0
+    while at < len(t):
+        taken = True
         if state is not None:
-            seconds = (t[i] - state[0]) / 1000.0
-            if seconds > 0:
-                chord = ((x[i] - state[1]) ** 2 + (y[i] - state[2]) ** 2 + (z[i] - state[3]) ** 2) ** 0.5
-                if 3.6 * chord / seconds > limit[i]:
-                    fast[i] = True
-                    continue
-            elif seconds < 0:
-                continue
-        state = (int(t[i]), float(x[i]), float(y[i]), float(z[i]))
+            passed = (t[at] - state[0]) / 1000.0
+            chord = ((x[at] - state[1]) ** 2 + (y[at] - state[2]) ** 2 + (z[at] - state[3]) ** 2) ** 0.5
+            fast[rows[at]] = passed > 0 and 3.6 * chord / passed > limit[at]
+            taken = passed >= 0 and not fast[rows[at]]
+        if taken:  # and so are all up to the next stop
+            at = int(stops[np.searchsorted(stops, at, "right")]) - 1
+            state = (int(t[at]), float(x[at]), float(y[at]), float(z[at]))
+        at += 1
     return fast, state
 
 

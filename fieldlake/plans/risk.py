@@ -426,7 +426,7 @@ def interventions(wide: DataFrame, targets: DataFrame | None = None, cfg: RiskCo
     triggers = F.concat(F.when(poaching, dispatch).otherwise(none),
                         F.when(F.col("critical_inbreeding_risk") & ~guarded, _actions("GENETIC_RESCUE")).otherwise(none))
     rows = wide.withColumn("actions", F.array_distinct(F.concat(base, by_driver, triggers)))
-    rows = rows.withColumn("dispatch_reason", F.when(poaching, "Immediate poaching threat").when(threat_led, "Critical threat pressure"))
+    rows = rows.withColumn("dispatch_reason", F.when(poaching, "signs of poaching").when(threat_led, "threats drive a critical score"))
     rows = rows.withColumn("dispatch_priority", F.when(poaching, "CRITICAL").when(threat_led, "HIGH"))
     place = "struct<latitude:double,longitude:double,class_names:array<string>>"
     if targets is not None:
@@ -438,9 +438,9 @@ def interventions(wide: DataFrame, targets: DataFrame | None = None, cfg: RiskCo
         chosen = F.lit(None).cast(f"array<{place}>")
     centre = F.array(F.struct("latitude", "longitude", _actions().alias("class_names")))
     rows = rows.withColumn("dispatch_targets", F.when(F.col("dispatch_reason").isNotNull(), F.coalesce(chosen, centre)).otherwise(F.array().cast(f"array<{place}>")))
-    return rows.drop("__spots").withColumn("ranger_messages", F.transform("dispatch_targets", lambda t: F.concat(
-        F.col("dispatch_reason"), F.lit(": "), F.when(F.size(t["class_names"]) > 0, F.array_join(t["class_names"], ", ")).otherwise("elevated threat pressure"),
-        F.lit(" near "), F.format_string("%.5f, %.5f", t["latitude"], t["longitude"]), F.lit("."))))
+    return rows.drop("__spots").withColumn("ranger_messages", F.transform("dispatch_targets", lambda t: F.concat_ws(
+        " | ", F.format_string("go to lat %.5f lon %.5f", t["latitude"], t["longitude"]), F.concat(F.lit("why: "), F.col("dispatch_reason")),
+        F.when(F.size(t["class_names"]) > 0, F.concat(F.lit("seen or heard: "), F.array_join(t["class_names"], ", "))))))
 
 
 def mitigations(wide: DataFrame, cfg: RiskConfig = RISK) -> DataFrame:
@@ -470,6 +470,15 @@ def primary_scores(wide: DataFrame, evidence_known: Column | bool = True) -> Dat
     return wide.select(ID, F.explode(F.array(*items)).alias("p")).select(ID, "p.*")
 
 
+def lineage(scopes: DataFrame, tables: dict[str, DataFrame], cfg: RiskConfig = RISK, page: int = 1000) -> DataFrame:
+    """Ids of all source rows of each assessment: ``scope_id``, ``table_name`` and pages of ascending ``record_ids``."""
+    scopes = _timed(scopes)
+    sections = {"telemetry": lambda df: scoped_fixes(scopes, df, cfg), "detections": lambda df: scoped_detections(scopes, df, cfg),
+                "acoustic_events": lambda df: scoped_acoustic(scopes, df, cfg), "sensor_readings": lambda df: scoped_readings(scopes, df)}
+    rows = [of(tables[name]).select(ID, F.lit(name).alias("table_name"), F.col("id").cast("bigint").alias("id")) for name, of in sections.items() if name in tables]
+    return joins.trace_pages(reduce(DataFrame.unionByName, rows), [ID, "table_name"], page=page)
+
+
 def assess(scopes: DataFrame, tables: dict[str, DataFrame], cfg: RiskConfig = RISK, baseline: bool = True) -> DataFrame:
     """Finished assessment rows for all scopes.
 
@@ -535,5 +544,8 @@ def assess(scopes: DataFrame, tables: dict[str, DataFrame], cfg: RiskConfig = RI
     classes = aggregates.threat_context(threats.join(scopes.select(ID, "start_ms", "end_ms"), ID), [ID, "start_ms", "end_ms"], "start_ms", "end_ms", n=cfg.max_threat_classes)
     context = classes.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("rn", "class_name", "events", "trend", "max_confidence", "latest_ms"))).alias("threat_classes"))
     wide = cut_lineage(joins.assemble(wide, context))
+    placed = threats.join(scopes.select(ID, "h3_cell"), ID).withColumn("cell", h3grid.cell_like("latitude", "longitude", "h3_cell"))
+    busiest = aggregates.threat_cells(placed, [ID], n=cfg.max_target_cells)
+    wide = joins.assemble(wide, busiest.groupBy(ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "cell"))), lambda x: x["cell"]).alias("threat_cells")))
     wide = mitigations(interventions(wide, topk.dispatch_targets(threats, [ID], cfg.max_targets, cfg=cfg), cfg), cfg)
     return report_text(wide, cfg)

@@ -271,7 +271,7 @@ select species_id, class_name, events, trend, round(max_confidence, 4) as max_co
     from v_detections where category = 'immediate_threat' and species_id is not null group by 1, 2)) where rn <= 10""")
 def _(spark, sf):
     df = view(spark, sf, "v_detections").filter("category = 'immediate_threat' and species_id is not null")
-    out = agg.threat_context(df, ["species_id"], F.lit(START), F.lit(END))
+    out = agg.threat_context(df, ["species_id"], F.lit(START), F.lit(END), n=10)
     return rounded(out.withColumn("rn", F.col("rn").cast("bigint")), "max_confidence")
 
 
@@ -284,7 +284,7 @@ select species_id, cell, events, rn from (
 def _(spark, sf):
     df = view(spark, sf, "v_detections").filter("category = 'immediate_threat' and species_id is not null").withColumn(
         "cell", F.when(F.col("latitude").isNotNull(), F.concat_ws("-", F.lit("tile"), F.floor(F.col("latitude") * 10), F.floor(F.col("longitude") * 10))))
-    out = agg.threat_cells(df, ["species_id"])
+    out = agg.threat_cells(df, ["species_id"], n=5)
     return out.withColumn("rn", F.col("rn").cast("bigint"))
 
 

@@ -99,9 +99,8 @@ def _(spark, sf):
 with r as (select o_custkey as report_id, list(o_orderkey order by o_orderkey)[1:50] as ids from orders group by 1)
 select report_id, t.id, t.animal_id from (select report_id, unnest(ids) as id from r) x join v_telemetry t on t.id = x.id""")
 def _(spark, sf):
-    ids = topk.scale.top_n(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.asc("o_orderkey")], 60)
-    reports = ids.groupBy(F.col("o_custkey").alias("id")).agg(F.create_map(F.lit("telemetry"), F.array_sort(F.collect_list("o_orderkey"))).alias("record_ids"))
-    return joins.hydrate(reports, {"telemetry": view(spark, sf, "v_telemetry"), "orders": table(spark, sf, "orders")})["telemetry"].select("report_id", "id", "animal_id")
+    reports = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.create_map(F.lit("telemetry"), F.array_sort(F.collect_list("o_orderkey"))).alias("record_ids"))
+    return joins.hydrate(reports, {"telemetry": view(spark, sf, "v_telemetry"), "orders": table(spark, sf, "orders")}, 50)["telemetry"].select("report_id", "id", "animal_id")
 
 
 @query("drop_neighbours", """
@@ -132,10 +131,9 @@ def _(spark, sf):
                      F.get("records", F.size("records") - 1)["recorded_epoch_ms"].alias("last_ms"))
 
 
-@query("trace_ids", "select species_id, array_to_string(list(id order by id)[1:20], ',') as ids from (select species_id, id from v_telemetry where id <> 0) group by 1")
+@query("trace_ids", "select distinct species_id, id from v_telemetry where id <> 0")
 def _(spark, sf):
-    df = joins.trace_summary(view(spark, sf, "v_telemetry"), ["species_id"], n=20)
-    return df.select("species_id", F.array_join("record_ids", ",").alias("ids"))
+    return joins.trace_ids(view(spark, sf, "v_telemetry"), ["species_id"])
 
 
 @query("trace_id_pages", """
@@ -188,7 +186,7 @@ r as (select *, row_number() over (partition by species_id order by best desc, l
 select species_id, target, la as lat4, lo as lon4, events from r where target <= 3""")
 def _(spark, sf):
     df = view(spark, sf, "v_detections").filter("category = 'immediate_threat' and species_id is not null")
-    out = topk.dispatch_targets(df, ["species_id"])
+    out = topk.dispatch_targets(df, ["species_id"], 3)
     return rounded(out.select("species_id", F.col("target").cast("bigint").alias("target"), "lat4", "lon4", "events"), "lat4", "lon4")
 
 
@@ -199,7 +197,7 @@ def _(spark, sf):
     df = view(spark, sf, "v_detections").filter("source_type = 'ACOUSTIC'").selectExpr(
         "id", "detected_epoch_ms as window_ms", "case id % 5 when 0 then 'PENDING' when 1 then 'RUNNING' else 'PROCESSED' end as status",
         "case when id % 2 > 0 then detected_epoch_ms end as started_ms")
-    return topk.claimable(df, 1705363200000).select("id")
+    return topk.claimable(df, 1705363200000, 32).select("id")
 
 
 @query("threat_alerts", """
@@ -248,7 +246,7 @@ def _(spark, sf):
 select event_id, client_id from (select * from {RISK_ALERTS} order by ts desc, event_id desc limit 10) a join {SUBS} s
   on (s.zone is null or s.zone = a.zone) and {RANK.format('a.priority')} >= {RANK.format('s.floor')}""")
 def _(spark, sf):
-    return alerts.replay(_risk_alerts(spark, sf), _subs(spark, sf)).select("event_id", "client_id")
+    return alerts.replay(_risk_alerts(spark, sf), _subs(spark, sf), 10).select("event_id", "client_id")
 
 
 @query("speed_verdicts")

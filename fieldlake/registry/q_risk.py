@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.config import DOMAINS, RISK
+from fieldlake.operators import joins
 from fieldlake.plans import risk
 from fieldlake.registry.core import query, rounded
 from fieldlake.registry.q_spatial import hav
@@ -152,6 +155,21 @@ def _(spark, sf):
                                       F.count(F.when(F.col("latitude").isNull(), 1)).alias("unlocated"))
 
 
+@query("lineage", f"""
+with {FOUND}, t as (select sc.scope_id, t.id from v_telemetry t join {SCOPES} sc on t.species_id = sc.species_id and recorded_epoch_ms between sc.s and sc.e
+  and {hav('t.latitude', 't.longitude', 'sc.lat', 'sc.lon')} <= 50000),
+r as (select sc.scope_id, r.id from v_sensor_readings r join {SCOPES} sc on sc.h3_cell = r.h3_cell and recorded_epoch_ms between sc.s and sc.e where quality_flag <> 'INVALID'),
+u as (select 'detections' as table_name, scope_id, id from found union all select 'telemetry', * from t union all select 'sensor_readings', * from r)
+select scope_id, table_name, count(*) as rows, sum(id)::bigint as ids from u where id <> 0 group by 1, 2""")
+def _(spark, sf):
+    """All source rows behind every assessment, found again by the pages of their ids."""
+    tables = {"telemetry": view(spark, sf, "v_telemetry"), "detections": view(spark, sf, "v_detections"), "sensor_readings": view(spark, sf, "v_sensor_readings")}
+    pages = risk.lineage(scopes(spark, sf).drop("start_ms", "end_ms", "window_start_ms", "window_end_ms"), tables, page=500)
+    counted = [df.groupBy("scope_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids")).withColumn("table_name", F.lit(name))
+               for name, df in joins.hydrate_pages(pages, tables).items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query("threat_subscore", f"""
 with {FOUND}, t as (select scope_id, scope_species, id, latitude, longitude, (case class_name when 'gunshot' then 1.0 when 'chainsaw' then 0.7 else 0.5 end) * confidence * pow(2, -((e - detected_epoch_ms) / 1000.0) / 172800.0) as p
   from found where category = 'immediate_threat' and e - detected_epoch_ms between 0 and 2592000000),

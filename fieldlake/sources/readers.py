@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlake.config import FOCAL_SPECIES, MEASUREMENTS
@@ -10,6 +11,7 @@ from fieldlake.functions import text
 from fieldlake.functions.h3grid import cell_of
 from fieldlake.functions.timex import epoch_ms, parse_packed, to_utc
 from fieldlake.schemas import COLLAR_FIELDS, INGEST, SENSOR_FIELDS
+from fieldlake.session import cut_lineage
 
 IMAGES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 VIDEOS = ("mp4", "avi", "mov", "mkv", "m4v")
@@ -21,16 +23,36 @@ def _lines(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
     return reader.schema("value string").text(path) if streaming else reader.text(path)
 
 
-def _message(df: DataFrame, fields) -> DataFrame:
-    """Device message: a field of ``fields`` wins over the same name in the envelope."""
+CORRUPT = "_corrupt_record"
+
+
+def _device_messages(df: DataFrame, fields) -> DataFrame:
+    """``raw``, ``failure`` (null for a message that can be read) and the parsed ``m`` of every line that is not blank."""
     inner = ", ".join(f"{f}: string" for f in fields)
     outer = ", ".join(f"{f} string" for f in fields)
-    parsed = F.from_json("value", f"device_id string, max_speed string, {outer}, fields struct<{inner}>")
-    rows = df.select(parsed.alias("m")).filter("m is not null")
+    parsed = F.from_json("value", f"device_id string, max_speed string, {outer}, fields struct<{inner}>, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    rows = df.filter(F.trim("value") != "").select(F.col("value").alias("raw"), parsed.alias("m"))
+    return rows.withColumn("failure", _failure("raw", F.col(f"m.{CORRUPT}").isNotNull()))
+
+
+def _failure(raw: str, corrupt: Column) -> Column:
+    """Why a text is no message: no JSON, no object, or a field of another type."""
+    kind = F.schema_of_variant(F.try_parse_json(raw))
+    return (F.when(kind.isNull(), "not_json").when(~kind.startswith("OBJECT"), "not_an_object").when(corrupt, "field_type"))
+
+
+def _message(df: DataFrame, fields) -> DataFrame:
+    """Device message: a field of ``fields`` wins over the same name in the envelope. Unreadable lines are in ``unreadable``."""
+    rows = _device_messages(df, fields).filter("failure is null")
     return rows.select(F.coalesce("m.device_id", F.lit("unknown")).alias("device_id"), F.col("m.max_speed").alias("max_speed"),
                        *[F.coalesce(F.col(f"m.fields.{f}"), F.col(f"m.{f}")).alias(f) for f in fields])
 
 
+def unreadable(df: DataFrame, fields=COLLAR_FIELDS) -> DataFrame:
+    """``raw`` and ``failure`` of the device lines that ``parse_gps`` or ``parse_environmental`` cannot read."""
+    return _device_messages(df, fields).filter("failure is not null").select("raw", "failure")
+
+
 def _number(name: str, default: float | None = None) -> Column:
     value = F.nullif(F.trim(name), F.lit("")).try_cast("double")
     return value if default is None else F.when(F.col(name).isNull(), F.lit(default)).otherwise(value)
@@ -63,25 +85,33 @@ def read_environmental(spark: SparkSession, path: str, streaming: bool = False)
     return parse_environmental(_lines(spark, path, streaming))
 
 
-def parse_ingest(df: DataFrame) -> DataFrame:
-    """Mixed payloads, one object or an array of them per ``value``."""
+KINDS = ("gps", "environmental", "acoustic", "vision")
+
+
+def messages(df: DataFrame) -> DataFrame:
+    """Every payload of the lines in ``value`` (one object or an array of them): ``raw``, ``failure`` and the parsed ``p``.
+
+    A failure is one of: ``not_json``, ``not_an_object``, ``field_type`` (a field of another type), ``unknown_type`` (no known reading type).
+    Blank lines and empty arrays hold no payload. No line is lost: an array that cannot be read is one failed payload.
+    """
     body = F.trim("value")
-    many = F.from_json(F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]"))),
-                       "array<struct<" + ", ".join(f"{p.split(' ', 1)[0]}: {p.split(' ', 1)[1]}" for p in _columns(INGEST)) + ">>")
-    rows = df.select(F.explode(many).alias("p")).select("p.*")
+    many = F.from_json(body, "array<string>")
+    rows = df.filter(body != "").select(F.explode(F.when(body.startswith("[") & many.isNotNull(), many).otherwise(F.array(body))).alias("raw"))
+    rows = rows.withColumn("raw", F.coalesce("raw", F.lit("null")))
+    parsed = rows.withColumn("p", F.from_json("raw", f"{INGEST}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}))
+    broken = _failure("raw", F.col(f"p.{CORRUPT}").isNotNull())
+    return parsed.withColumn("failure", F.coalesce(broken, F.when(~F.coalesce(F.col("p.reading_type").isin(*KINDS), F.lit(False)), "unknown_type")))
+
+
+def readable(payloads: DataFrame) -> DataFrame:
+    """Columns of the payloads without a failure, with their time."""
+    rows = payloads.filter("failure is null").select("p.*").drop(CORRUPT)
     return rows.withColumn("recorded_at", to_utc("timestamp")).withColumn("recorded_epoch_ms", epoch_ms("recorded_at")).drop("timestamp")
 
 
-def _columns(ddl: str) -> list[str]:
-    depth, part, out = 0, "", []
-    for ch in ddl:
-        depth += {"<": 1, ">": -1}.get(ch, 0)
-        if ch == "," and not depth:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += ch
-    return [*out, part.strip()]
+def parse_ingest(df: DataFrame) -> DataFrame:
+    """Payloads that can be read and routed, one object or an array of them per ``value``; see ``messages`` for the others."""
+    return readable(messages(df))
 
 
 def route_ingest(rows: DataFrame, cells: bool = True) -> dict[str, DataFrame]:
@@ -162,11 +192,50 @@ def _sequence_fields(df: DataFrame) -> DataFrame:
     return (out.withColumn("sample_id", F.coalesce("sample_id", record)).withColumn("allele_count", F.lit("1")).drop("__f"))
 
 
+RECORD = "file string, block bigint, part string, header string, sequence string, quality string"
+
+
+def _fastq_records(batches):
+    """Records of one task's pieces (texts between line ends followed by ``@``), and the loose ends of its blocks.
+
+    A piece of four lines is a record. A quality that starts with ``@`` is cut off its record: the piece before it has three lines, the
+    last with ``+``, and the one behind is the quality alone. Where a block ends between the two, they leave as ``head`` and
+    ``tail``; a block that starts with something else says ``none``. Other pieces lack lines and are no records.
+    """
+    names = ["file", "block", "part", "header", "sequence", "quality"]
+    waiting, place = None, None
+    for pdf in batches:
+        out = []
+        for file, block, piece in zip(pdf["file"], pdf["block"], pdf["value"], strict=True):
+            lines = [x for x in piece.replace("\r", "").split("\n") if x]
+            first = place != (file, block)
+            if first and waiting:
+                out.append((*place, "head", *waiting, None))
+                waiting = None
+            place = (file, block)
+            if first and len(lines) > 1:
+                out.append((file, block, "none", None, None, None))
+            if waiting and len(lines) < 2:
+                out.append((file, block, "record", *waiting, "@" + "".join(lines)))
+                waiting = None
+                continue
+            waiting = None
+            if len(lines) >= 4 and lines[2].startswith("+"):
+                out.append((file, block, "record", lines[0].removeprefix("@"), lines[1], lines[3]))
+            elif len(lines) == 3 and lines[2].startswith("+"):
+                waiting = (lines[0].removeprefix("@"), lines[1])
+            elif first and len(lines) < 2:
+                out.append((file, block, "tail", None, None, "@" + "".join(lines)))
+        yield pd.DataFrame(out, columns=names)
+    if waiting:
+        yield pd.DataFrame([(*place, "head", *waiting, None)], columns=names)
+
+
 def read_sequences(spark: SparkSession, path: str, fmt: str = "fasta") -> DataFrame:
-    """FASTA or FASTQ records: header fields, sequence, mean quality and position in the file.
+    """FASTA or FASTQ records: header fields, sequence and mean quality.
 
-    FASTA splits at record marks, so large files are read in parallel; FASTQ has no safe
-    mark and is read one file per task.
+    Both are split at record marks by Spark's text reader, so one large file is read by many tasks. For FASTQ (four lines a
+    record) the mark may also start a quality; the records it cuts are put together again, across tasks by the blocks of the file.
     """
     if fmt == "fasta":
         raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r"))
@@ -174,12 +243,14 @@ def read_sequences(spark: SparkSession, path: str, fmt: str = "fasta") -> DataFr
                                                     F.regexp_replace(F.coalesce(F.get(F.split("r", "\r?\n", 2), F.lit(1)), F.lit("")), r"\s+", "").alias("sequence"),
                                                     F.lit(None).cast("double").alias("mean_quality"))
     else:
-        lines = F.filter(F.split("value", "\r?\n"), lambda x: x != "")
-        groups = F.transform(F.sequence(F.lit(0), F.greatest((F.size("l") / 4).cast("int") - 1, F.lit(0))), lambda i: F.slice("l", i * 4 + 1, 4))
-        raw = spark.read.text(path, wholetext=True).select(lines.alias("l")).filter(F.size("l") >= 4)
-        rows = raw.select(F.explode(groups).alias("g")).select(
-            F.regexp_replace(F.get("g", F.lit(0)), "^@", "").alias("sequence_header"), F.get("g", F.lit(1)).alias("sequence"),
-            text.mean_phred(F.get("g", F.lit(3))).alias("mean_quality"))
+        pieces = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        parts = pieces.mapInPandas(_fastq_records, RECORD)
+        # at most two loose ends for each block of a file; a tail belongs to the head of the block before it that holds any piece
+        before = Window.partitionBy("file").orderBy("block", F.when(F.col("part") == "head", 1).otherwise(0))
+        ends = parts.filter("part <> 'record'").withColumns({"__tail": F.lead("part").over(before), "__quality": F.lead("quality").over(before)})
+        mended = ends.filter("part = 'head' and __tail = 'tail'").select("header", "sequence", F.col("__quality").alias("quality"))
+        whole = parts.filter("part = 'record'").select("header", "sequence", "quality").unionByName(mended)
+        rows = whole.select(F.col("header").alias("sequence_header"), "sequence", text.mean_phred("quality").alias("mean_quality"))
     return _sequence_fields(rows)
 
 
@@ -204,10 +275,27 @@ BUNDLE = ("version int, species string, created_at string, cell_size_m int, loss
           "cells array<struct<lat: double, lon: double, vote: double, status: string, loss: double>>")
 
 
+CELL = "struct<lat: double, lon: double, vote: double, status: string, loss: double>"
+
+
 def read_habitat_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, metadata) of a habitat document; a document has at most 150 000 cells."""
-    doc = spark.read.schema(BUNDLE).option("multiLine", "true").json(path)
-    return doc.select(F.inline("cells")), doc.drop("cells")
+    """(cells, metadata) of a habitat document.
+
+    Cells are flat objects, so the document is cut at opening braces by Spark's text reader and one large file is read by many
+    tasks. What is not a cell is put together again in file order and read as the metadata; no text of a document holds braces.
+    """
+    pieces = spark.read.option("lineSep", "{").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), "value")
+    is_cell = F.col("value").rlike(r'(?s)^[^{}]*"lat"\s*:[^{}]*\}')
+    marked = pieces.select("file", "at", "value", is_cell.alias("is_cell"))
+    body = F.concat(F.lit("{"), F.substring_index("value", "}", 1), F.lit("}"))
+    cells = marked.filter("is_cell").select(F.from_json(body, CELL).alias("c")).select("c.*")
+    rest = F.when(F.col("is_cell"), F.expr("substr(value, instr(value, '}') + 1)")).otherwise(F.concat(F.lit("{"), F.col("value")))
+    frame = marked.select("file", "at", rest.alias("rest")).filter(~F.col("rest").rlike(r"^[\s,]*$"))
+    joined = frame.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "rest"))), lambda x: x["rest"]), "").alias("doc"))
+    # the text before the first brace has none of its own
+    doc = joined.select(F.from_json(F.regexp_replace("doc", r"^\{\s*\{", "{"), BUNDLE).alias("d"))
+    return cells, cut_lineage(doc.select("d.*").drop("cells"))
 
 
 def read_presences(spark: SparkSession, path: str, species: str = FOCAL_SPECIES, cell_size: float = 1000.0) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Parquet folders have no transactions, so an upsert writes the next version beside the old one
 and moves a pointer file afterwards; a job that dies half-way leaves the old version current.
-With a table format that supports it, ``upsert`` is a single MERGE.
+With a table format that supports it, ``upsert`` is a single MERGE. Large targets belong into
+``indexed.IndexedTable``, which all writers here take as well and which touches only the files of a batch.
 """
 
 from __future__ import annotations
@@ -101,8 +102,12 @@ def new_rows(df: DataFrame, target: DataFrame | None, keys: Sequence[str], order
 
 
 def append_new(df: DataFrame, table: ParquetTable, keys: Sequence[str], order: Sequence[str] = (), nullable: Sequence[str] = ()) -> dict[str, int]:
-    """Insert rows whose key is new; repeats are counted, not errors."""
+    """Insert rows whose key is new; repeats are counted, not errors. An ``IndexedTable`` reads only the files it needs."""
+    if not isinstance(table, ParquetTable):
+        return table.append_new(df, order, nullable)
     received = df.count()
+    if not received:
+        return {"received": 0, "stored": 0, "duplicate": 0}
     before = table.read()
     had = 0 if before is None else before.count()
     table.append(new_rows(df, before, keys, order, nullable))
@@ -120,6 +125,9 @@ def merged(df: DataFrame, target: DataFrame | None, keys: Sequence[str], order:
 
 
 def upsert(df: DataFrame, table: ParquetTable, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+    if not isinstance(table, ParquetTable):
+        table.upsert(df, order)
+        return
     table.replace(merged(df, table.read(), keys, order))
 
 

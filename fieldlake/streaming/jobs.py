@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldlake.operators import alerts, validate
@@ -15,13 +16,15 @@ from fieldlake.sources import readers, sinks
 TABLE_OF = {"gps": "telemetry", "environmental": "sensor_readings", "acoustic": "detections", "vision": "detections"}
 
 
-def trigger_options(batch_rows: int = 500, interval_ms: int = 500, files: int = 100) -> tuple[dict, dict]:
-    """(reader options, trigger arguments) for coalesced writes."""
-    return {"maxFilesPerTrigger": str(files)}, {"processingTime": f"{interval_ms} milliseconds"} if batch_rows else {"availableNow": True}
+def trigger_options(batch_rows: int = 500, interval_ms: int = 500, rows_per_file: int = 1) -> tuple[dict, dict]:
+    """(reader options, trigger arguments) for micro-batches of at most ``batch_rows`` rows every ``interval_ms``: so many messages of
+    a log, or so many files of ``rows_per_file`` rows each."""
+    reader = {"maxOffsetsPerTrigger": str(batch_rows), "maxFilesPerTrigger": str(max(batch_rows // rows_per_file, 1))}
+    return reader, {"processingTime": f"{interval_ms} milliseconds"}
 
 
 def with_lateness(stream: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
-    """Event-time bound; later rows are left to the batch path, which accepts any past time."""
+    """Event-time bound of Spark's own windows, which drop later rows; ``late.bucket_log`` and ``late.session_log`` keep them."""
     return stream.withWatermark(time, delay)
 
 
@@ -44,32 +47,45 @@ def checked(parts: dict[str, DataFrame], now_ms) -> dict[str, DataFrame]:
     return out
 
 
-def ingest_batch(lines: DataFrame, tables: dict[str, sinks.ParquetTable], now_ms, cells: bool = True) -> dict[str, dict[str, int]]:
-    """One micro-batch: parse, route, validate, insert what is new. Replaying a batch stores nothing twice."""
-    parts = checked(readers.route_ingest(readers.parse_ingest(lines), cells), now_ms)
-    counters = {}
+def ingest_batch(lines: DataFrame, tables: dict[str, sinks.ParquetTable], now_ms, cells: bool = True, quarantine: str | None = None) -> dict[str, dict[str, int]]:
+    """One micro-batch: parse, route, validate, insert what is new. Replaying a batch stores nothing twice.
+
+    Every payload is counted once: received = stored + duplicate + failed, by kind, and ``unreadable`` for payloads that cannot be read or
+    routed. Failed ones go to ``quarantine`` as Parquet rows (kind, reason, data): a folder that one call replaces as a whole.
+    """
+    payloads = readers.messages(lines).persist()
+    parts = checked(readers.route_ingest(readers.readable(payloads), cells), now_ms)
+    lost, seen = payloads.filter("failure is not null"), Observation()
+    out = lost.select(F.lit("unreadable").alias("kind"), F.col("failure").alias("reason"), F.col("raw").alias("data")).observe(seen, F.count(F.lit(1)).alias("n"))
+    counters, failures, held = {}, [(out, "unreadable", seen)], []
     for kind, rows in parts.items():
         name = TABLE_OF[kind]
-        # judged once, then counted, split and stored
+        # judged once, then split, stored and counted by the writes themselves
         rows = rows.persist()
+        held.append(rows)
         good, bad = validate.split_valid(rows)
-        failed = bad.count()
-        if good.isEmpty():
-            done = {"received": 0, "stored": 0, "duplicate": 0}
-        else:
-            done = sinks.append_new(good, tables[kind], KEYS[name], nullable=NULLABLE_KEYS.get(name, ()))
-        counters[kind] = {**done, "received": done["received"] + failed, "failed": failed}
+        counters[kind] = sinks.append_new(good, tables[kind], KEYS[name], nullable=NULLABLE_KEYS.get(name, ()))
+        seen, data = Observation(), [c for c in bad.columns if c != "reject_reasons"]
+        failures.append((bad.select(F.lit(kind).alias("kind"), F.array_join("reject_reasons", "; ").alias("reason"), F.to_json(F.struct(*data)).alias("data"))
+                         .observe(seen, F.count(F.lit(1)).alias("n")), kind, seen))
+    failed = reduce(DataFrame.unionByName, [x for x, _, _ in failures])
+    (failed.write.mode("overwrite").parquet(quarantine) if quarantine else failed.write.format("noop").mode("overwrite").save())
+    for _, kind, seen in failures:
+        done = counters.setdefault(kind, {"received": 0, "stored": 0, "duplicate": 0})
+        done["failed"] = seen.get["n"]
+        done["received"] += done["failed"]
+    for rows in [payloads, *held]:
         rows.unpersist()
     return counters
 
 
 def start_ingest(lines: DataFrame, tables: dict[str, sinks.ParquetTable], checkpoint: str, now_ms: Callable[[], int],
-                 on_batch: Callable[[dict], None] | None = None, **trigger):
-    """Continuous ingest of a stream of JSON lines (column ``value``)."""
-    def write(batch: DataFrame, _: int) -> None:
+                 on_batch: Callable[[dict], None] | None = None, quarantine: str | None = None, **trigger):
+    """Continuous ingest of a stream of JSON lines (column ``value``); failed payloads of batch n go to ``<quarantine>/batch=<n>``."""
+    def write(batch: DataFrame, n: int) -> None:
         batch.persist()
         try:
-            counters = ingest_batch(batch, tables, now_ms())
+            counters = ingest_batch(batch, tables, now_ms(), quarantine=quarantine and f"{quarantine.rstrip('/')}/batch={n}")
         finally:
             batch.unpersist()
         if on_batch:

@@ -127,6 +127,27 @@ def test_rows_are_consistent(assessed):
     assert "safe_words" in validate.check_narratives(lied).first()["reject_reasons"]
 
 
+def test_threat_cells_of_a_real_cell(spark):
+    """Cells at the resolution of the scope's own cell; a scope without a real cell keeps its own."""
+    from fieldlake.functions.h3grid import cell_like, cell_of
+    rows = spark.createDataFrame([(1, "872830828ffffff", 37.77, -122.41), (2, "85283083fffffff", 37.77, -122.41), (3, "cell-a", 37.77, -122.41), (4, "872830828ffffff", None, 1.0)],
+                                 "id int, cell string, latitude double, longitude double")
+    got = {r["id"]: r for r in rows.select("id", cell_like("latitude", "longitude", "cell").alias("own"), cell_of("latitude", "longitude", 7).alias("seven"),
+                                           cell_of("latitude", "longitude", 5).alias("five")).collect()}
+    assert got[1]["own"] == got[1]["seven"] and got[2]["own"] == got[2]["five"] and got[3]["own"] is None and got[4]["own"] is None
+
+
+def test_report_text(assessed):
+    row = assessed.filter("scope_id = 1").first()
+    text = row["narrative_report"]
+    for figure in (row["conservation_risk_index"], row["genetics_contribution"], row["intervention_priority_index"]):
+        assert f"{figure:.2f}" in text
+    assert text.count("figures: ") == 4 and row["dominant_domain"] in text
+    assert all(m.startswith("go to lat ") and "why: signs of poaching" in m for m in row["ranger_messages"])
+    bare = assessed.filter("scope_id = 2").first()["narrative_report"]
+    assert "Insufficient data for assessment" in bare and bare.count("figures: ") == 4
+
+
 def test_primary_scores(spark):
     df = spark.createDataFrame([(1, 50.0, 0.0, 12.0, None, ["population"])],
                                "scope_id long, population_subscore double, habitat_subscore double, threat_subscore double, genetics_subscore double, missing_domains array<string>")

@@ -143,3 +143,71 @@ def test_same_key_join_keeps_null_keys(spark):
     from fieldlake.operators import filters
     got = {r["x"]: r["key_rows"] for r in filters.with_count(rows, ["k"]).collect()}
     assert got == {1: 2, 2: 2, 3: 1}
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seed, end", [(1, "\n"), (2, "\r\n"), (3, "\n")])
+def test_one_sequence_file_in_many_tasks(spark, tmp_path, small_splits, seed, end):
+    """Qualities that start with the record mark, or are nothing else, at and around the ends of blocks."""
+    import random
+    r = random.Random(seed)
+    want = []
+    for n in range(400):
+        size = r.choice([1, 2, 30, 100])
+        first = "@" if r.random() < 0.6 else "I"
+        want.append((f"q{n}", "".join(r.choice("ACGT") for _ in range(size)), first + "".join(r.choice("@+!I") for _ in range(size - 1))))
+    body = "".join(f"@{h} sample=S{h}{end}{s}{end}+{r.choice(['', '@x'])}{end}{q}{end}" for h, s, q in want)
+    rows = readers.read_sequences(spark, write(tmp_path / "x.fastq", body), "fastq")
+    lines = spark.read.option("lineSep", "\n@").text(str(tmp_path / "x.fastq"))
+    assert lines.rdd.getNumPartitions() > 20
+    got = sorted((x["sample_id"], x["sequence"], round(x["mean_quality"], 9)) for x in rows.collect())
+    assert got == sorted((f"S{h}", s, round(sum(map(ord, q)) / len(q) - 33, 9)) for h, s, q in want)
+    fasta = "".join(f">{h} sample=S{h}\n{s}\n" for h, s, _ in want)
+    rows = readers.read_sequences(spark, write(tmp_path / "x.fasta", fasta))
+    assert sorted((x["sample_id"], x["sequence"]) for x in rows.collect()) == sorted((f"S{h}", s) for h, s, _ in want)
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_habitat_document_in_many_tasks(spark, tmp_path, small_splits, indent):
+    cells = [{"lat": 33.0 + k / 100, "lon": 75.0, "vote": None if k % 5 == 0 else k / 500, "status": "suitable_model_domain", "loss": 0.1} for k in range(500)]
+    doc = {"version": 1, "species": "Semnopithecus ajax", "cells": cells, "created_at": "2024-01-01T00:00:00+00:00", "cell_size_m": 1000, "loss_year": 2023,
+           "metrics": {"auc": 0.95, "tss": 0.8, "members": [{"auc": 0.92, "tss": 0.71}, {"auc": 0.93, "tss": 0.72}]}}
+    got, meta = readers.read_habitat_cells(spark, write(tmp_path / "b.json", json.dumps(doc, indent=indent)))
+    assert spark.read.option("lineSep", "{").text(str(tmp_path / "b.json")).rdd.getNumPartitions() > 20
+    assert sorted((x["lat"], x["vote"]) for x in got.collect() if x["vote"] is not None) == sorted((c["lat"], c["vote"]) for c in cells if c["vote"] is not None)
+    assert got.count() == 500
+    row = meta.first().asDict(recursive=True)
+    assert meta.count() == 1 and row == {k: v for k, v in doc.items() if k != "cells"}
+    doc["cells"] = []
+    got, meta = readers.read_habitat_cells(spark, write(tmp_path / "c.json", json.dumps(doc, indent=indent)))
+    assert got.count() == 0 and meta.first()["metrics"]["tss"] == 0.8
+
+
+def test_payloads_that_cannot_be_read(spark, tmp_path):
+    good = {"reading_type": "acoustic", "sensor_id": "m", "timestamp": "2024-01-02T00:00:00Z", "confidence": 0.5}
+    lines = [json.dumps(good), "{broken", "[1, 2", "7", "", "   ", "[]", json.dumps([good, 5, None, {"reading_type": "sonar"}, "text"]), json.dumps({**good, "confidence": "high"}),
+             json.dumps({**good, "reading_type": None}), '{"reading_type": "acoustic", "confidence": NaN}', "null"]
+    rows = readers.messages(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = sorted((x["failure"] or "good", x["raw"][:9]) for x in rows.collect())
+    assert got == sorted([("good", '{"reading'), ("not_json", "{broken"), ("not_json", "[1, 2"), ("not_an_object", "7"), ("good", '{"reading'), ("not_an_object", "5"),
+                          ("not_an_object", "null"), ("unknown_type", '{"reading'), ("not_json", "text"), ("field_type", '{"reading'), ("unknown_type", '{"reading'),
+                          ("not_json", '{"reading'), ("not_an_object", "null")])
+    assert readers.parse_ingest(spark.createDataFrame([(x,) for x in lines], "value string")).count() == 2
+    lines = ['{"device_id": "d", "fields": {"animal_id": "a"}}', "nope", "3", '{"device_id": "d", "fields": 4}', ""]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert sorted(x["failure"] for x in readers.unreadable(df).collect()) == ["field_type", "not_an_object", "not_json"]
+    assert readers.parse_gps(df).count() == 1
+
+
+def test_infrastructure(spark, tmp_path):
+    rows = [{"id": 1, "feature_type": "fence", "feature_name": "f", "geometry_wkt": "LINESTRING(0 0, 1 1)", "detected_at": "2024-01-02T00:00:00Z", "removed_at": None, "source": "s"}]
+    got = readers.read_infrastructure(spark, write(tmp_path / "i.json", "\n".join(map(json.dumps, rows)))).first()
+    assert got["detected_epoch_ms"] == 1704153600000 and got["removed_epoch_ms"] is None and got["geometry_wkt"].startswith("LINESTRING")
