@@ -14,10 +14,12 @@ give for all rows received. A log is written per micro-batch and overwritten whe
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from fieldlake.operators import series
 
+# Spark asks a processor for its state in a Python process of the driver that does not see shipped packages
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SUMS = ["sample_count", "threat_count", "metric_sum", "metric_count", "metric_max"]
 
 
@@ -204,11 +209,22 @@ def session_log(stream: DataFrame, keys: Sequence[str], seg_ms: int, gap_ms: int
     return _named(out, stream.schema, keys)
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_log(log: DataFrame, path: str, checkpoint: str, **trigger):
-    """Write a log as ``<path>/batch=<n>``; a repeated batch replaces what it wrote before."""
+    """Write a log as ``<path>/batch=<n>``; a repeated batch replaces what it wrote before. The state store is RocksDB, which timers need."""
+    spark = log.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # a query keeps the settings it was started with
+
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={n}")
-    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    try:
+        return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def open_buckets(log: DataFrame, checkpoint: str, keys: Sequence[str] = ()) -> DataFrame:

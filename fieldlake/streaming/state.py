@@ -7,19 +7,26 @@ successors are judged against the state of the moment, and a batch run corrects
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fieldlake.config import EMA_ALPHAS, GPS
+from fieldlake.operators import tracking
 from fieldlake.operators.tracking import judge, with_ecef
 from fieldlake.operators.validate import TOO_FAST, VALID_FIX
 
+# Spark asks a processor for its state in a Python process of the driver that does not see shipped packages
+for _module in (__name__, tracking.__name__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
+
 HELPERS = ["ecef_x", "ecef_y", "ecef_z", "speed_limit"]
 
 
