@@ -6,36 +6,23 @@ element are those of one permutation, so its offers are spread over the slots in
 lowers the variance of the signature. Offers of rank j are smaller than all of rank j + 1, so ranks are dealt in step for
 all elements and a set is finished as soon as no slot is empty: long sets after one or two ranks.
 
-Signatures are cut into bands, sets that agree in a band are candidates, and a candidate is linked only after the whole sets
-have been compared. Which bands two sets share is chance: at the threshold of 0.8, ``BANDS`` bands of ``ROWS`` values miss a pair
-once in 4 * 10^8. Beyond that no link between different components is left out, and no list is cut:
-
-1. Equal sets are one node, so copies of a text cost one row each.
-2. Each node is compared with the smallest leader (smallest member) of its lists, then with those leaders of its other
-   lists that are not in its component yet. A group of near copies is joined by about one comparison per member.
-3. What is left are pairs of a list in different components. Short lists (``SHORT``) are compared pair by pair. Nodes of
-   longer lists, families of texts that are alike without being copies, are joined on their rarest elements instead:
-   two sets of similarity s share one of the rarest (1 - s) n + 1 elements of either, whatever the order of rarity, and
-   members of a family share mostly frequent ones. That is exact for those nodes.
-
-Links are never expanded to all pairs of a group; ``component`` is the smallest id reachable.
+Signatures are cut into bands, sets that agree in a band are candidates, and ``copies.grouped`` compares the whole sets of
+candidates and joins the similar ones to components. Which bands two sets share is chance: at the threshold of 0.8,
+``BANDS`` bands of ``ROWS`` values miss a pair once in 4 * 10^8. Beyond that no two similar sets end in different components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, shingles, slices, span_hash, stage, words
-from fieldlake.llm.graph import components
+from fieldlake.llm import copies
+from fieldlake.llm.common import mixed, slices, stage
 
 BANDS = 50
 ROWS = 5  # values of a band
-SHORT = 32  # members of a list that is compared pair by pair
-PER_PART = 2000  # pairs of one leader that meet in one task
-SLICE = 1 << 20  # bytes of text whose permutations are held at once
 STEP = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -65,121 +52,23 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int, slots: int) -> np.ndar
     return kept
 
 
-def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every text and their rows, by row and hash."""
-    data, offsets = raw(column)
-    data = LOWER[data]
-    starts, ends, owner = words(data, offsets)
-    h, row = shingles(span_hash(prefix_hash(data), starts, ends), owner, len(column), n)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], row[new]
-
-
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
-
-
 def _prints(n: int, bands: int, width: int):
     def run(batches):
-        for batch in slices(batches, "__text", SLICE):
+        for batch in slices(batches, "__text", copies.SLICE):
             rows = batch.num_rows
-            h, row = _sets(batch.column("__text"), n)
-            size = np.bincount(row, minlength=rows)
-            filled = np.flatnonzero(size)
-            # equal sets have equal marks: two sums of 64 bits over the elements
-            marks = np.zeros((rows, 2), np.uint64)
-            if len(filled):
-                edge = np.searchsorted(row, filled)
-                for k in range(2):
-                    marks[filled, k] = mixed(np.add.reduceat(mixed(h ^ np.uint64(k + 1)), edge) + size[filled].astype(np.uint64))
+            h, row = copies.sets(batch.column("__text"), n)
+            size, mark = copies.marks(h, row, rows)
             signed = signatures(h, row, rows, bands * width).reshape(rows, bands, width)
             keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (rows, bands)).copy()
             for k in range(width):
                 keys = mixed(keys * STEP + signed[:, :, k])
-            keys = keys[filled].view(np.int64).ravel()
-            counts = np.where(size > 0, bands, 0)
-            node = pa.array([m.tobytes() for m in marks], pa.binary())
+            keys = copies.lists(keys[size > 0].view(np.int64).ravel(), np.where(size > 0, bands, 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__text"), batch.column("__at"), pa.array(size.astype(np.int64)), node, _lists(keys, counts)],
-                ["id", "text", "at", "n", "node", "keys"])
+                [batch.column("__id"), batch.column("__text"), batch.column("__at"), pa.array(size.astype(np.int64)), mark, keys],
+                ["id", "text", "at", "n", "mark", "keys"])
     return run
 
 
-def _alike(percent: int) -> Column:
-    """Sizes ``na`` and ``nb`` allow the similarity."""
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-
-def _confirmed(n: int, percent: int):
-    def run(batches):
-        for batch in slices(batches, "ta", SLICE):
-            (ha, ra), (hb, rb) = (_sets(batch.column(t), n) for t in ("ta", "tb"))
-            h, row = np.concatenate([ha, hb]), np.concatenate([ra, rb])
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            twice = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-            both = np.bincount(row[1:][twice], minlength=batch.num_rows)
-            union = np.bincount(row, minlength=batch.num_rows) - both
-            yield batch.filter(pa.array(100 * both >= percent * union)).select(["a", "b"])
-    return run
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The distinct rows ``a``, ``b`` of ``pairs`` whose whole sets are similar enough; a ``b`` with many partners is spread
-    over as many parts as they need."""
-    pairs = stage(pairs.distinct(), "pairs")
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_PART).cast("int").alias("parts"))
-    copies = (texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(parts, "b")
-              .select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    spread = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    both = spread.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(copies, ["b", "part"])
-    return stage(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(n, percent), "a binary, b binary"), "links")
-
-
-def _texts(prints: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node``, ``text`` of the ``wanted`` nodes: that of the node's first row."""
-    named = nodes.join(wanted, "node").select("node", "at")
-    return stage(prints.select("at", "text").join(named, "at").select("node", "text"), "texts")
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return (rows.join(roots.withColumnRenamed("root", "__root"), "node", "left")
-            .withColumn("root", F.coalesce("__root", "node")).drop("__root"))
-
-
-def _rare_pairs(texts: DataFrame, n: int, percent: int, roots: DataFrame) -> DataFrame:
-    """Candidates ``a``, ``b`` in different components among ``texts``: they share one of each one's rarest elements.
-
-    Sets of sizes x <= y with the similarity share at least a = percent (x + y) / (100 + percent) elements. In one order of all
-    elements, their first common one has at most x - a elements before it in the one and y - a in the other.
-    """
-    def split(batches):
-        for batch in slices(batches, "text", SLICE):
-            h, row = _sets(batch.column("text"), n)
-            counts = np.bincount(row, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts), _lists(h.view(np.int64), counts)], ["node", "n", "h"])
-
-    elements = stage(texts.mapInArrow(split, "node binary, n long, h array<long>").select("node", "n", F.explode("h").alias("h")), "elements")
-    known = elements.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    # elements of one set only come first and are never posted; the others follow by rarity
-    ranked = (elements.join(known, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
-              .withColumn("alone", F.col("n") - F.size("order"))
-              .withColumn("reach", F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - F.col("alone"))
-              .filter("reach > 0"))
-    posted = _rooted(ranked.select("node", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.col("reach").cast("int"))).alias("place", "e"))
-                     .select("node", "n", F.col("e.h").alias("h"), (F.col("place") + F.col("alone")).alias("place")), roots)
-    posted = stage(posted, "rare")
-    mixed_ = posted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low < top").select("h")
-    posted = posted.join(mixed_, "h", "left_semi")
-    one, two = (posted.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    shared = F.col("na") + F.col("nb")
-    need = lambda x: (F.col(f"n{x}") - F.col(f"p{x}")) * (100 + percent) >= shared * percent  # noqa: E731  enough elements are left
-    return (one.join(two, "h").filter("ra < rb").filter(_alike(percent)).filter(need("a") & need("b")).select("a", "b").distinct())
-
-
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
     """One row per document: ``id``, ``n_shingles`` (size of its set) and ``component``, the smallest id reachable over links.
 
@@ -189,42 +78,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     any id is null. Texts are read whole at any length (a pass holds one text and the permutations of about 1 MB of text). No rows
     give no rows; other columns are not read.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be between 50 and 100")
     kind = docs.schema[id].dataType.simpleString()
     prints = stage(docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__at"))
-                   .mapInArrow(_prints(shingle, BANDS, ROWS), f"id {kind}, text string, at long, n long, node binary, keys array<long>"), "prints")
-    filled = prints.filter("n > 0")
-    nodes = stage(filled.groupBy("node").agg(F.min("id").alias("low"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    posted = nodes.select("node", "n", "low", F.explode("keys").alias("key"))
-    # a leader is the member with the smallest id
-    lists = posted.groupBy("key").agg(F.min(F.struct(F.col("low").isNull(), "low", "node", "n")).alias("first"), F.count("*").alias("members")).filter("members > 1")
-    led = stage(posted.join(lists, "key").select("key", "node", "n", "members", F.col("first").alias("leader")), "lists")
-    texts = _texts(prints, nodes, led.select("node").distinct())
-
-    near = (led.filter("node <> leader.node").select(F.col("node"), F.col("n").alias("na"), F.col("leader.n").alias("nb"), "leader")
-            .filter(_alike(percent)))
-    first = near.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
-    links = _linked(first, texts, shingle, percent)
-    roots = stage(components(links), "roots")
-    other = _rooted(near.select("node", F.col("leader.node").alias("b")).distinct(), roots).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("b").alias("node"))
-    other = _rooted(other, roots).filter("ra <> root").select("a", F.col("node").alias("b"))
-    links = links.unionAll(_linked(other, texts, shingle, percent))
-    roots = stage(components(links), "roots")
-
-    every = _rooted(led.select("key", "node", "n", "members"), roots)
-    open_lists = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low < top").select("key")
-    rest = stage(every.join(open_lists, "key", "left_semi"), "rest")
-    few = rest.filter(F.col("members") <= SHORT)
-    one, two = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    pairs = one.join(two, "key").filter("ra < rb").filter(_alike(percent)).select("a", "b")
-    many = stage(rest.filter(F.col("members") > SHORT).select("node").distinct(), "many")
-    if not many.isEmpty():
-        pairs = pairs.unionAll(_rare_pairs(texts.join(many, "node", "left_semi"), shingle, percent, roots))
-    roots = stage(components(links.unionAll(_linked(pairs, texts, shingle, percent))), "roots")
-
-    rooted = stage(_rooted(nodes.select("node", "low"), roots), "rooted")
-    least = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(least, "root").select("node", "component")
-    found = filled.select("id", "n", "node").join(named, "node").select("id", F.col("n").alias("n_shingles"), "component")
-    return found.unionAll(prints.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component")))
+                   .mapInArrow(_prints(shingle, BANDS, ROWS), f"id {kind}, text string, at long, n long, mark binary, keys array<long>"), "prints")
+    named = copies.grouped(prints, shingle, percent)
+    size = F.col("n").alias("n_shingles")
+    found = prints.filter("n > 0").join(named, "mark").select("id", size, F.col("least").alias("component"))
+    return found.unionAll(prints.filter("n = 0").select("id", size, F.col("id").alias("component")))

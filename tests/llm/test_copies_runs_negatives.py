@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldlake.llm import periodic_runs, queries, slot_negatives, superminhash
+from fieldlake.llm import copies, periodic_runs, queries, slot_negatives, superminhash
 
 EDGE = [(None, "no id at all"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (4, "two words"), (5, "ONE"), (6, "a " * 3000), (7, "ü ß " * 700)]
 
@@ -88,8 +88,8 @@ def edited(r, text, share):
 @pytest.mark.parametrize("seed, short, per_part", [(1, 32, 2000), (2, 3, 5)])
 def test_near_duplicates(spark, monkeypatch, seed, short, per_part):
     """Groups of copies, chains, and a family of texts alike without being copies; short lists force the rare elements."""
-    monkeypatch.setattr(superminhash, "SHORT", short)
-    monkeypatch.setattr(superminhash, "PER_PART", per_part)
+    monkeypatch.setattr(copies, "SHORT", short)
+    monkeypatch.setattr(copies, "PER_PART", per_part)
     r = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
     texts = []
