@@ -6,6 +6,8 @@ and everything after works on that much smaller table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,10 @@ from fieldlake.session import cut_lineage
 POPULATION = ("project_id", "target_species", "h3_cell")
 
 
-def allele_frequencies(df: DataFrame, keys=(*POPULATION, "time_bin")) -> DataFrame:
-    """Frequency of each allele per (group, locus); a multi-allele call splits its copies evenly.
-
-    ``sample_count`` counts samples with any call, even one whose copy count adds nothing.
+def sample_alleles(df: DataFrame, keys) -> DataFrame:
+    """Copies ``w`` of each allele per (group, locus, sample); a null allele marks that the sample has any call.
 
-    One pass: every call also emits a marker row without an allele. After one row is left per
-    sample and allele, counting rows per allele gives the samples that carry it and counting
-    markers gives all samples, so no distinct count and no join is needed.
+    A multi-allele call splits its copies evenly. One pass: every call emits its alleles and the marker.
     """
     sequence = "sequence" if "sequence" in df.columns else None
     group = [*keys, "locus_name"]
@@ -34,9 +32,15 @@ def allele_frequencies(df: DataFrame, keys=(*POPULATION, "time_bin")) -> DataFra
     copies = F.coalesce(F.col("allele_count").cast("double"), F.size("__a").cast("double"))
     usable = (copies > 0) & (copies < float("inf"))
     marked = F.when(usable, F.array_append("__a", F.lit(None).cast("string"))).otherwise(F.array(F.lit(None).cast("string")))
-    each = rows.select(*group, "sample_id", (copies / F.size("__a")).alias("__w"), F.explode(marked).alias("allele"))
-    per_sample = each.groupBy(*group, "sample_id", "allele").agg(F.sum("__w").alias("__w"))
-    counts = per_sample.groupBy(*group, "allele").agg(F.sum("__w").alias("copies"), F.count(F.lit(1)).alias("allele_samples"))
+    each = rows.select(*group, "sample_id", (copies / F.size("__a")).alias("w"), F.explode(marked).alias("allele"))
+    return each.groupBy(*group, "sample_id", "allele").agg(F.sum("w").alias("w"))
+
+
+def frequencies(per_sample: DataFrame, keys) -> DataFrame:
+    """Frequency of each allele per (group, locus) from one row per sample and allele: rows per allele are the samples that
+    carry it and markers are all samples, so no distinct count and no join is needed."""
+    group = [*keys, "locus_name"]
+    counts = per_sample.groupBy(*group, "allele").agg(F.sum("w").alias("copies"), F.count(F.lit(1)).alias("allele_samples"))
     locus = Window.partitionBy(*group)  # the alleles of one locus
     real = F.col("allele").isNotNull()
     out = counts.select("*", F.max(F.when(~real, F.col("allele_samples"))).over(locus).alias("sample_count"),
@@ -44,6 +48,11 @@ def allele_frequencies(df: DataFrame, keys=(*POPULATION, "time_bin")) -> DataFra
     return out.filter(real).withColumn("p", F.col("copies") / F.nullif("gene_copies", F.lit(0.0)))
 
 
+def allele_frequencies(df: DataFrame, keys=(*POPULATION, "time_bin")) -> DataFrame:
+    """Frequency of each allele per (group, locus); ``sample_count`` counts samples with any call, even one whose copy count adds nothing."""
+    return frequencies(sample_alleles(df, keys), keys)
+
+
 def expected_heterozygosity(freqs: DataFrame, keys=(*POPULATION, "time_bin", "locus_name"), monomorphic: bool = False) -> DataFrame:
     """1 - Σp² per locus; a locus with one allele is dropped, or 0 with ``monomorphic``."""
     loci = freqs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p") * F.col("p")).alias("homozygosity"))
@@ -52,12 +61,33 @@ def expected_heterozygosity(freqs: DataFrame, keys=(*POPULATION, "time_bin", "lo
     return (loci if monomorphic else loci.filter("n >= 2")).drop("n", "homozygosity")
 
 
+FACTORS = 32  # up to so many factors are multiplied, more are taken from Stirling's series
+
+
+def _log_factorial(x: Column) -> Column:
+    """ln x!: a table for small x, else Stirling's series."""
+    small = F.get(F.array(*[F.lit(math.lgamma(n + 1)) for n in range(16)]), x.cast("int"))
+    y = F.greatest(x, F.lit(16.0))
+    series = (y + 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)
+    return F.when(x < 16, small).otherwise(series)
+
+
 def _absent(n: Column, k: Column, g: Column) -> Column:
-    """Chance that none of g samples drawn from n carries an allele seen in k: the shorter of two equal products."""
+    """Chance that none of g samples drawn from n carries an allele seen in k: (n-k)! (n-g)! / (n! (n-k-g)!).
+
+    The shorter of two equal products, if it is short. Else Stirling's series of the four factorials, joined so that the large
+    terms cancel on paper: what is left are logarithms of ratios, good to eight digits at 10^9 samples.
+    """
+    n, k, g = (c.cast("double") for c in (n, k, g))
     steps, other = F.least(g, k), F.greatest(g, k)
-    product = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(steps - 1, F.lit(0)).cast("bigint")), F.lit(1.0),
-                          lambda acc, i: acc * (n - other - i) / F.nullif((n - i).cast("double"), F.lit(0.0)))
-    return F.when(n - k < g, F.lit(0.0)).when(steps <= 0, F.lit(1.0)).otherwise(product)
+    product = F.aggregate(F.sequence(F.lit(0), F.least(F.greatest(steps - 1, F.lit(0.0)), F.lit(FACTORS - 1.0)).cast("int")), F.lit(1.0),
+                          lambda acc, i: acc * (n - other - i) / F.nullif(n - i, F.lit(0.0)))
+    b, c, d = n - k, n - g, n - k - g
+    inverse = lambda power: 1 / F.pow(b, F.lit(power)) + 1 / F.pow(c, F.lit(power)) - 1 / F.pow(d, F.lit(power)) - 1 / F.pow(n, F.lit(power))
+    joined = (b + 0.5) * F.log1p(-k / n) + (c + 0.5) * F.log1p(-g / n) - (d + 0.5) * F.log1p(-(k + g) / n) + inverse(1.0) / 12 - inverse(3.0) / 360
+    few_left = _log_factorial(b) + _log_factorial(c) - _log_factorial(n) - _log_factorial(d)
+    return (F.when(d < 0, F.lit(0.0)).when(steps <= 0, F.lit(1.0)).when(steps <= FACTORS, product)
+            .otherwise(F.exp(F.when(d < 16, few_left).otherwise(joined))))
 
 
 def rarefied_richness(freqs: DataFrame, keys=(*POPULATION, "time_bin"), compare=("project_id", "target_species", "time_bin")) -> DataFrame:
@@ -86,24 +116,29 @@ def _generation(species: str, cfg: GeneticConfig, default: float | None) -> Colu
     return value
 
 
-def temporal_ne(df: DataFrame, generation_years: float | None = None, keys=POPULATION, cfg: GeneticConfig = GENETICS) -> DataFrame:
-    """Effective size from allele-frequency drift between calendar years: the median over year pairs and loci."""
-    yearly = df.withColumn("year", F.year("collection_date"))
-    # one row per population, locus, allele and year: small beside the calls, and read three times
-    freqs = cut_lineage(allele_frequencies(yearly, [*keys, "year"]))
+def temporal_ne(df: DataFrame | None, generation_years: float | None = None, keys=POPULATION, cfg: GeneticConfig = GENETICS,
+                freqs: DataFrame | None = None) -> DataFrame:
+    """Effective size from allele-frequency drift between calendar years: the median over year pairs and loci.
+
+    ``freqs`` are frequencies by (keys, ``year``) if they are known already. Every allele of a locus holds its frequencies by year, and the
+    locus' years with their samples come beside it, so each pair of years is one row per allele and nothing is joined.
+    """
+    if freqs is None:
+        freqs = allele_frequencies(df.withColumn("year", F.year("collection_date")), [*keys, "year"])
     group = [*keys, "locus_name"]
-    loci = freqs.groupBy(*group, "year").agg(F.max("sample_count").alias("sample_count"))
-    pairs = shared_loci(loci, keys)
-    long = freqs.select(*group, "year", "allele", "p")
-    sides = [pairs.join(long.withColumnRenamed("year", f"{s}_year"), [*group, f"{s}_year"]).select(
-        *pairs.columns, "allele", (F.col("p") if s == "first" else F.lit(0.0)).alias("p1"),
-        (F.col("p") if s == "second" else F.lit(0.0)).alias("p2")) for s in ("first", "second")]
-    both = sides[0].unionByName(sides[1]).groupBy(*pairs.columns, "allele").agg(F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
+    alleles = freqs.filter("year is not null").groupBy(*group, "allele").agg(F.map_from_entries(F.collect_list(F.struct("year", "p"))).alias("p"),
+                                                  F.collect_list(F.struct("year", "sample_count")).alias("__y"))
+    years = F.array_sort(F.array_distinct(F.flatten(F.collect_set("__y").over(Window.partitionBy(*group)))))
+    pairs = F.flatten(F.transform("__y", lambda a, i: F.transform(F.slice("__y", i + 2, F.size("__y")), lambda b: F.struct(a.alias("first"), b.alias("second")))))
+    each = alleles.withColumn("__y", years).select(*group, "p", F.explode(pairs).alias("t"))
+    p1, p2 = (F.coalesce(F.try_element_at("p", F.col(f"t.{s}.year")), F.lit(0.0)) for s in ("first", "second"))
+    both = each.select(*group, "t", p1.alias("p1"), p2.alias("p2"))
     mean = (F.col("p1") + F.col("p2")) / 2.0
     spread = mean * (F.lit(1.0) - mean)
-    noise = F.lit(0.5) / F.col("first_sample_count") + F.lit(0.5) / F.col("second_sample_count")
+    noise = F.lit(0.5) / F.col("t.first.sample_count") + F.lit(0.5) / F.col("t.second.sample_count")
     drift = F.greatest(F.lit(0.0), F.pow(F.col("p2") - F.col("p1"), F.lit(2.0)) / F.nullif(spread, F.lit(0.0)) - noise)
-    drifts = both.filter(spread > 0).groupBy(*pairs.columns).agg(F.avg(drift).alias("drift")).filter("drift > 0")
+    drifts = both.filter(spread > 0).groupBy(*group, F.col("t.first.year").alias("first_year"), F.col("t.second.year").alias("second_year")).agg(
+        F.avg(drift).alias("drift")).filter("drift > 0")
     generations = (F.col("second_year") - F.col("first_year")) / F.nullif(_generation(keys[1], cfg, generation_years), F.lit(0.0))
     # year pairs x loci of one population: a few thousand values at most enter the exact median
     return drifts.withColumn("ne", generations / (F.col("drift") * 2.0)).filter(F.col("ne").isNotNull()).groupBy(*keys).agg(
@@ -116,6 +151,8 @@ def population_metrics(df: DataFrame, cfg: GeneticConfig = GENETICS, generation_
     binned = df.withColumn("time_bin", time_bin("collection_date", cfg.time_bin, season_mode))
     keys = [*POPULATION, "time_bin"]
     freqs = cut_lineage(allele_frequencies(binned, keys))
+    # a period that is a calendar year has the drift's frequencies already
+    yearly = freqs.withColumn("year", F.col("time_bin").cast("int")) if cfg.time_bin == "year" else None
     rich = rarefied_richness(freqs, keys)
     he = expected_heterozygosity(freqs)
     loci = he.join(rich, [*keys, "locus_name"]).filter(F.col("sample_count") >= cfg.minimum_samples)
@@ -124,7 +161,7 @@ def population_metrics(df: DataFrame, cfg: GeneticConfig = GENETICS, generation_
         F.avg("allelic_richness").alias("mean_allelic_richness"),
         F.min(F.least("rarefaction_size", "sample_count")).alias("rarefaction_sample_size"))
     samples = binned.groupBy(*keys).agg(F.countDistinct("sample_id").alias("sample_count"))
-    ne = temporal_ne(df, generation_years, POPULATION, cfg).drop("estimates")
+    ne = temporal_ne(df, generation_years, POPULATION, cfg, yearly).drop("estimates")
     out = groups.join(samples, keys).join(ne, list(POPULATION), "left")
     size = F.col("effective_population_size")
     status = (F.when(size.isNull(), "INSUFFICIENT_DATA").when(size < cfg.critical_ne, "CRITICAL_INBREEDING_RISK")

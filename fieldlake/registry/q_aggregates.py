@@ -87,6 +87,9 @@ def _(spark, sf):
     return rounded(agg.risk_summary(view(spark, sf, "v_risk_assessments"), 0, 4102444800000), "max_cri", "mean_cri", "top_ipi")
 
 
+SHIFT = 820_454_400_000  # 26 years: the assessments' dates moved to those of the events
+
+
 @query("summary_cards", f"""
 with d as (select case when detected_epoch_ms >= {MIDDLE} then 1 else 0 end as cur, * from v_detections
     where detected_epoch_ms >= {2 * MIDDLE - END} and detected_epoch_ms < {END}),
@@ -98,8 +101,18 @@ e as (select cur, avg(t) as t, avg(h) as h from (
         select case when recorded_epoch_ms >= {MIDDLE} then 1 else 0 end as cur, * from v_sensor_readings
         where recorded_epoch_ms >= {2 * MIDDLE - END} and recorded_epoch_ms < {END} and quality_flag <> 'INVALID'))
     where rn <= 7 group by 1, 2) group by 1),
+r as (select cur, count(*) as assessed_cells, max(conservation_risk_index) as max_cri, avg(conservation_risk_index) as mean_cri,
+    count(*) filter (conservation_risk_index >= 60) as critical_cells, max(intervention_priority_index) as top_ipi from (
+    select *, row_number() over (partition by cur, species_id, h3_cell order by ended desc, id desc) as rn from (
+      select *, period_end_epoch_ms + {SHIFT} as ended, case when period_end_epoch_ms + {SHIFT} >= {MIDDLE} then 1 else 0 end as cur from v_risk_assessments
+      where period_end_epoch_ms + {SHIFT} >= {2 * MIDDLE - END} and period_end_epoch_ms + {SHIFT} < {END})) where rn = 1 group by 1),
 cards as (
-  select 'detections' as domain, 'total_detections' as key, count(*) filter (cur = 1) as v, count(*) filter (cur = 0) as p from d
+  select 'risk' as domain, 'assessed_cells' as key, coalesce(max(assessed_cells) filter (cur = 1), 0) as v, coalesce(max(assessed_cells) filter (cur = 0), 0) as p from r
+  union all select 'risk', 'max_cri', max(max_cri) filter (cur = 1), max(max_cri) filter (cur = 0) from r
+  union all select 'risk', 'mean_cri', max(mean_cri) filter (cur = 1), max(mean_cri) filter (cur = 0) from r
+  union all select 'risk', 'critical_cells', coalesce(max(critical_cells) filter (cur = 1), 0), coalesce(max(critical_cells) filter (cur = 0), 0) from r
+  union all select 'risk', 'top_ipi', max(top_ipi) filter (cur = 1), max(top_ipi) filter (cur = 0) from r
+  union all select 'detections' as domain, 'total_detections' as key, count(*) filter (cur = 1) as v, count(*) filter (cur = 0) as p from d
   union all select 'detections', 'wildlife_sightings', count(*) filter (cur = 1 and category = 'target_wildlife'), count(*) filter (cur = 0 and category = 'target_wildlife') from d
   union all select 'detections', 'threat_alerts', count(*) filter (cur = 1 and category = 'immediate_threat'), count(*) filter (cur = 0 and category = 'immediate_threat') from d
   union all select 'detections', 'species_detected', count(distinct species_id) filter (cur = 1), count(distinct species_id) filter (cur = 0) from d
@@ -117,8 +130,9 @@ def _(spark, sf):
     names = {"detections": "v_detections", "telemetry": "v_telemetry", "sensor_readings": "v_sensor_readings",
              "risk_assessments": "v_risk_assessments"}
     tables = {k: view(spark, sf, v) for k, v in names.items()}
+    tables["risk_assessments"] = tables["risk_assessments"].withColumn("period_end_epoch_ms", F.col("period_end_epoch_ms") + SHIFT)
     cards = agg.summary_cards(tables, MIDDLE, END, ["ambient_temperature_c", "relative_humidity_percent"])
-    return rounded(cards.filter("domain <> 'risk'").drop("label", "unit"), "value", "previous_value", "delta_percent")
+    return rounded(cards.drop("label", "unit"), "value", "previous_value", "delta_percent")
 
 
 def _historical_sql(method):
@@ -288,10 +302,12 @@ def _(spark, sf):
     return out.withColumn("rn", F.col("rn").cast("bigint"))
 
 
-@query("table_profile", " union all ".join(f"select '{t}' as table_name, count(*) as row_count from {t}" for t in (
-    "events", "lineitem", "orders", "documents", "pages")))
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("table_profile", " union all ".join(f"select '{t}' as table_name, count(*) as row_count from {t}" for t in TABLES))
 def _(spark, sf):
-    return agg.table_profile({t: table(spark, sf, t) for t in ("events", "lineitem", "orders", "documents", "pages")})
+    return agg.table_profile({t: table(spark, sf, t) for t in TABLES})
 
 
 @query("indicator_summary", """

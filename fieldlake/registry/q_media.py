@@ -29,11 +29,11 @@ def _predictions(spark, sf):
 @query("decode_boxes", f"""
 with p as (select *, greatest(s0, s1) as c, least(greatest((cx - w / 2 - 8) / 0.5, 0), 1280) as l, least(greatest((cy - h / 2 - 4) / 0.5, 0), 960) as t,
   least(greatest((cx + w / 2 - 8) / 0.5, 0), 1280) as r, least(greatest((cy + h / 2 - 4) / 0.5, 0), 960) as b from {PRED})
-select frame, l_partkey, l_suppkey, l_linenumber, case when s0 >= s1 then 0 else 1 end::int as class_id, round(c, 6) as confidence, l as box_left, b as box_bottom
+select frame, l_partkey, l_suppkey, l_linenumber, case when s0 >= s1 then 0 else 1 end::int as class_id, round(c, 6) as confidence, l as box_left, t as box_top, r as box_right, b as box_bottom
 from p where c >= 0.45 and r > l and b > t""")
 def _(spark, sf):
     df = media.decode_boxes(_predictions(spark, sf))
-    return rounded(df.select("frame", "l_partkey", "l_suppkey", "l_linenumber", "class_id", "confidence", "box_left", "box_bottom"), "confidence", digits=6)
+    return rounded(df.select("frame", "l_partkey", "l_suppkey", "l_linenumber", "class_id", "confidence", "box_left", "box_top", "box_right", "box_bottom"), "confidence", digits=6)
 
 
 @query("nms")
@@ -97,19 +97,21 @@ def _(spark, sf):
 
 @query("slice_windows", """
 with e as (select vec_id, embedding, unnest(range((len(embedding) - 24) // 16 + 1)) as i from embeddings)
-select vec_id, i::int as window_index, (i * 16)::int as start_sample, 1000 * vec_id + i * 160 as window_ms, round(list_sum(embedding[i * 16 + 1 : i * 16 + 24]::double[]), 4) as total from e""")
+select vec_id, i::int as window_index, (i * 16)::int as start_sample, 1000 * vec_id + i * 160 as window_ms, round(list_sum(list_transform(embedding[i * 16 + 1 : i * 16 + 24]::double[], lambda x, k: x * k)), 4) as total from e""")
 def _(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("samples"), (F.col("vec_id") * 1000).alias("origin_ms"))
     out = media.slice_windows(df, 24, 16, 100, "vec_id")
-    total = F.aggregate("samples", F.lit(0.0), lambda a, s: a + s.cast("double"))
+    # every sample counts by its place
+    placed = F.transform("samples", lambda s, i: s.cast("double") * (i + 1))
+    total = F.aggregate(placed, F.lit(0.0), lambda a, s: a + s)
     return rounded(out.select("vec_id", "window_index", "start_sample", "window_ms", total.alias("total")), "total")
 
 
 @query("to_mono", """
-select vec_id, 32 as frames, round(list_sum(list_transform(embedding, lambda v: greatest(-1, least(1, v::double)))) / 2, 4) as total from embeddings""")
+select vec_id, 32 as frames, round(list_sum(list_transform(embedding, lambda v, k: greatest(-1, least(1, v::double)) * ((k + 1) // 2))) / 2, 4) as total from embeddings""")
 def _(spark, sf):
     df = media.to_mono(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("samples"), F.lit(2).alias("channels")))
-    return rounded(df.select("vec_id", F.size("mono").alias("frames"), F.aggregate("mono", F.lit(0.0), lambda a, s: a + s).alias("total")), "total")
+    return rounded(df.select("vec_id", F.size("mono").alias("frames"), F.aggregate(F.transform("mono", lambda s, i: s * (i + 1)), F.lit(0.0), lambda a, s: a + s).alias("total")), "total")
 
 
 @query("log_mel")
@@ -157,9 +159,14 @@ def _(spark, sf):
     return habitat.mask_extrapolation(cells.withColumn("vote", F.lit(0.5)), cells.filter("forest_fraction < 0.05"), ["ndvi", "elevation"]).select("row", "col", "status")
 
 
-@query("evaluate_threshold")
+@query("evaluate_threshold", """
+with t as (select l_discount as s, count(*) filter (l_returnflag = 'A') as p, count(*) filter (l_returnflag <> 'A') as n from lineitem group by 1),
+c as (select *, sum(p) over w as tp, sum(n) over w as fp, sum(p) over () as np, sum(n) over () as nn from t window w as (order by s desc)),
+a as (select sum(n * (tp - p + p / 2.0)) / max(np * nn) as auc from c),
+b as (select s, tp / np - fp / nn as gain from c order by 2 desc, 1 desc limit 1)
+select (select count(*) from lineitem) as rows, round(auc, 5) as auc, round(gain, 5) as tss, round(s, 5) as threshold from a, b""")
 def _(spark, sf):
-    """AUC, TSS and threshold of a score; checked through the committee test."""
+    """AUC, TSS and threshold of a score."""
     df = table(spark, sf, "lineitem").selectExpr("case when l_returnflag = 'A' then 1 else 0 end as label", "l_discount as estimate")
     m = habitat.evaluate(df)
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", *[F.lit(round(v, 5)).alias(k) for k, v in m.items()])
@@ -176,36 +183,48 @@ e as (select 'zone-' || substr(h3_cell, 6)::int % 6 as z, count(*) as readings,
 d as (select 'zone-' || floor((latitude + 2.5) * 6)::int as z, count(*) as n, count(*) filter (category = 'target_wildlife') as w, count(*) filter (source_type = 'ACOUSTIC' and category = 'immediate_threat') as a
   from v_detections where latitude is not null and detected_epoch_ms >= {s} and detected_epoch_ms < {e} group by 1),
 g as (select 'zone-' || floor((latitude + 2.5) * 6)::int as z, count(*) as n, count(distinct animal_id) as animals from v_telemetry where recorded_epoch_ms >= {s} and recorded_epoch_ms < {e} group by 1),
-u as (select z, coalesce(readings, 0) + coalesce(d.n, 0) + coalesce(g.n, 0) as activity, coalesce(w, 0)::double as w, coalesce(animals, 0)::double as animals, case when tn >= 2 then sd end as sd, coalesce(a, 0)::double as a
-  from e full join d using (z) full join g using (z)),
+r as (select 'zone-' || substr(h3_cell, 6)::int % 6 as z, count(*) as n, avg(conservation_risk_index) as cri from (
+    select *, row_number() over (partition by species_id, h3_cell order by period_end_epoch_ms desc, id desc) as rn from v_risk_assessments
+    where period_end_epoch_ms + 820454400000 >= {s} and period_end_epoch_ms + 820454400000 < {e}) where rn = 1 group by 1),
+u as (select z, coalesce(readings, 0) + coalesce(d.n, 0) + coalesce(g.n, 0) + coalesce(r.n, 0) as activity, cri, coalesce(w, 0)::double as w, coalesce(animals, 0)::double as animals, case when tn >= 2 then sd end as sd, coalesce(a, 0)::double as a
+  from e full join d using (z) full join g using (z) full join r using (z)),
 t as (select * from u order by activity desc, z limit 5),
 n as (select *, case when max(w) over () = min(w) over () then 0.5 else (w - min(w) over ()) / (max(w) over () - min(w) over ()) end as wn,
   case when max(animals) over () = min(animals) over () then 0.5 else (animals - min(animals) over ()) / (max(animals) over () - min(animals) over ()) end as an,
   case when sd is null then null when max(sd) over () = min(sd) over () then 0.5 else (sd - min(sd) over ()) / (max(sd) over () - min(sd) over ()) end as sn,
-  case when max(a) over () = min(a) over () then 0.5 else (a - min(a) over ()) / (max(a) over () - min(a) over ()) end as ln from t)""".replace("{s}", str(START)).replace("{e}", str(END))
+  case when max(a) over () = min(a) over () then 0.5 else (a - min(a) over ()) / (max(a) over () - min(a) over ()) end as ln,
+  case when cri is null then null when max(cri) over () = min(cri) over () then 0.5 else (cri - min(cri) over ()) / (max(cri) over () - min(cri) over ()) end as rn from t)""".replace("{s}", str(START)).replace("{e}", str(END))
 
 
 @query("zone_radar", f"""
 with {ZONES.strip()}
-select z as zone_id, activity, w as wildlife_sightings, animals as animal_presence, round(sd, 3) as temperature_variability, a as acoustic_threats,
-  round((0.25 * wn + 0.15 * an + coalesce(0.15 * (1 - sn), 0) + 0.30 * (1 - ln)) / (0.25 + 0.15 + case when sn is null then 0 else 0.15 end + 0.30) * 100, 4) as health_score from n""")
+select z as zone_id, activity, w as wildlife_sightings, animals as animal_presence, round(sd, 3) as temperature_variability, a as acoustic_threats, round(cri, 4) as conservation_risk,
+  round((0.25 * wn + 0.15 * an + coalesce(0.15 * (1 - sn), 0) + 0.30 * (1 - ln) + coalesce(0.15 * (1 - rn), 0)) / (0.25 + 0.15 + case when sn is null then 0 else 0.15 end + 0.30 + case when rn is null then 0 else 0.15 end) * 100, 4) as health_score from n""")
 def _(spark, sf):
     tables = _tables(spark, sf)
-    tables["risk_assessments"] = tables["risk_assessments"].withColumn("period_end_epoch_ms", F.lit(0).cast("bigint"))
+    tables["risk_assessments"] = view(spark, sf, "v_risk_assessments").withColumn("period_end_epoch_ms", F.col("period_end_epoch_ms") + 820_454_400_000)
     df = radar.zone_radar(tables, START, END, limit=5, cell_zone=lambda c: F.concat(F.lit("zone-"), (F.substring(c, 6, 9).cast("int") % 6).cast("string")),
                           place_zone=lambda la, lo: F.concat(F.lit("zone-"), F.floor((F.col(la) + 2.5) * 6).cast("string")))
-    out = df.select("zone_id", "activity", "wildlife_sightings", "animal_presence", "temperature_variability", "acoustic_threats", "health_score")
-    return rounded(rounded(out, "temperature_variability", digits=3), "health_score")
+    out = df.select("zone_id", "activity", "wildlife_sightings", "animal_presence", "temperature_variability", "acoustic_threats", "conservation_risk", "health_score")
+    return rounded(rounded(out, "temperature_variability", digits=3), "conservation_risk", "health_score")
 
 
 @query("geojson_features", """
-select cluster_id, (json_extract_string(feature, '$.properties.point_count'))::bigint as point_count, json_extract_string(feature, '$.geometry.type') as kind from (
-  select row_number() over (order by n desc, y, x) - 1 as cluster_id, '{"geometry":{"type":"Point"},"properties":{"point_count":' || n || '}}' as feature from (
-    select least(cast(floor((latitude + 2.5) / (1.0 / 16)) as int), 15) as y, least(cast(floor((longitude - 34.0) / (0.7 / 16)) as int), 15) as x, count(*) as n
-    from v_detections where latitude between -2.5 and -1.5 and longitude between 34.0 and 34.7 group by 1, 2))""")
+select row_number() over (order by n desc, y, x) - 1 as cluster_id, n as point_count, n > 1 as is_cluster, 'Feature' as type, 'Point' as kind, round(lon, 4) as longitude, round(lat, 4) as latitude,
+  round(n::double / max(n) over (), 4) as weight, threats as threat_count, round(west, 4) as west, round(south, 4) as south, round(east, 4) as east, round(north, 4) as north, round(mean, 4) as metric_avg from (
+  select least(cast(floor((latitude + 2.5) / (1.0 / 16)) as int), 15) as y, least(cast(floor((longitude - 34.0) / (0.7 / 16)) as int), 15) as x, count(*) as n,
+    avg(longitude) as lon, avg(latitude) as lat, count(*) filter (category = 'immediate_threat') as threats, min(longitude) as west, min(latitude) as south, max(longitude) as east, max(latitude) as north, avg(confidence) as mean
+  from v_detections where latitude between -2.5 and -1.5 and longitude between 34.0 and 34.7 group by 1, 2)""")
 def _(spark, sf):
     df = sinks.geojson_features(topk.rank_clusters(_grid(spark, sf)), VIEW[3], threats=True)
-    return df.select("cluster_id", F.get_json_object("feature", "$.properties.point_count").cast("bigint").alias("point_count"), F.get_json_object("feature", "$.geometry.type").alias("kind"))
+    feature = F.from_json("feature", """type string, geometry struct<type: string, coordinates: array<double>>, properties struct<cluster_id: bigint, cluster: boolean, point_count: bigint,
+        weight: double, bbox: array<double>, threat_count: bigint, metric_avg: double>""")
+    read = df.select(feature.alias("f"))
+    place, box = "f.geometry.coordinates", "f.properties.bbox"
+    out = read.select("f.properties.cluster_id", "f.properties.point_count", F.col("f.properties.cluster").alias("is_cluster"), "f.type", F.col("f.geometry.type").alias("kind"),
+                      F.get(place, F.lit(0)).alias("longitude"), F.get(place, F.lit(1)).alias("latitude"), "f.properties.weight", "f.properties.threat_count",
+                      *[F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))], "f.properties.metric_avg")
+    return rounded(out, "longitude", "latitude", "west", "south", "east", "north")
 
 
 def _payloads(spark, sf):
@@ -220,15 +239,22 @@ def _payloads(spark, sf):
 
 
 @query("route_ingest", """
-select case event_type when 'view' then 'gps' when 'click' then 'environmental' when 'error' then 'acoustic' else 'vision' end as kind, count(*) as n, min(MS(ts)) as first_ms from events group by 1""")
+select case event_type when 'view' then 'gps' when 'click' then 'environmental' when 'error' then 'acoustic' else 'vision' end as kind, 'dev-' || user_id as device_id, MS(ts) as at_ms, -2.0 as latitude,
+  case when event_type in ('view', 'error') or event_type not in ('view', 'click', 'error') then user_id % 5 + 1 end as species_id, case when event_type = 'view' then 'a' || user_id end as animal_id,
+  case when event_type = 'click' then 'AA:BB:CC:DD:EE:FF' end as sensor_mac, case when event_type = 'click' then round(value / 4, 4) end as temperature,
+  case when event_type not in ('view', 'click') then 'gunshot' end as class_name, case when event_type not in ('view', 'click') then round(value / 500, 4) end as confidence from events""")
 def _(spark, sf):
     parts = readers.route_ingest(readers.parse_ingest(_payloads(spark, sf)), cells=False)
     out = None
     for kind, df in parts.items():
         time = "recorded_epoch_ms" if "recorded_epoch_ms" in df.columns else "detected_epoch_ms"
-        one = df.agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first_ms")).select(F.lit(kind).alias("kind"), "n", "first_ms")
+        def held(name, kind_of, df=df):
+            return (F.col(name) if name in df.columns else F.lit(None)).cast(kind_of)
+        one = df.select(F.lit(kind).alias("kind"), "device_id", F.col(time).alias("at_ms"), "latitude", held("species_id", "bigint").alias("species_id"), held("animal_id", "string").alias("animal_id"),
+                        held("sensor_mac", "string").alias("sensor_mac"), held("ambient_temperature_c", "double").alias("temperature"), held("class_name", "string").alias("class_name"),
+                        held("confidence", "double").alias("confidence"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return rounded(out, "temperature", "confidence")
 
 
 @query("parse_gps", "select event_id, 'dev-' || user_id as device_id, 'animal-' || user_id as animal_id, MS(ts) as recorded_epoch_ms, value as altitude, case when value < 30 then 'BATTERY_LOW' else 'BATTERY_OK' end as hardware_state from events")

@@ -56,11 +56,12 @@ def _(spark, sf):
 
 
 @query("contributions", f"""
-with {BASE} select scope_id, {DOMINANT} as dominant_domain, round(0.25 * threat_subscore, 6) as threat_contribution from c""")
+with {BASE} select scope_id, {DOMINANT} as dominant_domain, {", ".join(f"round({w} * {d}_subscore, 6) as {d}_contribution" for d, w in zip(DOMAINS, WEIGHTS))} from c""")
 def _(spark, sf):
     df = risk.contributions(risk.conservation_risk_index(_wide(spark, sf)))
     assert "percentages" in df.columns
-    return rounded(df.select("scope_id", "dominant_domain", "threat_contribution"), "threat_contribution", digits=6)
+    each = [f"{d}_contribution" for d in DOMAINS]
+    return rounded(df.select("scope_id", "dominant_domain", *each), *each, digits=6)
 
 
 PENALTY = """case when effective_population_size < 50 then 100.0 when effective_population_size is null and expected_heterozygosity is null then genetics_subscore

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from fieldlake.config import AcousticConfig, VisionConfig
@@ -87,6 +88,20 @@ def test_suitability_classes(spark):
     assert [r[0] for r in df.select(habitat.suitability_class("vote")).collect()] == ["Very Low", "Low", "Moderate", "High", None]
 
 
+def test_radial_margin(spark):
+    """The features' inner products are the kernel, and the margin separates what no line can."""
+    rng = np.random.default_rng(1)
+    points = rng.normal(0, 1, (40, 3))
+    df = spark.createDataFrame([(Vectors.dense(p),) for p in points], ["features"])
+    z = np.array([r["radial"].toArray() for r in habitat.FourierFeatures(3, 0.4, 4000).transform(df).collect()])
+    want = np.exp(-0.4 * ((points[:, None] - points[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - want).max() < 0.1
+    xy = rng.uniform(-2, 2, (600, 2))
+    ring = spark.createDataFrame([(Vectors.dense(p), int((p ** 2).sum() < 1.5)) for p in xy], ["features", "label"]).cache()
+    scored = habitat.estimate(habitat.RadialMargin().fit(ring), ring)
+    assert habitat.evaluate(scored)["auc"] > 0.97 and scored.columns == ["label", "estimate"]
+
+
 def test_committee(spark):
     """The reference grid: forest bands every ten columns, presences on them."""
     cells = spark.range(3600).selectExpr("cast(id div 60 as bigint) as row", "id % 60 as col", "true as valid")
@@ -101,7 +116,7 @@ def test_committee(spark):
     labelled = grid.join(here.withColumn("label", F.lit(1)), ["row", "col"]).unionByName(there.withColumn("label", F.lit(0)).select(*grid.columns, "label"))
     split = habitat.spatial_split(labelled).cache()
     members = habitat.fit_committee(split.filter("not is_test"), predictors, repeats=1)
-    assert {m.name for m in members} == {"linear_svm", "random_forest", "logistic"} and all(m.auc >= 0.9 and m.tss >= 0.7 for m in members)
+    assert {m.name for m in members} == {"radial_svm", "random_forest", "logistic"} and all(m.auc >= 0.9 and m.tss >= 0.7 for m in members)
     assert habitat.gate(split.filter("is_test"), members)["auc"] >= 0.9
     mapped = habitat.mask_extrapolation(habitat.committee_vote(grid.withColumn("ndvi", F.when(F.col("row") == 0, 99.0).otherwise(F.col("ndvi"))), members), split.filter("not is_test"), predictors)
     got = {(r["status"], r["suitability"]) for r in mapped.filter("row between 5 and 50").select("status", "suitability").distinct().collect()}
