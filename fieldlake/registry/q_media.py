@@ -210,7 +210,7 @@ def _(spark, sf):
 
 
 @query("geojson_features", """
-select row_number() over (order by n desc, y, x) - 1 as cluster_id, n as point_count, n > 1 as is_cluster, 'Feature' as type, 'Point' as kind, round(lon, 4) as longitude, round(lat, 4) as latitude,
+select row_number() over (order by n desc, y, x) - 1 as cluster_id, n as point_count, n > 1 as is_cluster, 'Feature' as type, 'Point' as kind, round(lon + 1e-8, 4) as longitude, round(lat + 1e-8, 4) as latitude,
   round(n::double / max(n) over (), 4) as weight, threats as threat_count, round(west, 4) as west, round(south, 4) as south, round(east, 4) as east, round(north, 4) as north, round(mean, 4) as metric_avg from (
   select least(cast(floor((latitude + 2.5) / (1.0 / 16)) as int), 15) as y, least(cast(floor((longitude - 34.0) / (0.7 / 16)) as int), 15) as x, count(*) as n,
     avg(longitude) as lon, avg(latitude) as lat, count(*) filter (category = 'immediate_threat') as threats, min(longitude) as west, min(latitude) as south, max(longitude) as east, max(latitude) as north, avg(confidence) as mean
@@ -222,7 +222,7 @@ def _(spark, sf):
     read = df.select(feature.alias("f"))
     place, box = "f.geometry.coordinates", "f.properties.bbox"
     out = read.select("f.properties.cluster_id", "f.properties.point_count", F.col("f.properties.cluster").alias("is_cluster"), "f.type", F.col("f.geometry.type").alias("kind"),
-                      F.get(place, F.lit(0)).alias("longitude"), F.get(place, F.lit(1)).alias("latitude"), "f.properties.weight", "f.properties.threat_count",
+                      (F.get(place, F.lit(0)) + 1e-8).alias("longitude"), (F.get(place, F.lit(1)) + 1e-8).alias("latitude"), "f.properties.weight", "f.properties.threat_count",
                       *[F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))], "f.properties.metric_avg")
     return rounded(out, "longitude", "latitude", "west", "south", "east", "north")
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from fieldlake.functions import geo, h3grid
 from fieldlake.operators import aggregates, series, spatial
 from fieldlake.registry.core import query, rounded
-from fieldlake.registry.q_aggregates import boxed
+from fieldlake.registry.q_aggregates import BOXED_SQL, boxed
 from fieldlake.registry.views import table, view
 
 
@@ -209,21 +209,46 @@ def _(spark, sf):
     return rounded(spatial.circular_centre(view(spark, sf, "v_telemetry"), ["species_id"]), "centre_lat", "centre_lon", digits=6)
 
 
-@query("home_range")
+# a hull's edge is a pair with every other point on its left, and as long as the points on its line allow
+RANGES = """
+c as (select species_id, animal_id, avg(latitude) as la, degrees(atan2(sum(sin(radians(longitude))), sum(cos(radians(longitude))))) as lo, count(*) as fixes from v_telemetry group by 1, 2),
+f as (select animal_id, fixes, radians((longitude - lo + 540) - floor((longitude - lo + 540) / 360) * 360 - 180) * 6371008.8 * cos(radians(la)) as x, radians(latitude - la) * 6371008.8 as y
+  from v_telemetry join c using (species_id, animal_id) where fixes >= 3),
+d as (select *, pow(x - avg(x) over (partition by animal_id), 2) + pow(y - avg(y) over (partition by animal_id), 2) as d2 from f),
+k as (select distinct animal_id, x, y from (select *, row_number() over (partition by animal_id order by d2, x, y) as rn from d) where rn <= greatest(3, ceil(fixes * 95 / 100.0))),
+e as (select a.animal_id, a.x as px, a.y as py, b.x as qx, b.y as qy from k a join k b on a.animal_id = b.animal_id and (a.x <> b.x or a.y <> b.y)
+  where not exists (select 1 from k where k.animal_id = a.animal_id and ((b.x - a.x) * (k.y - a.y) - (b.y - a.y) * (k.x - a.x) < -1
+    or abs((b.x - a.x) * (k.y - a.y) - (b.y - a.y) * (k.x - a.x)) <= 1 and ((b.x - a.x) * (k.x - a.x) + (b.y - a.y) * (k.y - a.y) < -1
+      or (b.x - a.x) * (k.x - a.x) + (b.y - a.y) * (k.y - a.y) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + 1)))),
+h as (select animal_id, sum(px * qy - py * qx) / 2 / 1e6 as area_km2 from e group by 1)"""
+
+
+@query("home_range", f"""
+with {RANGES.strip()}
+select c.animal_id, c.fixes, round(case when c.fixes >= 3 then coalesce(area_km2, 0) end, 4) as area_km2 from c left join h using (animal_id)""")
 def _(spark, sf):
-    """95 % polygons per animal; checked against brute force in tests."""
+    """95 % polygons per animal."""
     return rounded(spatial.home_range_km2(view(spark, sf, "v_telemetry")), "area_km2")
 
 
-@query("mean_home_range")
+@query("mean_home_range", f"""
+with {RANGES.strip()}
+select species_id, round(avg(area_km2), 4) as mean_range_km2, count(*) as animals from c join h using (animal_id) where fixes >= 5 and area_km2 > 0 group by 1""")
 def _(spark, sf):
     ranges = spatial.home_range_km2(view(spark, sf, "v_telemetry"), ["species_id", "animal_id"])
     return rounded(aggregates.with_mean_home_range(ranges, ["species_id"]), "mean_range_km2")
 
 
-@query("two_means")
+@query("two_means", f"""
+with recursive b as (select species_id, (bbox_right - bbox_left) * (bbox_bottom - bbox_top) * case when id % 3 = 0 then 0.2 else confidence + 0.6 end as v from {BOXED_SQL}),
+q as (select *, row_number() over (partition by species_id order by v) as rn, count(*) over (partition by species_id) as n from b),
+r as (select species_id, 0 as round, max(v) filter (rn = n // 4 + 1) as small, max(v) filter (rn = n * 3 // 4 + 1) as large, 0::bigint as a, 0::bigint as z from q where n >= 10 group by 1
+  union all
+  select r.species_id, max(r.round) + 1, avg(v) filter (v <= (small + large) / 2), avg(v) filter (v > (small + large) / 2), count(*) filter (v <= (small + large) / 2), count(*) filter (v > (small + large) / 2)
+  from r join b on b.species_id = r.species_id where r.round < 60 group by r.species_id)
+select species_id, a as juveniles, z as adults from r where round = 60 and small > 0 and large / small >= 1.8""")
 def _(spark, sf):
-    """Juvenile and adult box clusters per species; checked against brute force in tests."""
+    """Juvenile and adult box clusters per species."""
     area = (F.col("bbox_right") - F.col("bbox_left")) * (F.col("bbox_bottom") - F.col("bbox_top")) * F.when(F.col("id") % 3 == 0, 0.2).otherwise(F.col("confidence") + 0.6)
     return spatial.two_means(boxed(spark, sf).withColumn("area", area), ["species_id"], "area")
 
