@@ -4,8 +4,9 @@ An operator gives every text some keys; texts that share a key are candidates, a
 sets have been compared. No list is cut, and no group is squared:
 
 1. Equal sets are one node, so copies of a text cost one row each.
-2. Each node is compared with the smallest leader (smallest member) of its lists, then with those leaders of its other
-   lists that are not in its component yet. A group of near copies is joined by about one comparison per member.
+2. Each node is compared with two leaders (first members) of its lists, chosen by hash, then with two that are not in its
+   component yet (``LEADERS``). Then every list compares one member of each of its components with one of the largest (``_delegates``).
+   A group of near copies is joined by a few comparisons per member.
 3. What is left are pairs of a list in different components. Short lists (``SHORT``) are compared pair by pair. Nodes of
    longer lists, families of texts that are alike without being copies, are joined on their rarest elements instead
    (``_rare_pairs``): members of a family share mostly frequent ones. That is exact for those nodes.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, shingles, slices, span_hash, stage, words
 from fieldlake.llm.graph import components
 
-SHORT = 32  # members of a list that is compared pair by pair
+LEADERS = (2, 2)  # leaders that a node is compared with in each pass
+SHORT = 8  # members of a list that is compared pair by pair
 PER_PART = 2000  # pairs of one leader that meet in one task
 SLICE = 1 << 20  # bytes of text of one pass
 
@@ -93,6 +95,37 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
             .withColumn("root", F.coalesce("__root", "node")).drop("__root"))
 
 
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node``, ``root`` after more links: only the components they join are looked at again."""
+    if roots is None:
+        return stage(components(links), "roots")
+    ends = _rooted(links.withColumnRenamed("a", "node"), roots).select(F.col("root").alias("ra"), F.col("b").alias("node"))
+    joined = components(_rooted(ends, roots).filter("ra <> root").select(F.col("ra").alias("a"), F.col("root").alias("b")).distinct())
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+    return stage(known.unionAll(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
+def _mixed(led: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their ``root``, of the lists that hold more than one component."""
+    every = _rooted(led.select("key", "node", "n", "members"), roots)
+    several = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low < top").select("key")
+    return stage(every.join(several, "key", "left_semi"), "rest")
+
+
+def _delegates(led: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Of every list, one member of each component beside one of the largest component: ``a``, ``b``.
+
+    Which member stands for a component differs from list to list, so a text that shares many lists with a large group is
+    compared with many of its members, and a list costs as many pairs as it has components.
+    """
+    first = F.min_by(F.struct("node", "n"), F.xxhash64("node", "key"))
+    parts = _mixed(led, roots).groupBy("key", "root").agg(first.alias("one"), F.count("*").alias("size"))
+    largest = parts.groupBy("key").agg(F.max_by(F.struct("root", "one"), F.struct("size", "root")).alias("top"))
+    both = parts.join(largest, "key").filter(F.col("root") != F.col("top.root"))
+    return both.select(F.col("one.node").alias("a"), F.col("one.n").alias("na"), F.col("top.one.node").alias("b"), F.col("top.one.n").alias("nb")).filter(_alike(percent)).select("a", "b")
+
+
 def _rare_pairs(texts: DataFrame, n: int, percent: int, roots: DataFrame) -> DataFrame:
     """Candidates ``a``, ``b`` in different components among ``texts``: they share one of each one's rarest elements.
 
@@ -107,7 +140,7 @@ def _rare_pairs(texts: DataFrame, n: int, percent: int, roots: DataFrame) -> Dat
             counts = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts), lists(h.view(np.int64), counts)], ["node", "n", "h"])
 
-    elements = stage(texts.mapInArrow(split, "node long, n long, h array<long>").select("node", "n", F.explode("h").alias("h")), "elements")
+    elements = texts.mapInArrow(split, "node long, n long, h array<long>").select("node", "n", F.explode("h").alias("h"))
     known = elements.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     # elements of one set only come first and are never posted; the others follow by rarity
     ranked = (elements.join(known, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
@@ -142,25 +175,29 @@ def grouped(prints: DataFrame, shingle: int, percent: int) -> DataFrame:
     led = stage(posted.join(lists, "key").select("key", "node", "n", "members", F.col("first.node").alias("leader"), F.col("first.n").alias("nb")), "lists")
     texts = stage(prints.select(F.col("at").alias("node"), "text").join(led.select("node").distinct(), "node"), "texts")
 
-    near = led.filter("node <> leader").select("node", F.col("n").alias("na"), "nb", "leader").filter(_alike(percent))
-    first = near.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    links = _linked(first, texts, shingle, percent)
-    roots = stage(components(links), "roots")
-    other = _rooted(near.select("node", F.col("leader").alias("b")).distinct(), roots).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("b").alias("node"))
-    other = _rooted(other, roots).filter("ra <> root").select("a", F.col("node").alias("b"))
-    links = links.unionAll(_linked(other, texts, shingle, percent))
-    roots = stage(components(links), "roots")
-
-    every = _rooted(led.select("key", "node", "n", "members"), roots)
-    open_lists = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low < top").select("key")
-    rest = stage(every.join(open_lists, "key", "left_semi"), "rest")
+    near = stage(led.filter("node <> leader").select("node", F.col("n").alias("na"), "nb", "leader").filter(_alike(percent)).select("node", "leader").distinct(), "near")
+    roots = None
+    for leaders in LEADERS:
+        left = near
+        if roots is not None:
+            mine = _rooted(near, roots).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("leader").alias("node"))
+            left = _rooted(mine, roots).filter("ra <> root").select(F.col("a").alias("node"), F.col("node").alias("leader"))
+        # a node has at most one leader for each of its keys
+        some = F.array_sort(F.collect_list(F.struct(F.xxhash64("node", "leader").alias("order"), "leader")))
+        chosen = left.groupBy("node").agg(F.slice(some, 1, leaders).alias("some"))
+        found = _linked(chosen.select(F.col("node").alias("a"), F.explode("some.leader").alias("b")), texts, shingle, percent)
+        roots = _merged(roots, found)
+
+    roots = _merged(roots, _linked(_delegates(led, roots, percent), texts, shingle, percent))
+
+    rest = _mixed(led, roots)
     few = rest.filter(F.col("members") <= SHORT)
     one, two = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
     pairs = one.join(two, "key").filter("ra < rb").filter(_alike(percent)).select("a", "b")
     many = stage(rest.filter(F.col("members") > SHORT).select("node").distinct(), "many")
     if not many.isEmpty():
         pairs = pairs.unionAll(_rare_pairs(texts.join(many, "node", "left_semi"), shingle, percent, roots))
-    roots = stage(components(links.unionAll(_linked(pairs, texts, shingle, percent))), "roots")
+    roots = _merged(roots, _linked(pairs, texts, shingle, percent))
 
     rooted = stage(_rooted(nodes.select("mark", "node", "low"), roots), "rooted")
     return rooted.join(rooted.groupBy("root").agg(F.min("low").alias("least")), "root").select("mark", "least")

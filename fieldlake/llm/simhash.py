@@ -8,7 +8,6 @@ chain's budget before its whole Hamming distance is taken.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from itertools import combinations
 
@@ -18,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, shingles, slices, span_hash, stage, words
+from fieldlake.llm import copies
+from fieldlake.llm.common import LOWER, mixed, raw, slices, stage, words
 from fieldlake.llm.graph import components
 
 BITS = 64
@@ -145,108 +145,57 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 WORDS = 24  # 64-bit words of a long fingerprint
 CHAIN = 16  # bits of its segments: a posting key holds a segment without differences
 LANES = np.uint64(0x0101010101010101)  # the lowest bit of every byte
-PAIRS_PER_POSTING = 2  # so few open pairs for each list entry are compared at once
-SLACK = 1.1  # the bits that may differ, over those expected at the wanted similarity
 
 
-def _long_prints(n: int):
+def long_fingerprints(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """``WORDS`` words of SimHash bits of every row's distinct shingle hashes (by row), and its posting keys: one for each
+    segment, made of its bits and the smallest hashes of two of the words."""
     seeds = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
     parts = WORDS * 64 // CHAIN
     one = np.arange(parts) % WORDS  # a pair of words for each segment, all pairs different
     two = (one + 1 + np.arange(parts) // WORDS) % WORDS
+    prints = np.zeros((rows, WORDS), np.uint64)
+    least = np.zeros((rows, WORDS), np.uint64)
+    filled, edge, total = np.unique(row, return_index=True, return_counts=True)
+    # blocks of at most 255 shingles of a row: eight bits are counted at once, each in a byte of a 64-bit sum
+    blocks = -(-total // 255)
+    first = np.cumsum(blocks) - blocks
+    block = np.repeat(edge, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    for w in range(WORDS if len(filled) else 0):
+        g = mixed(h ^ seeds[w])
+        least[filled, w] = np.minimum.reduceat(g, edge)
+        for bit in range(8):
+            sums = np.add.reduceat((g >> np.uint64(bit)) & LANES, block).astype("<u8")
+            ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+            set_ = (2 * ones > total[:, None]).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(bit))
+            prints[filled, w] |= np.bitwise_or.reduce(set_, axis=1)
+    bits = np.unpackbits(prints.view(np.uint8), axis=1).reshape(rows, parts, CHAIN)
+    segments = (bits @ (1 << np.arange(CHAIN, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << CHAIN)).astype(np.uint64)
+    return prints, mixed(mixed(segments ^ least[:, one]) + least[:, two])
+
 
+def _long_prints(n: int):
     def run(batches):
         for batch in slices(batches, "__text"):
-            data, offsets = raw(batch.column("__text"))
-            data, rows = LOWER[data], batch.num_rows
-            starts, ends, owner = words(data, offsets)
-            h, row = shingles(span_hash(prefix_hash(data), starts, ends), owner, rows, n)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, row = h[new], row[new]
-            prints = np.zeros((rows, WORDS), np.uint64)
-            least = np.zeros((rows, WORDS), np.uint64)
-            filled, edge, total = np.unique(row, return_index=True, return_counts=True)
-            # blocks of at most 255 shingles of a row: eight bits are counted at once, each in a byte of a 64-bit sum
-            blocks = -(-total // 255)
-            first = np.cumsum(blocks) - blocks
-            block = np.repeat(edge, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
-            for w in range(WORDS if len(filled) else 0):
-                g = mixed(h ^ seeds[w])
-                least[filled, w] = np.minimum.reduceat(g, edge)
-                for bit in range(8):
-                    sums = np.add.reduceat((g >> np.uint64(bit)) & LANES, block).astype("<u8")
-                    ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
-                    set_ = (2 * ones > total[:, None]).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(bit))
-                    prints[filled, w] |= np.bitwise_or.reduce(set_, axis=1)
-            bits = np.unpackbits(prints.view(np.uint8), axis=1).reshape(rows, parts, CHAIN)
-            segments = (bits @ (1 << np.arange(CHAIN, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << CHAIN)).astype(np.uint64)
-            keys = mixed(mixed(segments ^ least[:, one]) + least[:, two]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), *(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                                         for x in (prints.view(np.int64), keys))], ["id", "fp", "keys"])
+            rows = batch.num_rows
+            h, row = copies.sets(batch.column("__text"), n)
+            size, mark = copies.marks(h, row, rows)
+            _, keys = long_fingerprints(h, row, rows)
+            keys = copies.lists(keys[size > 0].view(np.int64).ravel(), np.where(size > 0, keys.shape[1], 0))
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__text"), batch.column("__at"), pa.array(size.astype(np.int64)), mark, keys],
+                                             ["id", "text", "at", "n", "mark", "keys"])
     return run
 
 
-def _compared(pairs: DataFrame, prints: DataFrame, limit: float) -> DataFrame:
-    """The distinct rows ``a``, ``b`` of ``pairs`` whose fingerprints differ in at most ``limit`` bits."""
-    both = (pairs.distinct().join(prints.select(F.col("low").alias("a"), F.col("fp").alias("fa")), "a")
-            .join(prints.select(F.col("low").alias("b"), F.col("fp").alias("fb")), "b"))
-    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return both.filter(distance <= limit).select("a", "b")
-
-
-def _listed_links(groups: DataFrame, limit: float) -> DataFrame:
-    """``node``, ``root`` of the groups (``low``, ``fp``, ``keys``) linked within ``limit`` bits; every pair that shares a key
-    ends up in one component or is compared.
-
-    First each list is compared with its smallest member, then with the smallest of those outside that one's component,
-    and so on while that halves the pairs that are left, if they are many: a large group of copies is joined by one comparison per member
-    and list, whatever leads the list. What is then still in different components is compared pair by pair.
-    """
-    posted = groups.select("low", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("low").alias("b"), F.max("low").alias("top")).filter("b < top")
-    posted = stage(posted.join(shared.select("key"), "key"), "postings")
-    rows, left = posted.count(), posted.withColumn("root", F.col("low"))
-    links, before = None, math.inf
-    while True:
-        leader = left.groupBy("key").agg(F.min(F.struct("low", "root")).alias("first")).select("key", F.col("first.low").alias("b"), F.col("first.root").alias("of"))
-        led = left.join(leader, "key").filter("root <> of")
-        new = stage(_compared(led.select(F.col("low").alias("a"), "b"), groups, limit), "links")
-        links = new if links is None else links.unionAll(new)
-        roots = stage(components(links), "roots")
-        named = lambda x: (x.join(roots.withColumnRenamed("root", "new").withColumnRenamed("node", "low"), "low", "left")
-                           .withColumn("root", F.coalesce("new", "low")).drop("new"))
-        every = named(posted)
-        # pairs of a list in different components: all pairs without those of one component
-        sizes = every.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        open_lists = stage(sizes.filter("n * n > same").select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")), "open")
-        pairs = open_lists.agg(F.sum("pairs")).first()[0] or 0
-        if not pairs:
-            return roots
-        if pairs <= PAIRS_PER_POSTING * rows or pairs > before / 2:
-            break
-        before = pairs
-        # the members outside the leader's component
-        rest = named(left.select("key", "low")).join(leader.select("key", F.col("b").alias("low")).transform(named).select("key", F.col("root").alias("of")), "key")
-        left = stage(rest.filter("root <> of").select("key", "low", "root"), "left")
-    wide = stage(every.join(open_lists.select("key"), "key", "left_semi"), "wide")
-    one, two = (wide.select("key", F.col("low").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    rest = one.join(two, "key").filter("a > b and ra <> rb").select("a", "b")
-    return components(links.unionAll(stage(_compared(rest, groups, limit), "links")))
-
-
 def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every row, for copies that a distance of a few bits cannot find.
 
     Sets of shingles of a Jaccard similarity s differ in arccos(2s / (1 + s)) / pi of their SimHash bits: 15 % at 0.8. The
     fingerprint has ``WORDS * 64`` bits, cut into segments of ``CHAIN`` bits. Candidates agree in a whole segment and in the
     smallest hashes of two of the fingerprint's words, which similar sets share with a chance of s each: 64 bits in all, so that
-    unlike texts do not fill a posting list however many there are. All pairs that share a list are joined or compared
-    (``_listed_links``); the whole Hamming distance decides. Which lists two texts are in is a matter of chance: of pairs
-    above the threshold most meet in one of them (the README has figures). Rows with equal fingerprints are one; rows that
+    unlike texts do not fill a posting list however many there are. ``copies.grouped`` compares the whole sets of shingles of
+    candidates, so nothing is joined below the similarity. Which lists two texts share is a matter of chance: of pairs
+    above the threshold most meet in one of them (the README has figures). Rows with equal sets are one, texts without words too; rows that
     share an id are judged by their own texts. Rows without an id are left out, no rows give no rows.
     """
     return _similar(docs, id, text, shingle, similarity).select("id", F.col("least.id").alias("component"))
@@ -260,18 +209,11 @@ def _mark(text: str) -> Column:
 def _similar(docs: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
     """``id``, ``mark`` (of the text) and ``least``, the smallest (id, mark) reachable, of every row with an id."""
     kind = docs.schema[id].dataType.simpleString()
-    prints = stage(docs.select(F.struct(F.col(id).alias("id"), _mark(text).alias("mark")).alias("__id"), F.col(text).alias("__text"))
+    prints = stage(docs.select(F.struct(F.col(id).alias("id"), _mark(text).alias("mark")).alias("__id"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__at"))
                    .filter("__id.id is not null")
-                   .mapInArrow(_long_prints(shingle), f"id struct<id:{kind},mark:bigint>, fp array<long>, keys array<long>"), "prints")
-    # a group of equal fingerprints is named by their hash: an id can be in several groups
-    groups = stage(prints.groupBy("fp").agg(F.min("id").alias("place"), F.first("keys").alias("keys"))
-                   .withColumn("low", F.xxhash64("fp")), "groups")
-    limit = SLACK * math.acos(2 * similarity / (1 + similarity)) / math.pi * WORDS * 64
-    roots = _listed_links(groups, limit)
-    rooted = stage(groups.join(roots.select(F.col("node").alias("low"), "root"), "low", "left")
-                   .select("fp", "place", F.coalesce("root", "low").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("place").alias("least"))
-    return prints.join(rooted.join(least, "root").select("fp", "least"), "fp").select("id.id", "id.mark", "least")
+                   .mapInArrow(_long_prints(shingle), f"id struct<id:{kind},mark:bigint>, text string, at long, n long, mark binary, keys array<long>"), "prints")
+    named = copies.grouped(prints, shingle, round(100 * similarity))
+    return prints.select("id", "mark").join(named, "mark").select("id.id", "id.mark", "least")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

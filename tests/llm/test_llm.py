@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fieldlake.llm import (
-    bpe, byte_dedup, common, decontaminate, graph, language_model, line_chunks, neighbours, packing, queries, simhash, suffix_array,
+    bpe, byte_dedup, common, copies, decontaminate, graph, language_model, line_chunks, neighbours, packing, queries, simhash, suffix_array,
     token_counts, toxicity, url_filter)
 
 SYLLABLES = "th an er in re on ou ti es la ße 東 ".split()
@@ -500,8 +500,8 @@ def test_votes_of_whole_texts():
     """Bits and smallest hashes of a long fingerprint against a plain count over every distinct shingle."""
     r = random.Random(9)
     texts = [words_of(r, n) for n in (0, 3, 5, 250, 700, 2000)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["__id", "__text"])
-    got = [x for b in simhash._long_prints(5)(iter([batch])) for x in b.column("fp").to_pylist()]
+    h, row = copies.sets(pa.array(texts), 5)
+    got = simhash.long_fingerprints(h, row, len(texts))[0].view(np.int64).tolist()
     for text, prints in zip(texts, got, strict=True):
         data, offsets = common.raw(pa.array([text]))
         starts, ends, owner = common.words(common.LOWER[data], offsets)
@@ -522,23 +522,52 @@ def test_rows_that_share_an_id_leave_by_their_own_text(spark):
     assert len([x for x in left if x[0] == 3]) == 1 and len(kept.columns) == len(frame(spark, rows).columns)
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_all_pairs_of_a_list_are_linked_or_compared(spark, monkeypatch, bound):
-    """Copies that meet only in lists led by unlike texts, also when one copy is linked to a leader and the other is not."""
-    monkeypatch.setattr(simhash, "PAIRS_PER_POSTING", bound)
+@pytest.mark.parametrize("short", [1000, 2])
+def test_all_pairs_of_a_list_are_joined_or_compared(spark, monkeypatch, short):
+    """Copies that meet only in lists led by unlike texts; long lists are joined on their rarest elements, which finds no less."""
+    monkeypatch.setattr(copies, "SHORT", short)
     r = random.Random(17)
-    rows = [(0, [0, 0], [1]), (1, [3, 0], [1]), (2, [-1, 0], [1]), (3, [-1, 3], [1, 2]), (4, [15, 0], [1])]  # 0-1, 2-3, 1-4
-    rows += [(10 + k, [r.getrandbits(32), r.getrandbits(32)], r.sample(range(3, 9), 3)) for k in range(150)]
-    rows += [(200 + k, [rows[5 + k][1][0] ^ 1, rows[5 + k][1][1]], r.sample(range(3, 9), 3)) for k in range(100)]
-    groups = spark.createDataFrame(rows, "low long, fp array<long>, keys array<long>")
-    roots = {x["node"]: x["root"] for x in simhash._listed_links(groups, 2).collect()}
-    print_of, keys = {i: f for i, f, _ in rows}, {i: set(k) for i, _, k in rows}
-
-    def linked(a, b):
-        far = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(print_of[a], print_of[b]))
-        return far <= 2 and bool(keys[a] & keys[b])
-    want = grouped(sorted(print_of), linked)
-    assert len(set(want.values())) < 200 and {n: roots.get(n, n) for n in print_of} == want
+    texts = [[f"w{r.randint(0, 60)}" for _ in range(r.randint(6, 40))] for _ in range(60)]
+    for t in list(texts):
+        texts += [[w if r.random() > 0.04 else f"v{k}" for k, w in enumerate(t)] for _ in range(r.randint(0, 3))]
+    r.shuffle(texts)
+    keys = [r.sample(range(40), 3) for _ in texts]
+    sets = [{tuple(t[k:k + 2]) for k in range(len(t) - 1)} for t in texts]
+    column = pa.array([" ".join(t) for t in texts])
+    size, node = copies.marks(*copies.sets(column, 2), len(texts))
+    rows = [(k, s, k, int(n), m, q) for k, (s, n, m, q) in enumerate(zip(column.to_pylist(), size, node.to_pylist(), keys))]
+    prints = spark.createDataFrame(rows, "id long, text string, at long, n long, mark binary, keys array<long>")
+    least = {bytes(x["mark"]): x["least"] for x in copies.grouped(prints, 2, 80).collect()}
+    got = {k: least[m] for k, m in enumerate(node.to_pylist())}
+    first = {}
+    for k, m in enumerate(node.to_pylist()):  # of equal sets one row's keys count
+        first.setdefault(m, k)
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    listed = lambda a, b: similar(a, b) and bool(set(keys[first[rows[a][4]]]) & set(keys[first[rows[b][4]]]) or sets[a] == sets[b])
+    if len(first) == len(texts) and short == 1000:
+        assert got == grouped(range(len(texts)), listed)
+    least_wanted, whole = grouped(range(len(texts)), listed), grouped(range(len(texts)), similar)
+    assert all(got[k] == got[least_wanted[k]] and whole[k] == whole[got[k]] for k in got) and len(set(got.values())) < len(texts)
+
+
+@pytest.mark.parametrize("members", [60, 1500])
+def test_copies_beside_a_template_family(spark, members):
+    """Pairs above the threshold are found whatever the number of texts that share two thirds of their shingles with them."""
+    r = random.Random(members)
+    template = [f"t{k}" for k in range(90)]
+    own = lambda k, n: [f"o{k}-{j}" for j in range(n)]
+    rows = [(k, " ".join(template + own(k, 40))) for k in range(members)]
+    pairs = []
+    for k in range(40):
+        text = template + own(members + k, 40)
+        edited = list(text)
+        for at in r.sample(range(len(text)), 2):  # each edit changes five shingles of 126: similarity 0.85 or more
+            edited[at] = f"e{k}-{at}"
+        pairs.append((members + 2 * k, members + 2 * k + 1))
+        rows += [(pairs[-1][0], " ".join(text)), (pairs[-1][1], " ".join(edited))]
+    got = {x["id"]: x["component"] for x in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 36
+    assert all(got[k] == k for k in range(members)), "members of the family are no copies"
 
 
 @pytest.mark.parametrize("distance, segments, bucket", [(2, 5, 64), (2, 5, 2), (2, 5, 1), (2, 7, 3), (4, 9, 64), (4, 9, 2), (0, 3, 4)])
