@@ -120,7 +120,7 @@ def _delegates(led: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     compared with many of its members, and a list costs as many pairs as it has components.
     """
     first = F.min_by(F.struct("node", "n"), F.xxhash64("node", "key"))
-    parts = _mixed(led, roots).groupBy("key", "root").agg(first.alias("one"), F.count("*").alias("size"))
+    parts = _rooted(led.select("key", "node", "n"), roots).groupBy("key", "root").agg(first.alias("one"), F.count("*").alias("size"))
     largest = parts.groupBy("key").agg(F.max_by(F.struct("root", "one"), F.struct("size", "root")).alias("top"))
     both = parts.join(largest, "key").filter(F.col("root") != F.col("top.root"))
     return both.select(F.col("one.node").alias("a"), F.col("one.n").alias("na"), F.col("top.one.node").alias("b"), F.col("top.one.n").alias("nb")).filter(_alike(percent)).select("a", "b")
