@@ -40,16 +40,21 @@ def _folder(spark, name):
     return f"{shared_folder(spark)}/fieldlake-{name}-{uuid.uuid4().hex}"
 
 
-def _arriving(spark, sf, name):
-    """The detections as a stream of files by arrival: every seventh row comes a quarter late, every eleventh at the very end."""
+def _received(spark, sf, name, log_of):
+    """Log and checkpoint of the detections in five arrivals: every seventh row comes a quarter late, every eleventh at the very end.
+
+    Each arrival, however many files it has, is drained by a run of the stream that goes on from the checkpoint of the run before.
+    """
     df = view(spark, sf, "v_detections").select("id", "device_id", "class_name", "category", "confidence", F.timestamp_millis("detected_epoch_ms").alias("ts"))
     low, high = df.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
     turn = F.floor((F.unix_millis("ts") - low) * 4 / (high - low + 1)).cast("int")
     turn = F.when(F.col("id") % 11 == 0, 4).when(F.col("id") % 7 == 0, turn + 1).otherwise(turn)
     folder = _folder(spark, name)
-    for k in range(5):  # files are read in the order in which they were written
+    path, checkpoint = f"{folder}/log", f"{folder}/cp"
+    for k in range(5):
         df.filter(turn == k).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in"), f"{folder}/log", f"{folder}/cp"
+        late.start_log(log_of(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path), checkpoint
 
 
 @query("late_buckets", """
@@ -57,9 +62,7 @@ select (detected_epoch_ms // 3600000) * 3600000 as bucket_epoch_ms, device_id, c
   round(avg(confidence), 4) as confidence_avg, round(max(confidence), 4) as confidence_max from v_detections group by 1, 2""")
 def _(spark, sf):
     """Hourly statistics of a stream with late rows: closed and corrected hours, late summands and open hours."""
-    stream, path, checkpoint = _arriving(spark, sf, "late-buckets")
-    late.start_log(late.bucket_log(stream, keep_ms=86_400_000, keys=["device_id"]), path, checkpoint).awaitTermination()
-    log = spark.read.parquet(path)
+    log, checkpoint = _received(spark, sf, "late-buckets", lambda stream: late.bucket_log(stream, keep_ms=86_400_000, keys=["device_id"]))
     out = late.bucket_table(log, ["device_id"], still_open=late.open_buckets(log, checkpoint, ["device_id"]))
     return rounded(out, "confidence_avg", "confidence_max")
 
@@ -70,10 +73,8 @@ i as (select *, sum(case when reach is null or detected_epoch_ms - 3000000 > rea
 select device_id, class_name, min(detected_epoch_ms) as start_ms, max(detected_epoch_ms) + 600000 as end_ms, round(max(confidence), 4) as confidence, count(*) as window_count from i group by device_id, class_name, island""")
 def _(spark, sf):
     """Sound windows joined to events from the same stream; late windows join events that were closed."""
-    stream, path, checkpoint = _arriving(spark, sf, "late-sessions")
     keys = ["device_id", "class_name"]
-    late.start_log(late.session_log(stream, keys, 600_000, 3_000_000), path, checkpoint).awaitTermination()
-    log = spark.read.parquet(path)
+    log, checkpoint = _received(spark, sf, "late-sessions", lambda stream: late.session_log(stream, keys, 600_000, 3_000_000))
     return rounded(late.session_table(log, keys, 3_000_000, late.open_sessions(log, checkpoint, keys)), "confidence")
 
 

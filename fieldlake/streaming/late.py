@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -47,8 +47,9 @@ def _named(df: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFram
     return df.select(*[parsed[k].alias(k) for k in keys], *[c for c in df.columns if c != KEY])
 
 
-def _null(value):
-    return None if pd.isna(value) else value
+def _top(values):
+    """Largest of the values that are neither null nor NaN."""
+    return max((x for x in values if x is not None and x == x), default=None)
 
 
 class Buckets(StatefulProcessor):
@@ -61,24 +62,23 @@ class Buckets(StatefulProcessor):
         self.handle = handle
         self.sums = handle.getValueState("sums", "sample_count bigint, threat_count bigint, metric_sum double, metric_count bigint, metric_max double, revision int")
 
-    def _row(self, key, kind, revision, sums) -> pd.DataFrame:
-        return pd.DataFrame([(_null(None if key[0] == UNTIMED else key[0]), key[1], kind, revision, *sums)], columns=self.columns)
+    def _row(self, key, kind, revision, sums) -> Row:
+        return Row(*self.columns)(None if key[0] == UNTIMED else key[0], key[1], kind, revision, *sums)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        sums = (int(new["sample_count"].sum()), int(new["threat_count"].sum()), float(new["metric_sum"].sum()), int(new["metric_count"].sum()), _null(new["metric_max"].max()))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        counts, threats, totals, metrics, tops = zip(*[tuple(r[s] for s in SUMS) for r in rows], strict=True)
+        sums = (sum(counts), sum(threats), float(sum(x for x in totals if x == x)), sum(metrics), _top(tops))
         if key[0] == UNTIMED:  # rows without a time have no window
             yield self._row(key, "late", 0, sums)
             return
         mark, end = timerValues.getCurrentWatermarkInMs(), int(key[0]) + self.size_ms
-        held = self.sums.get() if self.sums.exists() else None
+        held = self.sums.get()
         if held is None and mark >= end + self.keep_ms:
             yield self._row(key, "late", 0, sums)
             return
         revision = 0
         if held is not None:
-            tops = [x for x in (sums[4], _null(held[4])) if x is not None]
-            sums = (*(a + b for a, b in zip(sums[:4], held[:4], strict=True)), max(tops, default=None))
+            sums = (*(a + b for a, b in zip(sums[:4], held[:4], strict=True)), _top((sums[4], held[4])))
             revision = int(held[5])
         if revision or (held is None and mark >= end):
             revision += 1
@@ -87,11 +87,11 @@ class Buckets(StatefulProcessor):
             self.handle.registerTimer(end if mark < end else end + self.keep_ms)
         self.sums.update((*sums, revision))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.sums.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.sums.get()
+        if held is None:
             return
-        *sums, revision = self.sums.get()
-        sums[4] = _null(sums[4])
+        *sums, revision = held
         end = int(key[0]) + self.size_ms
         if not revision:
             yield self._row(key, "closed", 1, sums)
@@ -105,12 +105,28 @@ class Buckets(StatefulProcessor):
         pass
 
 
+TOGETHER = 1 << 19  # rows of a task that are summed or joined at once
+
+
+def _gathered(batches):
+    """Batches as tables of about ``TOGETHER`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _summed(batches):
     names = ["bucket_epoch_ms", KEY]
-    for batch in batches:
-        table = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate(
+    for table in _gathered(batches):
+        out = table.group_by(names, use_threads=False).aggregate(
             [("one", "sum"), ("threat", "sum"), ("metric", "sum"), ("metric", "count"), ("metric", "max")])
-        out = table.select([*names, "one_sum", "threat_sum", "metric_sum", "metric_count", "metric_max"]).rename_columns([*names, *SUMS])
+        out = out.select([*names, "one_sum", "threat_sum", "metric_sum", "metric_count", "metric_max"]).rename_columns([*names, *SUMS])
         yield from out.set_column(4, "metric_sum", out["metric_sum"].fill_null(0.0)).to_batches()
 
 
@@ -119,7 +135,7 @@ def bucket_log(stream: DataFrame, time: str = "ts", size_ms: int = 3_600_000, de
     """Log of tumbling buckets per key: ``bucket_epoch_ms``, keys, ``kind``, ``revision``, sums and maximum of ``metric``.
 
     ``keep_ms`` is how long, in event time after its end, a bucket is held for corrections. Rows are summed in the task that reads them
-    before they are shuffled, so a hot key or hour costs a row per batch of rows. Rows without a time form a bucket null.
+    before they are shuffled, so a hot key or hour costs a row per ``TOGETHER`` rows. Rows without a time form a bucket null.
     """
     threat = F.col("category") == "immediate_threat" if threat is None else threat
     at = F.unix_millis(time)
@@ -131,7 +147,7 @@ def bucket_log(stream: DataFrame, time: str = "ts", size_ms: int = 3_600_000, de
     sums = [T.StructField(n, t) for n, t in zip(SUMS, (long, long, real, long, real), strict=True)]
     partial = rows.mapInArrow(_summed, T.StructType([*names, *sums]))
     schema = T.StructType([*names, T.StructField("kind", T.StringType()), T.StructField("revision", T.IntegerType()), *sums])
-    out = partial.groupBy("bucket_epoch_ms", KEY).transformWithStateInPandas(
+    out = partial.groupBy("bucket_epoch_ms", KEY).transformWithState(
         statefulProcessor=Buckets(schema.fieldNames(), size_ms, keep_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return _named(out, stream.schema, keys)
 
@@ -152,6 +168,17 @@ def joined(pdf: pd.DataFrame, keys: Sequence[str], gap_ms: int) -> pd.DataFrame:
     return pdf.groupby(island).agg({**dict.fromkeys(keys, "first"), "start_ms": "min", "end_ms": "max", "confidence": "max", "window_count": "sum"})
 
 
+def _merged(intervals, gap_ms: int) -> list[list]:
+    """What ``joined`` gives for the intervals of one key, by start."""
+    out = []
+    for start, end, confidence, n in sorted(intervals, key=lambda i: i[0]):
+        if out and start - gap_ms <= out[-1][1]:
+            out[-1][1:] = max(out[-1][1], end), _top((out[-1][2], confidence)), out[-1][3] + n
+        else:
+            out.append([start, end, _top((confidence,)), n])
+    return out
+
+
 class Sessions(StatefulProcessor):
     """Open intervals of one key, by start."""
 
@@ -162,26 +189,29 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getMapState("open", "start_ms bigint", "end_ms bigint, confidence double, window_count bigint")
 
-    def _closed(self, key, mark: int) -> pd.DataFrame:
-        out = [(*key, int(start[0]), int(end), _null(confidence), int(n)) for start, (end, confidence, n) in list(self.open.iterator()) if end + self.gap_ms < mark]
-        for row in out:
-            self.open.removeKey((row[len(key)],))
-        return pd.DataFrame(out, columns=self.columns)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame([(int(s[0]), int(v[0]), v[1], int(v[2])) for s, v in self.open.iterator()], columns=INTERVAL)
-        now = joined(pd.concat([*([held] if len(held) else []), *(r[INTERVAL] for r in rows)]), [], self.gap_ms)
-        for start in set(held["start_ms"]) - set(now["start_ms"]):
-            self.open.removeKey((int(start),))
+    def _held(self) -> dict[int, tuple]:
+        return {s[0]: tuple(v) for s, v in self.open.iterator()}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, mark = self._held(), timerValues.getCurrentWatermarkInMs()
+        now = _merged([*((s, *v) for s, v in held.items()), *(tuple(r[c] for c in INTERVAL) for r in rows)], self.gap_ms)
+        still = {start: tuple(rest) for start, *rest in now if rest[0] + self.gap_ms >= mark}
+        for start in held.keys() - still.keys():
+            self.open.removeKey((start,))
+        for start, value in still.items():
+            if held.get(start) != value:
+                self.open.updateValue((start,), value)
+                self.handle.registerTimer(value[0] + self.gap_ms + 1)
+        for start, *rest in now:
+            if start not in still:
+                yield Row(*self.columns)(*key, start, *rest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        for row in now.itertuples(index=False):
-            self.open.updateValue((int(row.start_ms),), (int(row.end_ms), _null(row.confidence), int(row.window_count)))
-            if row.end_ms + self.gap_ms >= mark:
-                self.handle.registerTimer(int(row.end_ms) + self.gap_ms + 1)
-        yield self._closed(key, mark)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._closed(key, timerValues.getCurrentWatermarkInMs())
+        for start, value in self._held().items():
+            if value[0] + self.gap_ms < mark:
+                self.open.removeKey((start,))
+                yield Row(*self.columns)(*key, start, *value)
 
     def close(self) -> None:
         pass
@@ -201,10 +231,11 @@ def session_log(stream: DataFrame, keys: Sequence[str], seg_ms: int, gap_ms: int
                            T.StructField("window_count", long)])
 
     def partial(batches):
-        for pdf in batches:
-            yield joined(pdf, [KEY], gap_ms)[schema.fieldNames()]
+        for table in _gathered(batches):
+            found = joined(table.to_pandas(), [KEY], gap_ms)[schema.fieldNames()]
+            yield from pa.Table.from_pandas(found, preserve_index=False).cast(table.schema).to_batches()
 
-    out = rows.mapInPandas(partial, schema).groupBy(KEY).transformWithStateInPandas(
+    out = rows.mapInArrow(partial, schema).groupBy(KEY).transformWithState(
         statefulProcessor=Sessions(schema.fieldNames(), gap_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return _named(out, stream.schema, keys)
 
