@@ -24,11 +24,14 @@ POPULATION = ("project_id", "target_species", "h3_cell")
 def sample_alleles(df: DataFrame, keys) -> DataFrame:
     """Copies ``w`` of each allele per (group, locus, sample); a null allele marks that the sample has any call.
 
-    A multi-allele call splits its copies evenly. One pass: every call emits its alleles and the marker.
+    A multi-allele call splits its copies evenly. One pass: every call emits its alleles and the marker. Calls are dealt out by sample before
+    they are exploded, so a call is shuffled once and not once per allele.
     """
     sequence = "sequence" if "sequence" in df.columns else None
     group = [*keys, "locus_name"]
-    rows = df.select(*group, "sample_id", "allele_count", split_alleles("allele_state", sequence).alias("__a")).filter(F.size("__a") > 0)
+    calls = df.select(*group, "sample_id", "allele_count", "allele_state", *([sequence] if sequence else [])).repartition("locus_name", "sample_id")
+    # one exploded row: the optimizer would split the text again in every filter below
+    rows = calls.withColumn("__a", F.explode(F.array(split_alleles("allele_state", sequence)))).filter(F.size("__a") > 0)
     copies = F.coalesce(F.col("allele_count").cast("double"), F.size("__a").cast("double"))
     usable = (copies > 0) & (copies < float("inf"))
     marked = F.when(usable, F.array_append("__a", F.lit(None).cast("string"))).otherwise(F.array(F.lit(None).cast("string")))

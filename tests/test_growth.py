@@ -58,3 +58,10 @@ def test_cells_of_one_place_make_no_pairs(spark, monkeypatch):
     got = spatial.nearest_cell(points, cells)
     assert seen == [300]
     assert got.count() == 300 and got.filter("scaled_distance > 0.2 or loss < 0.9").isEmpty()
+
+
+def test_a_genotype_call_is_shuffled_once(spark):
+    calls = spark.range(400).selectExpr("concat('s', id % 50) as sample_id", "'p' as project_id", "'x' as target_species", "concat('c', id % 3) as h3_cell", "'2024' as time_bin",
+                                        "concat('l', id % 4) as locus_name", "2 as allele_count", "concat('A/', id % 3) as allele_state")
+    text = plan(genetics.sample_alleles(calls, (*genetics.POPULATION, "time_bin")))
+    assert text.count("hashpartitioning") == 1
