@@ -6,7 +6,7 @@ Codecs stay outside: jobs start from frames, samples or raw model output.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from fieldlake.config import ACOUSTIC, VISION, AcousticConfig, VisionConfig
 from fieldlake.operators import scale, spatial
+from fieldlake.session import cut_lineage
 
 REAL = "array<double>"
 
@@ -46,23 +47,27 @@ def decode_boxes(df: DataFrame, cfg: VisionConfig = VISION, objectness: bool = F
     Needs ``prediction`` (array), frame_width, frame_height and the letterbox (resize_scale, pad_x, pad_y).
     """
     first = 6 if objectness else 5
+    def step(rows, name, **values):  # an exploded row keeps the optimizer from writing the values out again in every later filter
+        return rows.withColumn(name, F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
     scores = F.slice("prediction", first, F.greatest(F.size("prediction") - (first - 1), F.lit(0)))
-    rows = df.withColumn("__s", scores).filter(F.size("__s") > 0).withColumn("__best", F.array_max("__s"))
-    confidence = F.col("__best") * (F.get("prediction", F.lit(4)) if objectness else F.lit(1.0))
-    rows = rows.withColumn("class_id", (F.array_position("__s", F.col("__best")) - 1).cast("int")).withColumn("confidence", confidence)
-    cx, cy, w, h = (F.get("prediction", F.lit(i)) for i in range(4))
+    cx, cy, w, h = (F.col(f"__p.{n}") for n in ("cx", "cy", "w", "h"))
+    rows = step(df, "__p", s=scores, best=F.array_max(scores), **{n: F.get("prediction", F.lit(i)) for i, n in enumerate(("cx", "cy", "w", "h"))},
+                objectness=F.get("prediction", F.lit(4)) if objectness else F.lit(1.0)).filter(F.size("__p.s") > 0)
+    rows = rows.withColumn("class_id", (F.array_position("__p.s", F.col("__p.best")) - 1).cast("int")).withColumn("confidence", F.col("__p.best") * F.col("__p.objectness"))
     finite = ~F.isnan(cx + cy + w + h) & (F.abs(cx + cy + w + h) < float("inf"))
     rows = rows.filter((F.col("confidence") >= cfg.confidence) & ~F.isnan("confidence") & finite & (w > 0) & (h > 0))
 
     def edge(centre, size, sign, pad, limit):
         value = (centre + sign * size / 2 - F.col(pad)) / F.col("resize_scale")
         return F.least(F.greatest(value, F.lit(0.0)), F.col(limit).cast("double"))
-    rows = rows.withColumns({"box_left": edge(cx, w, -1, "pad_x", "frame_width"), "box_top": edge(cy, h, -1, "pad_y", "frame_height"),
-                             "box_right": edge(cx, w, 1, "pad_x", "frame_width"), "box_bottom": edge(cy, h, 1, "pad_y", "frame_height")})
+    rows = step(rows, "__e", box_left=edge(cx, w, -1, "pad_x", "frame_width"), box_top=edge(cy, h, -1, "pad_y", "frame_height"),
+                box_right=edge(cx, w, 1, "pad_x", "frame_width"), box_bottom=edge(cy, h, 1, "pad_y", "frame_height"))
+    rows = rows.withColumns({n: F.col(f"__e.{n}") for n in ("box_left", "box_top", "box_right", "box_bottom")})
     names = F.array(*[F.lit(c) for c in cfg.classes]) if cfg.classes else F.array().cast("array<string>")
     label = F.coalesce(F.get(names, F.col("class_id")), F.concat(F.lit("class_"), F.col("class_id").cast("string")))
     return (rows.filter((F.col("box_right") > F.col("box_left")) & (F.col("box_bottom") > F.col("box_top"))).withColumn("species", label)
-            .withColumn("cx", (F.col("box_left") + F.col("box_right")) / 2).withColumn("cy", (F.col("box_top") + F.col("box_bottom")) / 2).drop("__s", "__best"))
+            .withColumn("cx", (F.col("box_left") + F.col("box_right")) / 2).withColumn("cy", (F.col("box_top") + F.col("box_bottom")) / 2).drop("__p", "__e"))
 
 
 def _suppress(boxes: np.ndarray, scores: np.ndarray, limit: float) -> np.ndarray:
@@ -83,22 +88,35 @@ def nms(df: DataFrame, iou: float = VISION.iou, keys=("frame", "class_id"), tie:
         **kw) -> DataFrame:
     """Class-wise non-maximum suppression.
 
-    Boxes of a class only meet when they overlap, so each (frame, class) first falls apart into
-    runs of boxes that overlap along x; a run, not a frame, is what one task holds. Short runs
-    are folded in the JVM, long ones go to numpy.
+    A (frame, class) of at most ``small`` boxes is folded in the JVM. Boxes of a class only meet when they overlap, so larger ones
+    first fall apart into runs of boxes that overlap along x; a run, not a frame, is what one task holds. Short runs
+    are folded too, long ones go to numpy. Boxes without a key or a left edge are left out.
     """
-    rows = df.withColumn("__x", F.col("box_left"))
+    columns = list(df.columns)
+
+    def folded(boxes: DataFrame, group) -> DataFrame:
+        lists = boxes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(
+            (-F.col("confidence")).alias("order"), F.col(tie).alias("tie"), F.struct(*columns).alias("box")))).alias("__boxes"))
+        kept = F.aggregate("__boxes", F.slice("__boxes", 1, 0), lambda kept, b: F.when(
+            F.exists(kept, lambda k: overlap(k["box"], b["box"]) > iou), kept).otherwise(F.array_append(kept, b)))
+        return lists.select(F.explode(kept).alias("k")).select("k.box.*")
+
+    edges = [F.col("box_left").cast("double"), F.col("box_right").cast("double")]
+    plain = reduce(lambda a, b: a & b, [e.isNotNull() & ~F.isnan(e) for e in edges])  # others do not overlap along x only
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(plain, 1)).alias("__p"))
+    few = (F.col("__n") <= small) & (F.col("__p") == F.col("__n")) & F.lit(iou >= 0)
+    if counts.filter(~few).isEmpty():
+        return folded(df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))), keys)
+    counted = scale.spread_join(df, counts, keys)
+    whole = folded(counted.filter(few), keys)
+    rows = cut_lineage(counted.filter(~few).select(*columns))
+    rows = rows.withColumn("__x", F.col("box_left"))
     reach = scale.running(rows, keys, ["__x", tie], {"__reach": ("max", F.col("box_right"))}, include_current=False, **kw)
     opened = reach.withColumn("__open", F.when(F.col("__reach").isNull() | (F.col("__x") >= F.col("__reach")), F.col("__x")))
     runs = scale.running(opened, keys, ["__x", tie], {"__run": ("max", F.col("__open"))}, **kw).drop("__reach", "__open", "__x")
-    group, columns = [*keys, "__run"], list(df.columns)
+    group = [*keys, "__run"]
     runs = runs.join(runs.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group)
-    few = runs.filter(F.col("__n") <= small).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("confidence")).alias("order"), F.col(tie).alias("tie"), F.struct(*columns).alias("box")))).alias("__boxes"))
-    none = F.slice("__boxes", 1, 0)
-    folded = F.aggregate("__boxes", none, lambda kept, b: F.when(
-        F.exists(kept, lambda k: overlap(k["box"], b["box"]) > iou), kept).otherwise(F.array_append(kept, b)))
-    first = few.select(F.explode(folded).alias("k")).select("k.box.*")
+    first = whole.unionByName(folded(runs.filter(F.col("__n") <= small), group))
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(tie, kind="mergesort")

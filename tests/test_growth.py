@@ -65,3 +65,11 @@ def test_a_genotype_call_is_shuffled_once(spark):
                                         "concat('l', id % 4) as locus_name", "2 as allele_count", "concat('A/', id % 3) as allele_state")
     text = plan(genetics.sample_alleles(calls, (*genetics.POPULATION, "time_bin")))
     assert text.count("hashpartitioning") == 1
+
+
+def test_small_frames_are_folded_without_windows(spark):
+    boxes = spark.range(400).selectExpr("id div 4 as frame", "0 as class_id", "id as box_id", "id % 4 / 4.0D as confidence", "(id % 2) * 100D as box_left", "0D as box_top",
+                                        "(id % 2) * 100D + 50 as box_right", "50D as box_bottom")
+    kept = media.nms(boxes)
+    assert "Window" not in plan(kept)
+    assert kept.count() == 200 and kept.filter("box_id % 4 < 2").isEmpty()
