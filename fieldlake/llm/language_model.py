@@ -2,13 +2,17 @@
 
 States are the last words read, each with a failure arc to a shorter memory:
 
-* pairs of very frequent words, with arcs for the very frequent words (and the end) seen after them;
-* single frequent words, the start of a text and "any other word", with arcs for the frequent words seen after them;
+* pairs of words, with an arc for every word (and the end) seen after them;
+* single words and the start of a text, with an arc for every word (and the end) seen after them;
 * no memory, with an arc for every word of the training texts and one for all unknown words.
 
-Frequent is a share of at least ``FREQUENT`` of all training words, very frequent of ``VERY_FREQUENT``. So there are at most
-1 / FREQUENT and 1 / VERY_FREQUENT such words and about 10^6 arcs of each kind, whatever the corpus: these tables go
-to every task. The counts of all words grow with the corpus and are never sent about: texts look them up by a join.
+All states and arcs of the training texts count: ``FREQUENT`` and ``VERY_FREQUENT`` are 0. A share above 0 would lump words below
+that share of all training words together as "any other word", in the states of one and of two words; such a word has no arc.
+
+So the arcs grow with the corpus, and no task holds them all. Documents share batches of bounded size. A batch asks each bucket
+of words for their counts and numbers (``_wanted``, ``_told``). Then it sends each bucket of states what it has read there
+(``_asked``); the bucket adds up the batches' counts and answers each with what it asked for (``_answered``). A word with much of
+the corpus after it is dealt over as many buckets as its share needs. Answers come in the order of the question, so they name nothing.
 
 Weights are absolutely discounted; the failure arcs carry what the discounts leave, and an arc's weight already holds
 its share from the state below. One pass from left to right carries the state through a text and adds up logarithms.
@@ -21,15 +25,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldlake.llm.common import LOWER, prefix_hash, raw, slices, span_hash, stage, words
+from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, slices, span_hash, stage, words
+
+FREQUENT = 0.0
+VERY_FREQUENT = 0.0
+BATCH_BYTES = 12 << 20  # text that shares one look-up of counts
+BUCKETS = 2  # buckets of states for each batch of text
 
-FREQUENT = 1e-3
-VERY_FREQUENT = 1e-2
-BATCH_BYTES = 16 << 20  # text that shares one look-up of word counts
+OTHER, START, END, FIRST = 0, 1, 2, 3  # numbers of any other word, of both ends of a text and of the first word
+LOW = np.int64((1 << 32) - 1)
 
 
 @dataclass
@@ -45,15 +54,7 @@ class Tokens:
         data = LOWER[data]
         starts, ends, owner = words(data, offsets)
         unique, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_inverse=True)
-        return Tokens(unique, back, owner)
-
-
-def places(chosen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Index of each hash in a sorted list; its length + 1 for any other (its length stands for start and end)."""
-    if not len(chosen):
-        return np.full(len(hashes), 1, np.int64)
-    at = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
-    return np.where(chosen[at] == hashes, at, len(chosen) + 1)
+        return Tokens(unique, back.astype(np.int32), owner.astype(np.int32))
 
 
 def with_ends(values: np.ndarray, owner: np.ndarray, rows: int, end) -> np.ndarray:
@@ -67,58 +68,21 @@ def token_rows(owner: np.ndarray, rows: int) -> np.ndarray:
     return np.repeat(np.arange(rows), np.bincount(owner, minlength=rows) + 1)
 
 
-class States:
-    """The bounded states: frequent and very frequent words, and codes of what is read in them."""
-
-    def __init__(self, frequent: np.ndarray, very: np.ndarray):
-        self.frequent, self.very = frequent, very
-        self.k, self.m = len(frequent) + 2, len(very) + 2
-        self.size = self.k ** 2 + self.m ** 3
-
-    def read(self, tokens: Tokens, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (state, token) of every token in the states of one and of two words; the latter from ``k`` squared."""
-        one = with_ends(places(self.frequent, tokens.unique)[tokens.back], tokens.owner, rows, self.k - 2)
-        two = with_ends(places(self.very, tokens.unique)[tokens.back], tokens.owner, rows, self.m - 2)
-        before = np.full(len(one), self.k - 2)
-        before[1:] = one[:-1]  # the end of the row before is the start of this one
-        last, last_but_one = np.full(len(two), self.m - 2), np.full(len(two), self.m - 1)
-        last[1:] = two[:-1]
-        last_but_one[2:] = two[:-2]
-        last_but_one[last == self.m - 2] = self.m - 1  # nothing is remembered across the start
-        return before * self.k + one, self.k ** 2 + (last_but_one * self.m + last) * self.m + two
-
-
-def _discounted(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Arc weights of a table (state, token) of counts, and what each state's failure arc carries.
-
-    The last column, any other word, is what a state can be in but not a word to read: it has no arc.
-    """
-    follow = np.maximum(table.sum(axis=1, keepdims=True), 1)
-    once, twice = (table[:, :-1] == 1).sum(), (table[:, :-1] == 2).sum()
-    arcs = np.maximum(table - (once / (once + 2 * twice) if once and twice else 0.5), 0) / follow
-    arcs[:, -1] = 0
-    return arcs.ravel(), 1 - arcs.sum(axis=1)
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
 
 
 @dataclass
-class Automaton:
-    states: States
-    arcs: list[np.ndarray]  # for one and two words of memory: weight at (state, token), zero without an arc
-    fail: list[np.ndarray]  # what each state's failure arc carries
+class Totals:
+    """What every task knows of the training texts."""
+
     total: int  # training tokens N, ends included
     distinct: int  # different ones V, the end included
     ends: int
     discount: float
-
-    @staticmethod
-    def learn(states: States, codes: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int, once: int, twice: int) -> Automaton:
-        table = np.zeros(states.size)
-        table[codes] = counts
-        one, two = table[:states.k ** 2].reshape(states.k, -1), table[states.k ** 2:].reshape(states.m ** 2, -1)
-        other = np.arange(states.m ** 2)
-        two[(other // states.m >= states.m - 2) | (other % states.m >= states.m - 2)] = 0  # states of two remembered words only
-        arcs, fail = zip(_discounted(one), _discounted(two), strict=True)
-        return Automaton(states, list(arcs), list(fail), total, distinct, ends, once / (once + 2 * twice) if once and twice else 0.5)
+    buckets: int
+    frequent: float
+    very_frequent: float
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """Probability without memory; all unknown words together have what the discounts of the known ones leave."""
@@ -126,13 +90,221 @@ class Automaton:
             return np.ones(len(count))
         return np.where(count > 0, count - self.discount, self.discount * self.distinct) / self.total
 
-    def log_probability(self, tokens: Tokens, rows: int, count: np.ndarray) -> np.ndarray:
-        """log10 weight of every token; ``count`` has the training counts of the tokens."""
-        p = self.unigram(count)
-        for arcs, fail, code, shift, width in zip(self.arcs, self.fail, self.states.read(tokens, rows), (0, self.states.k ** 2),
-                                                  (self.states.k, self.states.m), strict=True):
-            p = arcs[code - shift] + fail[(code - shift) // width] * p
-        return np.log10(p)
+    def above(self, count: np.ndarray, share: float) -> np.ndarray:
+        return (count > 0) & (count >= share * (self.total - self.ends))
+
+
+def _place(state: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed((state.astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _vocabulary(docs: pa.Table, buckets: int) -> tuple[list[tuple[pa.RecordBatch, Tokens]], np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of slices of a batch, its different words in order, their places by bucket and the edges of the buckets."""
+    parts = [(b, Tokens.of(*raw(b.column("__text")))) for b in slices(docs.to_batches(), "__text")]
+    found = np.unique(np.concatenate([np.empty(0, np.uint64), *(t.unique for _, t in parts)]))
+    bucket = found.view(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    return parts, found, order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order, which of them each value is, and the first place of each; in less memory than ``np.unique``."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    back = np.empty(len(values), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], back, order[new]
+
+
+class Batch:
+    """The tokens of a batch of documents and the different states and arcs they read, by bucket.
+
+    ``pairs`` are (state of one word, token); a pair of two words is a state too, with ``triples`` (place of the pair, token).
+    ``states`` are (bucket, word): a state that is dealt over several buckets is asked for in all of them. Their order depends on
+    what the texts hold, not on the order of the rows.
+    """
+
+    def __init__(self, model: Totals, docs: pa.Table, told: pa.Table):
+        parts, found, order, _ = _vocabulary(docs, model.buckets)
+        counts, numbers = np.zeros(len(found) + 1), np.zeros(len(found) + 1, np.int32)
+        counts[order], numbers[order] = _unpacked(told, "counts", LONG)[0], _unpacked(told, "numbers", INT)[0]
+        at, row, rows, held = [], [], 0, [np.empty(0, bool)]
+        while parts:
+            batch, tokens = parts.pop(0)
+            at.append(with_ends(np.searchsorted(found, tokens.unique).astype(np.int32)[tokens.back], tokens.owner, batch.num_rows, -1))
+            row.append((rows + token_rows(tokens.owner, batch.num_rows)).astype(np.int32))
+            rows += batch.num_rows
+            held.append(batch.column("__held").to_numpy(zero_copy_only=False).astype(bool))
+        self.rows = rows
+        at, self.row = np.concatenate([np.empty(0, np.int32), *at]), np.concatenate([np.empty(0, np.int32), *row])
+        end = at < 0
+        self.count = np.where(end, model.ends, counts[at])
+        number = numbers[at]
+        learnt = ~np.concatenate(held)[self.row]
+
+        one, two = (np.where(end, END, np.where(model.above(self.count, share), number, OTHER)).astype(np.int32)
+                    for share in (model.frequent, max(model.frequent, model.very_frequent)))
+        key = np.full(len(one), START, np.int64)
+        key[1:] = np.where(end[:-1], START, one[:-1])
+        key <<= 32
+        key |= one
+        del at, end, number, one
+        pairs, pair, first = _distinct(key)
+        del key
+        n_pairs = np.bincount(pair, learnt, len(pairs)).astype(np.int32)
+        # the state of two words before each token, where both are words of this text
+        self.third = 2 + np.flatnonzero((two[:-2] >= FIRST) & (two[1:-1] >= FIRST)).astype(np.int32)
+        triples, triple, _ = _distinct(pair[self.third - 1].astype(np.int64) << 32 | two[self.third])
+        n_triples = np.bincount(triple, learnt[self.third], len(triples)).astype(np.int32)
+
+        # a word with more than a bucket's share of all tokens is dealt over several, by the token after it
+        self.u, at = np.unique(pairs >> 32, return_index=True)
+        share = self.count[first[at] - 1]  # of the word before the token
+        share[self.u == START] = model.ends
+        share[self.u == OTHER] = model.total if model.frequent else 0
+        parts = np.maximum(np.ceil(share / max(model.total, 1) * model.buckets).astype(np.int64), 1)
+        u_of = np.searchsorted(self.u, pairs >> 32)
+        bucket = _place(pairs >> 32, (mixed((pairs & LOW).astype(np.uint64)) % parts[u_of].astype(np.uint64)).astype(np.int64), model.buckets)
+        many = np.flatnonzero(parts > 1)
+        part = np.arange(parts[many].sum()) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
+        spread = np.repeat(self.u[many], parts[many])
+        self.states = np.unique(np.concatenate([bucket << 32 | pairs >> 32, _place(spread, part, model.buckets) << 32 | spread]))
+
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.pairs, self.pair, self.bucket, self.n_pairs = pairs[order], rank[pair], bucket[order], n_pairs[order]
+        triples = rank[triples >> 32].astype(np.int64) << 32 | triples & LOW
+        order = np.argsort(triples, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.triples, self.triple, self.n_triples = triples[order], rank[triple], n_triples[order]
+
+
+WANTED = "bucket int, batch long, words array<long>"
+TOLD = "bucket int, batch long, numbers binary, counts binary"
+ASKED = f"{TOLD}, u binary, pairs binary, v binary, n binary, triples binary, w binary, m binary"
+ANSWERED = f"{TOLD}, follow binary, other binary, kinds binary, n binary, others binary, kindss binary, m binary, counted binary"
+INT, LONG = np.dtype("<i4"), np.dtype("<i8")
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _packed(values: np.ndarray, edges: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Integers of each row as bytes: all first bytes, then all second ones and so on, so that the zeros of small numbers lie together."""
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, kind.itemsize)
+    return pa.array([planes[a:b].T.tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+
+
+def _unpacked(table: pa.Table, name: str, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of a column and the edges of its rows."""
+    rows = [np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1) for x in table.column(name).to_pylist()]
+    planes = np.concatenate([np.empty((kind.itemsize, 0), np.uint8), *rows], axis=1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64), np.cumsum([0, *(r.shape[1] for r in rows)])
+
+
+def _nothing(schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.table([pa.array([], kinds[part.split()[1]]) for part in schema.split(", ")], _names(schema))
+
+
+def _rows(docs: pa.Table, buckets: int) -> list[pa.Array]:
+    return [pa.array(np.arange(buckets), pa.int32()), pa.array(np.full(buckets, docs.column("__batch")[0].as_py(), np.int64))]
+
+
+def _wanted(buckets: int):
+    """A row for every bucket of words."""
+    def run(docs: pa.Table) -> pa.Table:
+        _, found, order, edges = _vocabulary(docs, buckets)
+        return pa.table([*_rows(docs, buckets), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(found[order].view(np.int64)))], _names(WANTED))
+
+    return run
+
+
+def _told(wanted: pa.Table, counted: pa.Table) -> pa.Table:
+    """Numbers and counts for each batch, in the order of its question; zero for unknown words."""
+    if not wanted.num_rows:
+        return _nothing(TOLD)
+    column = wanted.column("words").combine_chunks()
+    asked = column.flatten().to_numpy()
+    words = counted.column("word").to_numpy()
+    order = np.argsort(words)
+    # one more, for unknown words
+    words, counts, numbers = words[order], np.append(counted.column("c").to_numpy()[order], 0), np.append(counted.column("number").to_numpy()[order], OTHER)
+    at = np.searchsorted(words, asked)
+    at[at < len(words)] = np.where(words[at[at < len(words)]] == asked[at < len(words)], at[at < len(words)], len(words))
+    edges = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
+    return pa.table([wanted.column("bucket"), wanted.column("batch"), _packed(numbers[at], edges, INT), _packed(counts[at], edges, LONG)], _names(TOLD))
+
+
+def _asked(model: Totals):
+    """A row for every bucket: its states ``u`` of one word with their number of ``pairs``; of each pair the token ``v``, its training
+    count ``n`` in the batch and its number of ``triples``; of each of these the token ``w`` and its count ``m``."""
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _nothing(ASKED)
+        told = told.sort_by("bucket")
+        b = Batch(model, docs, told)
+        edges = np.arange(model.buckets + 1)
+        by_state = np.searchsorted(b.states >> 32, edges)
+        by_pair = np.searchsorted(b.bucket, edges)
+        by_triple = np.searchsorted(b.triples >> 32, by_pair)
+        pairs = np.bincount(np.searchsorted(b.states, b.bucket << 32 | b.pairs >> 32), minlength=len(b.states))
+        triples = np.bincount(b.triples >> 32, minlength=len(b.pairs))
+        lists = [(b.states & LOW, by_state), (pairs, by_state), (b.pairs & LOW, by_pair), (b.n_pairs, by_pair), (triples, by_pair), (b.triples & LOW, by_triple), (b.n_triples, by_triple)]
+        return pa.table([*_rows(docs, model.buckets), told.column("numbers"), told.column("counts"), *(_packed(*x, INT) for x in lists)], _names(ASKED))
+
+    return run
+
+
+def _arcs(owner: np.ndarray, token: np.ndarray, n: np.ndarray, states: int) -> tuple[np.ndarray, ...]:
+    """Of every state the tokens read in it, those of them that have no arc, and its arcs."""
+    arc = token != OTHER
+    return np.bincount(owner, n, states), np.bincount(owner, n * ~arc, states), np.bincount(owner, (n > 0) & arc, states)
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """Counts over all batches for each batch that asked, in the order of its question, and how many arcs of each kind were seen
+    once and twice in this bucket."""
+    (u, by_state), (pairs, _), (v, by_pair), (n, _), (triples, _), (w, by_triple), (m, _) = (_unpacked(asked, c, INT) for c in _names(ASKED)[4:])
+    states, state = np.unique(u, return_inverse=True)
+    found, pair, _ = _distinct(np.repeat(u, pairs) << 32 | v)
+    n = np.bincount(pair, n, len(found))
+    thirds, third, _ = _distinct(np.repeat(pair, triples).astype(np.int64) << 32 | w)
+    m = np.bincount(third, m, len(thirds))
+    one = _arcs(np.searchsorted(states, found >> 32), found & LOW, n, len(states))
+    two = _arcs(thirds >> 32, thirds & LOW, m, len(found))
+    counted = [(c[(key & LOW) != OTHER] == k).sum() for key, c in ((found, n), (thirds, m)) for k in (1, 2)]
+    rows = asked.num_rows
+    # a state of two words reads as many tokens as its pair was seen
+    lists = ([(x[state], by_state) for x in one] + [(x[pair], by_pair) for x in (n, *two[1:])] + [(m[third], by_triple)]
+             + [(np.tile(counted, rows), np.arange(rows + 1) * 4)])
+    return pa.table([*(asked.column(c) for c in _names(TOLD)), *(_packed(*x, LONG) for x in lists)], _names(ANSWERED))
+
+
+def _weights(n: np.ndarray, token: np.ndarray, state: np.ndarray, read: np.ndarray, other: np.ndarray, arcs: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of every arc (zero for a token without one) and what each state's failure arc carries."""
+    follow = np.maximum(read, 1)
+    weight = np.where(token == OTHER, 0, np.maximum(n - discount, 0)) / follow[state]
+    return weight, np.where(read > 0, (other + discount * arcs) / follow, 1)
+
+
+def log_probability(model: Totals, b: Batch, answers: pa.Table) -> np.ndarray:
+    """log10 weight of every token of the batch."""
+    follow, other, kinds, n, others, kindss, m, counted = (_unpacked(answers, name, LONG)[0] for name in _names(ANSWERED)[4:])
+    once, twice, once_more, twice_more = counted.reshape(-1, 4).sum(axis=0)
+    u = np.searchsorted(b.u, b.states & LOW)
+    one = [np.bincount(u, x, len(b.u)) for x in (follow, other, kinds)]
+    state = np.searchsorted(b.u, b.pairs >> 32)
+    weight, fail = _weights(n, b.pairs & LOW, state, *one, _discount(once, twice))
+    p = weight[b.pair] + fail[state[b.pair]] * model.unigram(b.count)
+    weight, fail = _weights(m, b.triples & LOW, b.triples >> 32, n, others, kindss, _discount(once_more, twice_more))
+    p[b.third] = weight[b.triple] + fail[b.pair[b.third - 1]] * p[b.third]
+    return np.log10(p)
 
 
 def is_held_out(id: Column) -> Column:
@@ -147,79 +319,40 @@ def _word_counts(batches):
                                          ["word", "n"])
 
 
-def _state_counts(states: States):
-    def run(batches):
-        total = np.zeros(states.size, np.int64)
-        for batch in slices(batches, "__text"):
-            for code in states.read(Tokens.of(*raw(batch.column("__text"))), batch.num_rows):
-                found, n = np.unique(code, return_counts=True)
-                total[found] += n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["code", "n"])
-
-    return run
-
-
-def _needed(batch_of: pa.Table) -> pa.Table:
-    parts = [Tokens.of(*raw(b.column("__text"))).unique for b in slices(batch_of.to_batches(), "__text")]
-    found = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-    name = batch_of.column("__batch")[0].as_py()
-    return pa.table({"word": pa.array(found.view(np.int64)), "batch": pa.array(np.full(len(found), name, np.int64))})
-
-
 RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(model: Automaton, id_type: pa.DataType):
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        keys = known.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], known.column("c").to_numpy()[order].astype(np.float64)
-        parts = []
-        for batch in slices(docs.to_batches(), "__text"):
-            rows = batch.num_rows
-            tokens = Tokens.of(*raw(batch.column("__text")))
-            at = np.minimum(np.searchsorted(keys, tokens.unique), max(len(keys) - 1, 0))
-            of_unique = np.where(keys[at] == tokens.unique, counts[at], 0.0) if len(keys) else np.zeros(len(tokens.unique))
-            c = with_ends(of_unique[tokens.back], tokens.owner, rows, model.ends)
-            row = token_rows(tokens.owner, rows)
-            base = np.log10((c + 1) / (model.total + 1 * (model.distinct + 1)))
-            weight = model.log_probability(tokens, rows, c)
-            parts.append(pa.table([
-                batch.column("__id"), batch.column("__held"), pa.array(np.bincount(row, minlength=rows), pa.int64()),
-                pa.array(np.bincount(row, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, model.total, np.int64)),
-                pa.array(np.bincount(row, base, rows)), pa.array(np.bincount(row, weight, rows))], names))
-        kinds = id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
-        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in kinds], names)
-
-    names = ["id", *(part.split()[0] for part in RESULT.split(", "))]
+def _scored(model: Totals, id_type: pa.DataType):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names)
+        answers = answers.sort_by("bucket")
+        b = Batch(model, docs, answers)
+        base = np.log10((b.count + 1) / (model.total + 1 * (model.distinct + 1)))
+        weight = log_probability(model, b, answers)
+        return pa.table([
+            docs.column("__id"), docs.column("__held"), pa.array(np.bincount(b.row, minlength=b.rows), pa.int64()),
+            pa.array(np.bincount(b.row, b.count > 0, b.rows).astype(np.int64)), pa.array(np.full(b.rows, model.total, np.int64)),
+            pa.array(np.bincount(b.row, base, b.rows)), pa.array(np.bincount(b.row, weight, b.rows))], names)
+
+    names = ["id", *_names(RESULT)]
+    kinds = id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
     return run
 
 
-def learn(training: DataFrame, counted: DataFrame, text: str) -> Automaton:
-    """The automaton of all rows, from their texts and the table of word counts (``word``, ``c``).
-
-    The driver gets at most 1 / FREQUENT words and the counts of the bounded states.
-    """
-    ends = training.count()
-    n, distinct, once, twice = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)),
-                                           F.count(F.when(F.col("c") == 2, 1))).first()
-    often = counted.filter(F.col("c") >= FREQUENT * max(n, 1)).collect()
-
-    def above(share):
-        return np.sort(np.array([r["word"] for r in often if r["c"] >= share * n], np.int64).view(np.uint64))
-
-    states = States(above(FREQUENT), above(VERY_FREQUENT))
-    codes = (training.select(F.col(text).alias("__text")).mapInArrow(_state_counts(states), "code long, n long").groupBy("code")
-             .agg(F.sum("n").alias("n")).toPandas())
-    return Automaton.learn(states, codes["code"].to_numpy(np.int64), codes["n"].to_numpy(np.int64), n + ends, distinct + (ends > 0), ends, once, twice)
+def _numbered(counted: DataFrame) -> DataFrame:
+    """``word``, ``c`` and a ``number`` of its own from ``FIRST`` on, small for frequent words: they are dealt out in turn by the partitions."""
+    counted = stage(counted.sortWithinPartitions(F.desc("c")).withColumn("at", F.monotonically_increasing_id()), "counts")
+    parts = (counted.agg(F.max(F.shiftright("at", 33))).first()[0] or 0) + 1
+    rank = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return counted.select("word", "c", (F.lit(FIRST) + rank * parts + F.shiftright("at", 33)).cast("int").alias("number"))
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
-    Both models learn from the rows that are not ``held_out``. Word counts cover all training rows and are looked up by a
-    join: documents share batches of bounded size, each batch asks once for each of its different words. A null or
+    Both models learn from the rows that are not ``held_out``. All counts cover all training rows:
+    documents share batches of bounded size, and each batch asks once for each of its different words, pairs and triples. A null or
     empty text has the end token only. Rows with null or repeated ids are scored like any other. Without training
     rows every count is zero and the model says nothing (a score of 0).
     """
@@ -227,12 +360,18 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out: Col
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(id).alias("__id"), body.alias("__text"), F.coalesce(held, F.lit(False)).alias("__held"))
     training = own.filter("not __held")
-    counted = stage(training.select("__text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    model = learn(training, counted, "__text")
+    counted = _numbered(training.select("__text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")))
+    ends = training.count()
+    n, distinct, once, twice = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)),
+                                           F.count(F.when(F.col("c") == 2, 1))).first()
     size = own.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
+    model = Totals(n + ends, distinct + (ends > 0), ends, _discount(once, twice), BUCKETS * batches, FREQUENT, VERY_FREQUENT)
     batched = own.withColumn("__batch", F.pmod(F.xxhash64("__id", "__text"), F.lit(batches)))
-    needed = batched.groupBy("__batch").applyInArrow(_needed, "word long, batch long")
-    replies = needed.join(counted, "word").select("batch", "word", "c")
-    return (batched.groupBy("__batch").cogroup(replies.groupBy("batch"))
+    wanted = batched.groupBy("__batch").applyInArrow(_wanted(model.buckets), WANTED)
+    counted = counted.withColumn("bucket", F.pmod("word", F.lit(model.buckets)).cast("int"))
+    told = wanted.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_told, TOLD)
+    asked = batched.groupBy("__batch").cogroup(told.groupBy("batch")).applyInArrow(_asked(model), ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(_answered, ANSWERED)
+    return (batched.groupBy("__batch").cogroup(answers.groupBy("batch"))
             .applyInArrow(_scored(model, to_arrow_type(docs.schema[id].dataType)), f"id {docs.schema[id].dataType.simpleString()}, {RESULT}"))

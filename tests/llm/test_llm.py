@@ -673,6 +673,24 @@ def test_language_model(spark, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_language_model_counts_pairs_and_triples_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BATCH_BYTES", 3000)  # several batches ask for the same states
+    r = random.Random(17)
+    rows = EDGE + [(100 + k, " ".join(r.choice(["the", "of", "And", "la"]) if r.random() < 0.4 else words_of(r, 1) for _ in range(r.randint(0, 80)))) for k in range(150)]
+    phrase = [f"rare{k}" for k in range(12)]
+    rows += [(k, " ".join(phrase)) for k in range(1000, 1020)] + [(k, " ".join(r.sample(phrase, 12))) for k in range(2000, 2020)]
+
+    def held(i):
+        return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 or (i or 0) >= 2000
+
+    got = [tuple(x) for x in language_model.score(frame(spark, rows), held_out=language_model.is_held_out(F.col("doc_id")) | (F.coalesce("doc_id", F.lit(0)) >= 2000)).collect()]
+    want = brute_scores(rows, held)
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=lambda x: (str(x[0]), x[2], x[3])), sorted(want, key=lambda x: (str(x[0]), x[2], x[3]))):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    assert min(x[6] for x in got if 1000 <= (x[0] or 0) < 1020) > max(x[6] for x in got if (x[0] or 0) >= 2000) + 5
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     got = language_model.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out")
     score, base = got.agg(F.sum("score"), F.sum("base_score")).first()
