@@ -158,29 +158,35 @@ def _rare_pairs(texts: DataFrame, n: int, percent: int, roots: DataFrame) -> Dat
     return one.join(two, "h").filter("ra <> rb and na <= nb").filter(_alike(percent)).filter(need("a") & need("b")).select("a", "b").distinct()
 
 
-def grouped(prints: DataFrame, shingle: int, percent: int) -> DataFrame:
+def grouped(prints: DataFrame, shingle: int, percent: int, near: DataFrame | None = None) -> DataFrame:
     """``mark``, ``least``: the smallest id in the component of every set.
 
     ``prints`` is a stored table with a row per text: ``id`` (of any ordered type), ``text``, ``at`` (a number of its own), ``n`` (size of the set),
     ``mark`` (of the set) and ``keys``. Sets link when 100 * intersection >= ``percent`` * union, with 50 <= ``percent`` <= 100.
-    Equal sets are one node whether they have keys or not.
+    Equal sets are one node whether they have keys or not. ``near`` are more candidates: ``a`` and ``b``, the smallest ``at`` of their sets.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     # a node has the number of its first row
-    nodes = stage(prints.groupBy("mark").agg(F.min("at").alias("node"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    posted = nodes.select("node", "n", F.explode("keys").alias("key"))
-    # a leader is the first member
-    lists = posted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).filter("members > 1")
-    led = stage(posted.join(lists, "key").select("key", "node", "n", "members", F.col("first.node").alias("leader"), F.col("first.n").alias("nb")), "lists")
-    texts = stage(prints.select(F.col("at").alias("node"), "text").join(led.select("node").distinct(), "node"), "texts")
-
-    near = stage(led.filter("node <> leader").select("node", F.col("n").alias("na"), "nb", "leader").filter(_alike(percent)).select("node", "leader").distinct(), "near")
-    roots = None
+    nodes = stage(prints.groupBy("mark").agg(F.min("at").alias("node"), F.min("id").alias("low")), "nodes")
+    posted = (prints.select(F.col("at").alias("node"), "n", "keys").join(nodes.select("node"), "node", "left_semi")
+              .select("node", "n", F.explode("keys").alias("key")))
+    # most keys have one member: the others are found first, then their leader, the first member
+    several = posted.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    held = stage(posted.join(several, "key").select("key", "node", "n", "members"), "held")
+    first = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
+    led = stage(held.join(first, "key").select("key", "node", "n", "members", F.col("first.node").alias("leader"), F.col("first.n").alias("nb")), "lists")
+    used = led.select("node")
+    if near is not None:
+        used = used.unionAll(near.select("a")).unionAll(near.select("b"))
+    texts = stage(prints.select(F.col("at").alias("node"), "text").join(used.distinct(), "node"), "texts")
+
+    roots = None if near is None else _merged(None, _linked(near, texts, shingle, percent))
+    meeting = stage(led.filter("node <> leader").select("node", F.col("n").alias("na"), "nb", "leader").filter(_alike(percent)).select("node", "leader").distinct(), "near")
     for leaders in LEADERS:
-        left = near
+        left = meeting
         if roots is not None:
-            mine = _rooted(near, roots).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("leader").alias("node"))
+            mine = _rooted(meeting, roots).select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("leader").alias("node"))
             left = _rooted(mine, roots).filter("ra <> root").select(F.col("a").alias("node"), F.col("node").alias("leader"))
         # a node has at most one leader for each of its keys
         some = F.array_sort(F.collect_list(F.struct(F.xxhash64("node", "leader").alias("order"), "leader")))

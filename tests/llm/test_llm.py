@@ -483,6 +483,30 @@ def test_one_of_each_group_of_similar_documents(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_pigeonring_gives_candidates_of_similar_documents(spark):
+    """Without posting lists, copies within two bits of the short fingerprint are found, and no unlike texts are joined."""
+    r = random.Random(23)
+    rows = []
+    for d in range(0, 60, 2):
+        text = words_of(r, 600).split()
+        edited = list(text)
+        edited[300 + d] = "new"
+        rows += [(d, " ".join(text)), (d + 1, " ".join(edited))]
+    rows += [(100 + k, f"word{k}") for k in range(20)] + [(200, ""), (201, None)]
+    bits = {i: fingerprint(t, 5) for i, t in rows}
+    near = [d for d in range(0, 60, 2) if (bits[d] ^ bits[d + 1]).bit_count() <= 2]
+    docs = frame(spark, rows)
+    prints = docs.select(F.col("doc_id").alias("id"), "text", F.monotonically_increasing_id().alias("at"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("mark"))
+    prints = common.stage(prints, "prints")
+    at = {x["at"]: x["id"] for x in prints.collect()}
+    pairs = {frozenset((at[x["a"]], at[x["b"]])) for x in simhash._ring_pairs(prints, 5).collect()}
+    assert len(near) >= 5 and all({d, d + 1} in pairs for d in near)
+    whole = prints.withColumn("keys", F.array().cast("array<long>"))
+    least = {bytes(x["mark"]): x["least"] for x in copies.grouped(whole, 5, 80, simhash._ring_pairs(prints, 5)).collect()}
+    got = {i: least[(t or "").encode()] for i, t in rows}
+    assert all(got[d + 1] == d for d in near) and all(got[i] in (i, i - 1) for i in got)
+
+
 def test_copies_that_gain_or_lose_text(spark):
     """Sets of shingles of unequal size at a similarity of 0.82 to 0.85: one text is the other with a part appended or cut off."""
     r = random.Random(8)
