@@ -34,8 +34,9 @@ from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, slices, span_ha
 
 FREQUENT = 0.0
 VERY_FREQUENT = 0.0
-BATCH_BYTES = 12 << 20  # text that shares one look-up of counts
-BUCKETS = 2  # buckets of states for each batch of text
+BATCH_BYTES = 6 << 20  # text that shares one look-up of counts
+BUCKETS = 4  # buckets of states for each batch of text
+SLICE = 1 << 19  # bytes of text of one pass
 
 OTHER, START, END, FIRST = 0, 1, 2, 3  # numbers of any other word, of both ends of a text and of the first word
 LOW = np.int64((1 << 32) - 1)
@@ -100,7 +101,7 @@ def _place(state: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
 
 def _vocabulary(docs: pa.Table, buckets: int) -> tuple[list[tuple[pa.RecordBatch, Tokens]], np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of slices of a batch, its different words in order, their places by bucket and the edges of the buckets."""
-    parts = [(b, Tokens.of(*raw(b.column("__text")))) for b in slices(docs.to_batches(), "__text")]
+    parts = [(b, Tokens.of(*raw(b.column("__text")))) for b in slices(docs.to_batches(), "__text", SLICE)]
     found = np.unique(np.concatenate([np.empty(0, np.uint64), *(t.unique for _, t in parts)]))
     bucket = found.view(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
@@ -113,9 +114,10 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = values[order]
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
-    back = np.empty(len(values), np.int32)
+    values, first = values[new], order[new]
+    back = np.empty(len(order), np.int32)
     back[order] = np.cumsum(new, dtype=np.int32) - 1
-    return values[new], back, order[new]
+    return values, back, first
 
 
 class Batch:
