@@ -20,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, shingles, slices, span_hash, stage, words
+from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, shingles, span_hash, squeezed, stage, unsqueezed, words
 from fieldlake.llm.graph import components
 
 LEADERS = (2, 2)  # leaders that a node is compared with in each pass
 SHORT = 8  # members of a list that is compared pair by pair
 PER_PART = 2000  # pairs of one leader that meet in one task
-SLICE = 1 << 20  # bytes of text of one pass
+SLICE = 1 << 20  # bytes of text of one pass, of each side
 
 
 def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def _alike(percent: int) -> Column:
 
 def _confirmed(n: int, percent: int):
     def run(batches):
-        for batch in slices(batches, "ta", SLICE):
+        for batch in unsqueezed(batches, ["ta", "tb"], 2 * SLICE):
             (ha, ra), (hb, rb) = (sets(batch.column(t), n) for t in ("ta", "tb"))
             h, row = np.concatenate([ha, hb]), np.concatenate([ra, rb])
             order = np.lexsort((h, row))
@@ -135,7 +136,7 @@ def _rare_pairs(texts: DataFrame, n: int, percent: int, roots: DataFrame) -> Dat
     elements of its own (those of no other set come first) looks for no partner.
     """
     def split(batches):
-        for batch in slices(batches, "text", SLICE):
+        for batch in unsqueezed(batches, ["text"], SLICE):
             h, row = sets(batch.column("text"), n)
             counts = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts), lists(h.view(np.int64), counts)], ["node", "n", "h"])
@@ -158,19 +159,24 @@ def _rare_pairs(texts: DataFrame, n: int, percent: int, roots: DataFrame) -> Dat
     return one.join(two, "h").filter("ra <> rb and na <= nb").filter(_alike(percent)).filter(need("a") & need("b")).select("a", "b").distinct()
 
 
+def _squeezed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("at"), squeezed(batch.column("text"))], ["at", "text"])
+
+
 def grouped(prints: DataFrame, shingle: int, percent: int, near: DataFrame | None = None) -> DataFrame:
     """``mark``, ``least``: the smallest id in the component of every set.
 
-    ``prints`` is a stored table with a row per text: ``id`` (of any ordered type), ``text``, ``at`` (a number of its own), ``n`` (size of the set),
-    ``mark`` (of the set) and ``keys``. Sets link when 100 * intersection >= ``percent`` * union, with 50 <= ``percent`` <= 100.
+    ``prints`` is a stored table with a row per text: ``id`` (of any ordered type), ``text`` (plain, or binary as ``squeezed`` makes it),
+    ``at`` (a number of its own), ``n`` (size of the set), ``mark`` (of the set) and ``keys``. Sets link when 100 * intersection >= ``percent`` * union, with 50 <= ``percent`` <= 100.
     Equal sets are one node whether they have keys or not. ``near`` are more candidates: ``a`` and ``b``, the smallest ``at`` of their sets.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
-    # a node has the number of its first row
-    nodes = stage(prints.groupBy("mark").agg(F.min("at").alias("node"), F.min("id").alias("low")), "nodes")
-    posted = (prints.select(F.col("at").alias("node"), "n", "keys").join(nodes.select("node"), "node", "left_semi")
-              .select("node", "n", F.explode("keys").alias("key")))
+    # a node is the first row of its set: it brings its keys along, so that no join has to find them again
+    one = F.min(F.struct("at", "n", "keys")).alias("one")
+    nodes = stage(prints.groupBy("mark").agg(one, F.min("id").alias("low")).select("mark", F.col("one.at").alias("node"), "low", "one.n", "one.keys"), "nodes")
+    posted = nodes.select("node", "n", F.explode("keys").alias("key"))
     # most keys have one member: the others are found first, then their leader, the first member
     several = posted.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     held = stage(posted.join(several, "key").select("key", "node", "n", "members"), "held")
@@ -179,7 +185,10 @@ def grouped(prints: DataFrame, shingle: int, percent: int, near: DataFrame | Non
     used = led.select("node")
     if near is not None:
         used = used.unionAll(near.select("a")).unionAll(near.select("b"))
-    texts = stage(prints.select(F.col("at").alias("node"), "text").join(used.distinct(), "node"), "texts")
+    plain = prints.select("at", "text")
+    if plain.schema["text"].dataType != BinaryType():
+        plain = plain.mapInArrow(_squeezed, "at long, text binary")
+    texts = stage(plain.withColumnRenamed("at", "node").join(used.distinct(), "node"), "texts")
 
     roots = None if near is None else _merged(None, _linked(near, texts, shingle, percent))
     meeting = stage(led.filter("node <> leader").select("node", F.col("n").alias("na"), "nb", "leader").filter(_alike(percent)).select("node", "leader").distinct(), "near")

@@ -18,45 +18,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm import copies
-from fieldlake.llm.common import LOWER, mixed, raw, slices, stage, words
+from fieldlake.llm.common import LOWER, mixed, raw, slices, squeezed, stage, words
 from fieldlake.llm.graph import components
 
 BITS = 64
 SEED = 42
 
 
+def short_fingerprints(column: pa.Array, n: int) -> np.ndarray:
+    """The 64 bits of every text's fingerprint."""
+    data, offsets = raw(column)
+    data = LOWER[data]
+    starts, ends, owner = words(data, offsets)
+    rows = len(column)
+    heads = np.searchsorted(owner, np.arange(rows + 1))
+    # the words with one space between them: a shingle is one span
+    lengths = ends - starts
+    to = np.cumsum(lengths + 1) - (lengths + 1)
+    flat = np.full(int((lengths + 1).sum()), 32, np.uint8)
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    flat[np.repeat(to, lengths) + at] = data[np.repeat(starts, lengths) + at]
+    body, stop = flat.tobytes(), to + lengths
+    counts = np.diff(heads)
+    shingle_counts = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    row_of = np.repeat(np.arange(rows), shingle_counts)
+    first = np.arange(len(row_of)) - np.repeat(np.cumsum(shingle_counts) - shingle_counts, shingle_counts) + heads[row_of]
+    last = np.minimum(first + n, heads[row_of + 1]) - 1
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(body[a:b], SEED) for a, b in zip(to[first].tolist(), stop[last].tolist(), strict=True)),
+                    np.uint64, len(row_of))
+    result = np.zeros(rows, np.uint64)
+    filled = np.flatnonzero(shingle_counts)
+    if len(filled):
+        edge = np.searchsorted(row_of, filled)
+        total = shingle_counts[filled]
+        for bit in range(BITS):
+            ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), edge)
+            result[filled] |= (2 * ones > total).astype(np.uint64) << np.uint64(bit)
+    return result
+
+
 def _fingerprints(n: int):
     def run(batches):
         for batch in slices(batches, "__text"):
-            data, offsets = raw(batch.column("__text"))
-            data = LOWER[data]
-            starts, ends, owner = words(data, offsets)
-            rows = batch.num_rows
-            heads = np.searchsorted(owner, np.arange(rows + 1))
-            # the words with one space between them: a shingle is one span
-            lengths = ends - starts
-            to = np.cumsum(lengths + 1) - (lengths + 1)
-            flat = np.full(int((lengths + 1).sum()), 32, np.uint8)
-            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            flat[np.repeat(to, lengths) + at] = data[np.repeat(starts, lengths) + at]
-            body, stop = flat.tobytes(), to + lengths
-            counts = np.diff(heads)
-            shingle_counts = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
-            row_of = np.repeat(np.arange(rows), shingle_counts)
-            first = np.arange(len(row_of)) - np.repeat(np.cumsum(shingle_counts) - shingle_counts, shingle_counts) + heads[row_of]
-            last = np.minimum(first + n, heads[row_of + 1]) - 1
-            digest = xxhash.xxh64_intdigest
-            h = np.fromiter((digest(body[a:b], SEED) for a, b in zip(to[first].tolist(), stop[last].tolist(), strict=True)),
-                            np.uint64, len(row_of))
-            result = np.zeros(rows, np.uint64)
-            filled = np.flatnonzero(shingle_counts)
-            if len(filled):
-                edge = np.searchsorted(row_of, filled)
-                total = shingle_counts[filled]
-                for bit in range(BITS):
-                    ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), edge)
-                    result[filled] |= (2 * ones > total).astype(np.uint64) << np.uint64(bit)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(result.view(np.int64))], ["id", "fp"])
+            found = short_fingerprints(batch.column("__text"), n)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(found.view(np.int64))], ["id", "fp"])
     return run
 
 
@@ -182,8 +188,9 @@ def _long_prints(n: int):
             size, mark = copies.marks(h, row, rows)
             _, keys = long_fingerprints(h, row, rows)
             keys = copies.lists(keys[size > 0].view(np.int64).ravel(), np.where(size > 0, keys.shape[1], 0))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__text"), batch.column("__at"), pa.array(size.astype(np.int64)), mark, keys],
-                                             ["id", "text", "at", "n", "mark", "keys"])
+            short = short_fingerprints(batch.column("__text"), n)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), squeezed(batch.column("__text")), batch.column("__at"), pa.array(size.astype(np.int64)), mark, keys,
+                                              pa.array(short.view(np.int64))], ["id", "text", "at", "n", "mark", "keys", "fp"])
     return run
 
 
@@ -209,10 +216,11 @@ def _mark(text: str) -> Column:
 
 def _ring_pairs(prints: DataFrame, shingle: int) -> DataFrame:
     """``a``, ``b``: candidates among sets, by the smallest ``at`` of each. Every set meets the first one with its 64-bit fingerprint, and
-    the first ones of fingerprints that pigeonring links (``links``) meet."""
-    filled = prints.filter("n > 0").select("at", "mark")
-    short = filled.join(fingerprints(prints, "at", "text", shingle).withColumnRenamed("id", "at"), "at").select("mark", "fp").distinct()
-    short = stage(short.join(filled.groupBy("mark").agg(F.min("at").alias("node")), "mark").select("fp", "node"), "short")
+    the first ones of fingerprints that pigeonring links (``links``) meet. A table without the fingerprints ``fp`` has plain texts."""
+    if "fp" not in prints.columns:
+        prints = prints.join(fingerprints(prints, "at", "text", shingle).withColumnRenamed("id", "at"), "at")
+    filled = prints.filter("n > 0").select("at", "mark", "fp")
+    short = stage(filled.select("mark", "fp").distinct().join(filled.groupBy("mark").agg(F.min("at").alias("node")), "mark").select("fp", "node"), "short")
     lowest = stage(short.groupBy("fp").agg(F.min("node").alias("first")), "lowest")
     one, two = (lowest.select(F.col("fp").alias(x), F.col("first").alias(f"n{x}")) for x in "ab")
     ends = links(lowest.select("fp")).join(one, "a").join(two, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
@@ -225,7 +233,7 @@ def _similar(docs: DataFrame, id: str, text: str, shingle: int, similarity: floa
     kind = docs.schema[id].dataType.simpleString()
     prints = stage(docs.select(F.struct(F.col(id).alias("id"), _mark(text).alias("mark")).alias("__id"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__at"))
                    .filter("__id.id is not null")
-                   .mapInArrow(_long_prints(shingle), f"id struct<id:{kind},mark:bigint>, text string, at long, n long, mark binary, keys array<long>"), "prints")
+                   .mapInArrow(_long_prints(shingle), f"id struct<id:{kind},mark:bigint>, text binary, at long, n long, mark binary, keys array<long>, fp long"), "prints")
     named = copies.grouped(prints, shingle, round(100 * similarity), _ring_pairs(prints, shingle))
     return prints.select("id", "mark").join(named, "mark").select("id.id", "id.mark", "least")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm import copies
-from fieldlake.llm.common import mixed, slices, stage
+from fieldlake.llm.common import mixed, slices, squeezed, stage
 
 BANDS = 50
 ROWS = 5  # values of a band
@@ -64,7 +64,7 @@ def _prints(n: int, bands: int, width: int):
                 keys = mixed(keys * STEP + signed[:, :, k])
             keys = copies.lists(keys[size > 0].view(np.int64).ravel(), np.where(size > 0, bands, 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__text"), batch.column("__at"), pa.array(size.astype(np.int64)), mark, keys],
+                [batch.column("__id"), squeezed(batch.column("__text")), batch.column("__at"), pa.array(size.astype(np.int64)), mark, keys],
                 ["id", "text", "at", "n", "mark", "keys"])
     return run
 
@@ -80,7 +80,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     """
     kind = docs.schema[id].dataType.simpleString()
     prints = stage(docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__at"))
-                   .mapInArrow(_prints(shingle, BANDS, ROWS), f"id {kind}, text string, at long, n long, mark binary, keys array<long>"), "prints")
+                   .mapInArrow(_prints(shingle, BANDS, ROWS), f"id {kind}, text binary, at long, n long, mark binary, keys array<long>"), "prints")
     named = copies.grouped(prints, shingle, percent)
     size = F.col("n").alias("n_shingles")
     found = prints.filter("n > 0").join(named, "mark").select("id", size, F.col("least").alias("component"))

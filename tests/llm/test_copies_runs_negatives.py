@@ -7,12 +7,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldlake.llm import copies, periodic_runs, queries, slot_negatives, superminhash
+from fieldlake.llm import common, copies, periodic_runs, queries, slot_negatives, superminhash
 
 EDGE = [(None, "no id at all"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (4, "two words"), (5, "ONE"), (6, "a " * 3000), (7, "ü ß " * 700)]
 
@@ -273,3 +274,35 @@ def test_negative_query(spark, tmp_path):
              for i, v, lab in rows if lab is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     got = queries.QUERIES["op13_hard_negatives"](spark, str(tmp_path)).collect()
     assert sorted(tuple(x) for x in got) == brute_negatives(plain, lambda i: i % 100 == 0) and got
+
+
+def test_squeezed_texts():
+    """Texts of any kind come back whole, and texts that hold far more than their frames stay within a pass."""
+    texts = ["", None, "a b c", "ÄÖ " * 50, "word " * 40_000, "x " * 90_000, "end"]
+    column = common.squeezed(pa.array(texts))
+    assert sum(len(x) for x in column.to_pylist()) < 2_000
+    batch = pa.record_batch([pa.array(range(len(texts))), column, column], ["k", "ta", "tb"])
+    parts = list(common.unsqueezed([batch, batch.slice(0, 0)], ["ta", "tb"], 1_000))
+    assert [p.num_rows for p in parts] == [4, 1, 1, 1]
+    for t in ("ta", "tb"):
+        assert [x for p in parts for x in p.column(t).to_pylist()] == [(x or "").encode() for x in texts]
+    assert [x for p in parts for x in p.column("k").to_pylist()] == list(range(len(texts)))
+
+
+def test_copies_move_squeezed_texts(spark, monkeypatch):
+    """What the search stores and shuffles of a text is its frame, and keys come with the node instead of by a join."""
+    held = {}
+
+    def kept(df, name):
+        held.setdefault(name, []).append(df)
+        return common.stage(df, name)
+
+    monkeypatch.setattr(copies, "stage", kept)
+    words = [f"word{k}" for k in range(400)]
+    docs = [(k, " ".join(words[:380 - k % 3] + [f"own{k}"])) for k in range(12)]
+    got = {x["id"]: x["component"] for x in superminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(12), 0)
+    assert held["texts"][0].schema["text"].dataType.typeName() == "binary"
+    frames = held["texts"][0].selectExpr("sum(length(text))").first()[0]
+    assert frames < 0.6 * sum(len(t) for _, t in docs)
+    assert "keys" in held["nodes"][0].columns
