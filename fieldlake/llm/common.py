@@ -81,14 +81,20 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
 def squeezed(column: pa.Array) -> pa.Array:
     """Every text on its own as its length in bytes (eight bytes) and its zstd frame; a third smaller than what a shuffle or Parquet makes of texts."""
     data, offsets = raw(column)
-    codec, body = pa.Codec("zstd", compression_level=1), pa.py_buffer(data.tobytes())
-    return pa.array([(b - a).to_bytes(8, "little") + codec.compress(body[a:b], asbytes=True)
-                     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+    body = data.tobytes()
+    return pa.array([squeeze(body[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
 def unsqueezed(batches: Iterable[pa.RecordBatch], texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches with the columns ``texts``, made by ``squeezed``, as plain bytes; each has at most ``limit`` bytes of them, or one row."""
-    codec = pa.Codec("zstd")
     for batch in batches:
         held = [batch.column(t).to_pylist() for t in texts]
         sizes = [[int.from_bytes(x[:8], "little") for x in column] for column in held]
@@ -98,8 +104,8 @@ def unsqueezed(batches: Iterable[pa.RecordBatch], texts: list[str], limit: int =
             done = int(ends[first - 1]) if first else 0
             last = max(int(np.searchsorted(ends, done + limit, "right")), first + 1)
             part = batch.slice(first, last - first)
-            for t, column, size in zip(texts, held, sizes, strict=True):
-                plain = [codec.decompress(x[8:], n, asbytes=True) for x, n in zip(column[first:last], size[first:last], strict=True)]
+            for t, column in zip(texts, held, strict=True):
+                plain = [unsqueeze(x) for x in column[first:last]]
                 part = part.set_column(part.schema.get_field_index(t), t, pa.array(plain, pa.large_binary()))
             yield part
             first = last

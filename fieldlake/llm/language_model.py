@@ -10,7 +10,7 @@ All states and arcs of the training texts count: ``FREQUENT`` and ``VERY_FREQUEN
 that share of all training words together as "any other word", in the states of one and of two words; such a word has no arc.
 
 So the arcs grow with the corpus, and no task holds them all. Documents share batches of bounded size. A batch asks each bucket
-of words for their counts and numbers (``_wanted``, ``_told``). Then it sends each bucket of states what it has read there
+of words for their counts and numbers and brings its own counts (``_wanted``, ``_told``). Then it sends each bucket of states what it has read there
 (``_asked``); the bucket adds up the batches' counts and answers each with what it asked for (``_answered``). A word with much of
 the corpus after it is dealt over as many buckets as its share needs. Answers come in the order of the question, so they name nothing.
 
@@ -21,21 +21,20 @@ Unknown words are one type, as in the baseline's V + 1.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, slices, span_hash, stage, words
+from fieldlake.llm.common import LOWER, mixed, prefix_hash, raw, span_hash, squeeze, squeezed, unsqueeze, unsqueezed, words
 
 FREQUENT = 0.0
 VERY_FREQUENT = 0.0
 BATCH_BYTES = 6 << 20  # text that shares one look-up of counts
-BUCKETS = 4  # buckets of states for each batch of text
+BUCKETS = 2  # buckets of states for each batch of text
 SLICE = 1 << 19  # bytes of text of one pass
 
 OTHER, START, END, FIRST = 0, 1, 2, 3  # numbers of any other word, of both ends of a text and of the first word
@@ -101,7 +100,7 @@ def _place(state: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
 
 def _vocabulary(docs: pa.Table, buckets: int) -> tuple[list[tuple[pa.RecordBatch, Tokens]], np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of slices of a batch, its different words in order, their places by bucket and the edges of the buckets."""
-    parts = [(b, Tokens.of(*raw(b.column("__text")))) for b in slices(docs.to_batches(), "__text", SLICE)]
+    parts = [(b, Tokens.of(*raw(b.column("__text")))) for b in unsqueezed(docs.to_batches(), ["__text"], SLICE)]
     found = np.unique(np.concatenate([np.empty(0, np.uint64), *(t.unique for _, t in parts)]))
     bucket = found.view(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
@@ -185,8 +184,8 @@ class Batch:
         self.triples, self.triple, self.n_triples = triples[order], rank[triple], n_triples[order]
 
 
-WANTED = "bucket int, batch long, words array<long>"
-TOLD = "bucket int, batch long, numbers binary, counts binary"
+WANTED = "bucket int, batch long, words binary, n binary"
+TOLD = "bucket int, batch long, numbers binary, counts binary, known binary"
 ASKED = f"{TOLD}, u binary, pairs binary, v binary, n binary, triples binary, w binary, m binary"
 ANSWERED = f"{TOLD}, follow binary, other binary, kinds binary, n binary, others binary, kindss binary, m binary, counted binary"
 INT, LONG = np.dtype("<i4"), np.dtype("<i8")
@@ -197,20 +196,25 @@ def _names(schema: str) -> list[str]:
 
 
 def _packed(values: np.ndarray, edges: np.ndarray, kind: np.dtype) -> pa.Array:
-    """Integers of each row as bytes: all first bytes, then all second ones and so on, so that the zeros of small numbers lie together."""
+    """Integers of each row as bytes: all first bytes, then all second ones and so on, so that the zeros of small numbers lie together
+    and zstd has them in little."""
     planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, kind.itemsize)
-    return pa.array([planes[a:b].T.tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+    return pa.array([squeeze(planes[a:b].T.tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
 
 
 def _unpacked(table: pa.Table, name: str, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All integers of a column and the edges of its rows."""
-    rows = [np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1) for x in table.column(name).to_pylist()]
-    planes = np.concatenate([np.empty((kind.itemsize, 0), np.uint8), *rows], axis=1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64), np.cumsum([0, *(r.shape[1] for r in rows)])
+    rows = table.column(name).to_pylist()
+    edges = np.cumsum([0, *(int.from_bytes(x[:8], "little") // kind.itemsize for x in rows)])
+    out = np.empty(edges[-1], np.int64)
+    for x, a, b in zip(rows, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        planes = np.frombuffer(unsqueeze(x), np.uint8).reshape(kind.itemsize, -1)
+        out[a:b] = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return out, edges
 
 
 def _nothing(schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return pa.table([pa.array([], kinds[part.split()[1]]) for part in schema.split(", ")], _names(schema))
 
 
@@ -219,37 +223,50 @@ def _rows(docs: pa.Table, buckets: int) -> list[pa.Array]:
 
 
 def _wanted(buckets: int):
-    """A row for every bucket of words."""
+    """A row for every bucket of words, with the training counts ``n`` of its words in the batch."""
     def run(docs: pa.Table) -> pa.Table:
-        _, found, order, edges = _vocabulary(docs, buckets)
-        return pa.table([*_rows(docs, buckets), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(found[order].view(np.int64)))], _names(WANTED))
+        parts, found, order, edges = _vocabulary(docs, buckets)
+        n = np.zeros(len(found), np.int64)
+        for batch, tokens in parts:
+            learnt = ~batch.column("__held").to_numpy(zero_copy_only=False).astype(bool)[tokens.owner]
+            n[np.searchsorted(found, tokens.unique)] += np.bincount(tokens.back, learnt, len(tokens.unique)).astype(np.int64)
+        return pa.table([*_rows(docs, buckets), _packed(found[order].view(np.int64), edges, LONG), _packed(n[order], edges, INT)], _names(WANTED))
 
     return run
 
 
-def _told(wanted: pa.Table, counted: pa.Table) -> pa.Table:
-    """Numbers and counts for each batch, in the order of its question; zero for unknown words."""
-    if not wanted.num_rows:
-        return _nothing(TOLD)
-    column = wanted.column("words").combine_chunks()
-    asked = column.flatten().to_numpy()
-    words = counted.column("word").to_numpy()
-    order = np.argsort(words)
-    # one more, for unknown words
-    words, counts, numbers = words[order], np.append(counted.column("c").to_numpy()[order], 0), np.append(counted.column("number").to_numpy()[order], OTHER)
-    at = np.searchsorted(words, asked)
-    at[at < len(words)] = np.where(words[at[at < len(words)]] == asked[at < len(words)], at[at < len(words)], len(words))
-    edges = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
-    return pa.table([wanted.column("bucket"), wanted.column("batch"), _packed(numbers[at], edges, INT), _packed(counts[at], edges, LONG)], _names(TOLD))
+def _told(buckets: int):
+    """Numbers and counts for each batch, in the order of its question; zero for words that no training text has. ``known``: training words
+    of the bucket, different ones, and those seen once and twice. Numbers are small for frequent words: the buckets deal them out in turn."""
+    def run(wanted: pa.Table) -> pa.Table:
+        asked, edges = _unpacked(wanted, "words", LONG)
+        words, at, _ = _distinct(asked)
+        counts = np.bincount(at, _unpacked(wanted, "n", INT)[0], len(words)).astype(np.int64)
+        rank = np.empty(len(words), np.int64)
+        rank[np.lexsort((words, -counts))] = np.arange(len(words))
+        numbers = np.where(counts > 0, FIRST + rank * buckets + wanted.column("bucket")[0].as_py(), OTHER)
+        known = [counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()]
+        rows = wanted.num_rows
+        return pa.table([wanted.column("bucket"), wanted.column("batch"), _packed(numbers[at], edges, INT), _packed(counts[at], edges, LONG),
+                         _packed(np.tile(known, rows), np.arange(rows + 1) * 4, LONG)], _names(TOLD))
 
+    return run
+
+
+def _totals(told: pa.Table, known: Totals) -> Totals:
+    """What was ``known`` before with the sums over the answers of all buckets."""
+    n, distinct, once, twice = _unpacked(told, "known", LONG)[0].reshape(-1, 4).sum(axis=0).tolist()
+    return replace(known, total=n + known.ends, distinct=distinct + (known.ends > 0), discount=_discount(once, twice))
 
-def _asked(model: Totals):
+
+def _asked(known: Totals):
     """A row for every bucket: its states ``u`` of one word with their number of ``pairs``; of each pair the token ``v``, its training
     count ``n`` in the batch and its number of ``triples``; of each of these the token ``w`` and its count ``m``."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _nothing(ASKED)
         told = told.sort_by("bucket")
+        model = _totals(told, known)
         b = Batch(model, docs, told)
         edges = np.arange(model.buckets + 1)
         by_state = np.searchsorted(b.states >> 32, edges)
@@ -258,7 +275,7 @@ def _asked(model: Totals):
         pairs = np.bincount(np.searchsorted(b.states, b.bucket << 32 | b.pairs >> 32), minlength=len(b.states))
         triples = np.bincount(b.triples >> 32, minlength=len(b.pairs))
         lists = [(b.states & LOW, by_state), (pairs, by_state), (b.pairs & LOW, by_pair), (b.n_pairs, by_pair), (triples, by_pair), (b.triples & LOW, by_triple), (b.n_triples, by_triple)]
-        return pa.table([*_rows(docs, model.buckets), told.column("numbers"), told.column("counts"), *(_packed(*x, INT) for x in lists)], _names(ASKED))
+        return pa.table([*_rows(docs, model.buckets), *(told.column(c) for c in _names(TOLD)[2:]), *(_packed(*x, INT) for x in lists)], _names(ASKED))
 
     return run
 
@@ -272,7 +289,7 @@ def _arcs(owner: np.ndarray, token: np.ndarray, n: np.ndarray, states: int) -> t
 def _answered(asked: pa.Table) -> pa.Table:
     """Counts over all batches for each batch that asked, in the order of its question, and how many arcs of each kind were seen
     once and twice in this bucket."""
-    (u, by_state), (pairs, _), (v, by_pair), (n, _), (triples, _), (w, by_triple), (m, _) = (_unpacked(asked, c, INT) for c in _names(ASKED)[4:])
+    (u, by_state), (pairs, _), (v, by_pair), (n, _), (triples, _), (w, by_triple), (m, _) = (_unpacked(asked, c, INT) for c in _names(ASKED)[5:])
     states, state = np.unique(u, return_inverse=True)
     found, pair, _ = _distinct(np.repeat(u, pairs) << 32 | v)
     n = np.bincount(pair, n, len(found))
@@ -297,7 +314,7 @@ def _weights(n: np.ndarray, token: np.ndarray, state: np.ndarray, read: np.ndarr
 
 def log_probability(model: Totals, b: Batch, answers: pa.Table) -> np.ndarray:
     """log10 weight of every token of the batch."""
-    follow, other, kinds, n, others, kindss, m, counted = (_unpacked(answers, name, LONG)[0] for name in _names(ANSWERED)[4:])
+    follow, other, kinds, n, others, kindss, m, counted = (_unpacked(answers, name, LONG)[0] for name in _names(ANSWERED)[5:])
     once, twice, once_more, twice_more = counted.reshape(-1, 4).sum(axis=0)
     u = np.searchsorted(b.u, b.states & LOW)
     one = [np.bincount(u, x, len(b.u)) for x in (follow, other, kinds)]
@@ -314,21 +331,20 @@ def is_held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _word_counts(batches):
-    for batch in slices(batches, "__text", 8 << 20):
-        tokens = Tokens.of(*raw(batch.column("__text")))
-        yield pa.RecordBatch.from_arrays([pa.array(tokens.unique.view(np.int64)), pa.array(np.bincount(tokens.back, minlength=len(tokens.unique)))],
-                                         ["word", "n"])
+def _squeezed(batches):
+    for batch in batches:
+        yield batch.set_column(batch.schema.get_field_index("__text"), "__text", squeezed(batch.column("__text")))
 
 
 RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(model: Totals, id_type: pa.DataType):
+def _scored(known: Totals, id_type: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
         answers = answers.sort_by("bucket")
+        model = _totals(answers, known)
         b = Batch(model, docs, answers)
         base = np.log10((b.count + 1) / (model.total + 1 * (model.distinct + 1)))
         weight = log_probability(model, b, answers)
@@ -342,14 +358,6 @@ def _scored(model: Totals, id_type: pa.DataType):
     return run
 
 
-def _numbered(counted: DataFrame) -> DataFrame:
-    """``word``, ``c`` and a ``number`` of its own from ``FIRST`` on, small for frequent words: they are dealt out in turn by the partitions."""
-    counted = stage(counted.sortWithinPartitions(F.desc("c")).withColumn("at", F.monotonically_increasing_id()), "counts")
-    parts = (counted.agg(F.max(F.shiftright("at", 33))).first()[0] or 0) + 1
-    rank = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return counted.select("word", "c", (F.lit(FIRST) + rank * parts + F.shiftright("at", 33)).cast("int").alias("number"))
-
-
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -361,19 +369,16 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out: Col
     held = is_held_out(F.col(id)) if held_out is None else held_out
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(id).alias("__id"), body.alias("__text"), F.coalesce(held, F.lit(False)).alias("__held"))
-    training = own.filter("not __held")
-    counted = _numbered(training.select("__text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    ends = training.count()
-    n, distinct, once, twice = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)),
-                                           F.count(F.when(F.col("c") == 2, 1))).first()
-    size = own.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    ends, size = own.agg(F.count_if(~F.col("__held")), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
     batches = max(1, -(-size // BATCH_BYTES))
-    model = Totals(n + ends, distinct + (ends > 0), ends, _discount(once, twice), BUCKETS * batches, FREQUENT, VERY_FREQUENT)
-    batched = own.withColumn("__batch", F.pmod(F.xxhash64("__id", "__text"), F.lit(batches)))
-    wanted = batched.groupBy("__batch").applyInArrow(_wanted(model.buckets), WANTED)
-    counted = counted.withColumn("bucket", F.pmod("word", F.lit(model.buckets)).cast("int"))
-    told = wanted.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_told, TOLD)
-    asked = batched.groupBy("__batch").cogroup(told.groupBy("batch")).applyInArrow(_asked(model), ASKED)
+    buckets = BUCKETS * batches
+    known = Totals(0, 0, ends, 0, buckets, FREQUENT, VERY_FREQUENT)
+    kind = docs.schema[id].dataType.simpleString()
+    batched = (own.withColumn("__batch", F.pmod(F.xxhash64("__id", "__text"), F.lit(batches)))
+               .mapInArrow(_squeezed, f"__id {kind}, __text binary, __held boolean, __batch long"))
+    wanted = batched.groupBy("__batch").applyInArrow(_wanted(buckets), WANTED)
+    told = wanted.groupBy("bucket").applyInArrow(_told(buckets), TOLD)
+    asked = batched.groupBy("__batch").cogroup(told.groupBy("batch")).applyInArrow(_asked(known), ASKED)
     answers = asked.groupBy("bucket").applyInArrow(_answered, ANSWERED)
     return (batched.groupBy("__batch").cogroup(answers.groupBy("batch"))
-            .applyInArrow(_scored(model, to_arrow_type(docs.schema[id].dataType)), f"id {docs.schema[id].dataType.simpleString()}, {RESULT}"))
+            .applyInArrow(_scored(known, to_arrow_type(docs.schema[id].dataType)), f"id {kind}, {RESULT}"))

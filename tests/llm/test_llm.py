@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -762,3 +763,24 @@ def test_pipeline(spark, sf):
     packed = p.STAGES[-1][1](spark, current, sf)
     assert packed.filter("piece = 0").count() == current.count()
     assert p.run(spark, sf).count() == packed.count()
+
+
+def test_language_model_counts_words_with_the_question(spark, monkeypatch):
+    """Batches bring the training counts of their words, so no second pass over the texts shuffles them; many batches score as one does."""
+    texts = [pa.table({"__text": common.squeezed(pa.array(t)), "__held": h, "__batch": [k] * len(t)})
+             for k, (t, h) in enumerate([(["A b b", "c"], [False, True]), (["b d", None], [False, False])])]
+    asked = pa.concat_tables([language_model._wanted(3)(t) for t in texts])
+    told = pa.concat_tables([language_model._told(3)(asked.filter(pc.equal(asked["bucket"], k))) for k in range(3)])
+    model = language_model._totals(told.filter(pc.equal(told["batch"], 0)), language_model.Totals(0, 0, 3, 0, 3, 0, 0))
+    assert (model.total, model.distinct) == (3 + 2 + 3, 3 + 1)  # a, b, b and b, d, with the ends of three texts; c is held out
+    counts = language_model._unpacked(told, "counts", language_model.LONG)[0].tolist()
+    numbers = language_model._unpacked(told, "numbers", language_model.INT)[0].tolist()
+    assert sorted(counts) == [0, 1, 1, 3, 3]
+    assert len(set(numbers)) == 4 and all((n == language_model.OTHER) == (c == 0) for n, c in zip(numbers, counts, strict=True))
+
+    rows = [(k, " ".join(f"w{k * j % 17}" for j in range(30))) for k in range(60)]
+    one = sorted(tuple(x) for x in language_model.score(frame(spark, rows)).collect())
+    monkeypatch.setattr(language_model, "BATCH_BYTES", 1_000)
+    for a, b in zip(one, sorted(tuple(x) for x in language_model.score(frame(spark, rows)).collect()), strict=True):
+        assert a == pytest.approx(b)
+    assert language_model._packed(np.arange(10_000), np.array([0, 10_000]), language_model.LONG)[0].as_buffer().size < 8 * 10_000 // 4
