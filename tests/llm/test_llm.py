@@ -625,6 +625,19 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: tables.append(name) or common.stage(df, name))
+    stars = [(1, k) for k in range(2, 9)] + [(11, k) for k in range(12, 15)]
+    got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 9)} | {k: 11 for k in range(11, 15)}
+    assert len(tables) == 1  # the edges are stars: no round
+    tables.clear()
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {x["node"]: x["root"] for x in graph.components(path).collect()} == {1: 1, 2: 1, 3: 1}
+    assert len(tables) == 2  # one round makes the path a star
+
+
 # language model
 
 def brute_scores(rows, held):
