@@ -180,9 +180,7 @@ def grouped(prints: DataFrame, shingle: int, percent: int, near: DataFrame | Non
     # most keys have one member: the others are found first, then their leader, the first member
     several = posted.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     held = stage(posted.join(several, "key").select("key", "node", "n", "members"), "held")
-    first = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
-    led = stage(held.join(first, "key").select("key", "node", "n", "members", F.col("first.node").alias("leader"), F.col("first.n").alias("nb")), "lists")
-    used = led.select("node")
+    used = held.select("node")
     if near is not None:
         used = used.unionAll(near.select("a")).unionAll(near.select("b"))
     plain = prints.select("at", "text")
@@ -191,7 +189,9 @@ def grouped(prints: DataFrame, shingle: int, percent: int, near: DataFrame | Non
     texts = stage(plain.withColumnRenamed("at", "node").join(used.distinct(), "node"), "texts")
 
     roots = None if near is None else _merged(None, _linked(near, texts, shingle, percent))
-    meeting = stage(led.filter("node <> leader").select("node", F.col("n").alias("na"), "nb", "leader").filter(_alike(percent)).select("node", "leader").distinct(), "near")
+    first = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
+    meeting = held.join(first, "key").select("node", F.col("n").alias("na"), F.col("first.node").alias("leader"), F.col("first.n").alias("nb"))
+    meeting = stage(meeting.filter("node <> leader").filter(_alike(percent)).select("node", "leader").distinct(), "near")
     for leaders in LEADERS:
         left = meeting
         if roots is not None:
@@ -203,9 +203,9 @@ def grouped(prints: DataFrame, shingle: int, percent: int, near: DataFrame | Non
         found = _linked(chosen.select(F.col("node").alias("a"), F.explode("some.leader").alias("b")), texts, shingle, percent)
         roots = _merged(roots, found)
 
-    roots = _merged(roots, _linked(_delegates(led, roots, percent), texts, shingle, percent))
+    roots = _merged(roots, _linked(_delegates(held, roots, percent), texts, shingle, percent))
 
-    rest = _mixed(led, roots)
+    rest = _mixed(held, roots)
     few = rest.filter(F.col("members") <= SHORT)
     one, two = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
     pairs = one.join(two, "key").filter("ra < rb").filter(_alike(percent)).select("a", "b")
