@@ -89,7 +89,7 @@ from v_detections d join v_habitat_zones z on {hav('d.latitude', 'd.longitude',
 def _(spark, sf):
     zones = view(spark, sf, "v_habitat_zones").selectExpr("id as zone", "latitude as centre_lat", "longitude as centre_lon",
                                                           "1704067200000L as start_ms", "1705363200000L as end_ms")
-    df = spatial.radius_join(view(spark, sf, "v_detections").select("id", "latitude", "longitude", "detected_epoch_ms"), zones, 12_000, time="detected_epoch_ms")
+    df = spatial.radius_join(view(spark, sf, "v_detections").select("id", "latitude", "longitude", "detected_epoch_ms"), zones, 12_000, time="detected_epoch_ms", many=True)
     return rounded(df.select("id", "zone", "distance_m"), "distance_m", digits=3)
 
 

@@ -6,8 +6,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from fieldlake.functions import geo
 from fieldlake.operators import genetics, media, scale, spatial
-from fieldlake.registry import q_streaming
+from fieldlake.registry import core, q_streaming
 from fieldlake.streaming import late
 
 
@@ -50,6 +51,50 @@ def test_few_candidates_of_a_circle_lie_outside(spark, monkeypatch):
         assert found and seen[0] <= 4 * found  # the window is applied before the join
 
 
+def test_a_tile_of_many_pairs_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS_PER_TASK", 2000)
+    points = spark.range(900).selectExpr("if(id < 800, id, id - 100) as id", "if(id % 3 = 0, 0D, 0.001D) as latitude", "34D as longitude", "if(id % 9 = 0, null, id % 2) as s", "map('a', id) as m")
+    centres = spark.range(40).selectExpr("id as c", "0D as centre_lat", "34D + id % 5 * 1e-4 as centre_lon", "if(id % 8 = 0, null, id % 2) as s", "if(id % 4 = 0, 5000D, 90D) as r")
+    for on in ((), ("s",)):
+        for radius in (5000, 90, "r"):
+            plain, cut = (spatial.radius_join(points, centres, radius, on=on, many=many).drop("m") for many in (False, True))
+            assert cut.columns == plain.columns and cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
+    dealt, tiles = spatial._dealt(points.withColumn("t", F.lit(1)), centres.withColumn("t", F.lit(1)), ["t"])
+    cuts = {r["__cut"]: r["count"] for r in dealt.groupBy("__cut").count().collect()}
+    assert sum(cuts.values()) == 900 and len(cuts) == 18 and max(cuts.values()) * 40 < 6000
+    assert {r["count"] for r in tiles.groupBy("__cut").count().collect()} == {40}
+
+
+def test_pairs_and_distances_are_those_of_the_haversine(spark):
+    step = math.degrees(1000 / 6371008.8)
+    places = [(x, y) for x in (0.0, step, -step, 45.0, 89.9999, -90.0, 95.0, math.nan, None) for y in (0.0, step, 179.9999, -179.9999, 180.0, math.nan, None)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, latitude double, longitude double")
+    radii = [0.0, 0.5, 1000.0, math.nextafter(1000, 0), 1e6, 19.9e6, 20.1e6, None]
+    centres = spark.createDataFrame([(i * 100 + j, *p, r) for i, p in enumerate(places) for j, r in enumerate(radii) if None not in p and abs(p[0]) <= 90 and not math.isnan(p[1])], "c int, centre_lat double, centre_lon double, r double")
+    metres = geo.haversine_m("latitude", "longitude", "centre_lat", "centre_lon")
+    every = points.crossJoin(centres).withColumn("distance_m", metres)
+    got = {(r["id"], r["c"]): r["distance_m"] for r in spatial.radius_join(points, centres, "r").select("id", "c", "distance_m").collect()}
+    want = {(r["id"], r["c"]): r["distance_m"] for r in every.filter("distance_m <= r").collect()}
+    assert got.items() <= want.items() and len(got) > 500
+    ordinary = {i for i, (y, x) in enumerate(places) if y is not None and x is not None and abs(y) <= 90 and not math.isnan(x)}
+    assert {k for k in want if k[0] in ordinary} <= got.keys()
+    text = plan(spatial.radius_join(points, centres, 1000, many=True))
+    assert "SortMergeJoin" in text and text.count("ASIN") == 2  # of a pair at the rim, and once of a pair that is kept
+
+
+def test_rounded_is_round(spark):
+    rng = np.random.default_rng(5)
+    values = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, -1e-9, 1.0005, 2.5e-4, 0.125, 1e8 + 0.0625, 12000.0005, 123456789012.3456, 1e22, -1e300, 4.35, 1.005, 0.0005, -0.0005]
+    values += [float(x) for x in rng.uniform(-2e4, 2e4, 3000)] + [float(x) for x in (rng.integers(-10 ** 7, 10 ** 7, 3000) * 5) / 10 ** 4]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, w int")
+    for digits in (0, 2, 3, 6):
+        shown = core.rounded(df.selectExpr("v", "v as old", "w", "cast(v as float) as f", "cast(v as float) as g"), "v", "w", "f", digits=digits)
+        same = F.col("v").eqNullSafe(F.round("old", digits)) & (F.hex(F.col("v").cast("string").cast("binary")).eqNullSafe(F.hex(F.round("old", digits).cast("string").cast("binary"))))
+        assert shown.filter(~same | ~F.col("f").eqNullSafe(F.round("g", digits))).isEmpty()
+        assert dict(shown.dtypes)["w"] == "int" and dict(shown.dtypes)["f"] == "float"
+    assert "rint" in plan(core.rounded(df, "v"))
+
+
 def test_cells_of_one_place_make_no_pairs(spark, monkeypatch):
     points = spark.range(300).selectExpr("id as scope_id", "(id % 20) * 0.01 as latitude", "34 + (id div 20) * 0.01 as longitude")
     cells = spark.range(5000).selectExpr("(id % 20) * 0.01 + 0.001 as lat", "34 + (id div 20 % 15) * 0.01 as lon", "id / 5000 as loss", "0.5D as vote")
